@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, mpeg_audio, packing, token_files, warc
+from . import html_text, mpeg_audio, near_dup, packing, token_files, warc
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -36,11 +36,16 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=3, num=85)
+
+
 QUERIES = {
     "op2_mpeg_audio": op2_mpeg_audio,
     "op4_token_files": op4_token_files,
     "op5_warc": op5_warc,
     "op7_html_text": op7_html_text,
     "op8_packing": op8_packing,
+    "op9_near_dup": op9_near_dup,
 }
 ORACLE: dict[str, str] = {}
