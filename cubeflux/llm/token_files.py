@@ -92,9 +92,16 @@ def read_token_files(spark, folder: str, parts: list[tuple[int, int, int]], widt
     return spark.range(0, len(parts), 1, len(parts)).mapInArrow(read, SCHEMA)
 
 
-def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, width: int = 4) -> DataFrame:
+def id_width(tokenizer: str) -> int:
+    """Bytes of an id: two where the vocabulary allows it."""
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 0x10000 else 4
+
+
+def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, width: int | None = None) -> DataFrame:
     """Encode, write, and read back every document."""
     spark = docs.sparkSession
-    folder = shared_dir(spark, "tokens")
+    folder, width = shared_dir(spark, "tokens"), width or id_width(tokenizer)
     parts = write_token_files(docs, tokenizer, end_id, folder, part_count(spark), width)
     return read_token_files(spark, folder, parts, width)
