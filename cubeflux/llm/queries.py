@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, mpeg_audio, near_dup, packing, token_files, warc
+from . import html_text, line_dedup, mpeg_audio, near_dup, packing, token_files, toxicity, warc
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -40,10 +40,20 @@ def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=3, num=85)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "removed", "text")
+
+
 QUERIES = {
     "op2_mpeg_audio": op2_mpeg_audio,
+    "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
     "op5_warc": op5_warc,
+    "op6_line_dedup": op6_line_dedup,
     "op7_html_text": op7_html_text,
     "op8_packing": op8_packing,
     "op9_near_dup": op9_near_dup,
