@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html_text, line_dedup, mpeg_audio, near_dup, packing, token_files, toxicity, warc
+from . import html_text, line_dedup, mixing, mpeg_audio, near_dup, packing, token_files, toxicity, warc
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -48,7 +49,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "removed", "text")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("probability", 6).alias("probability"), "sampled")
+
+
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_mpeg_audio": op2_mpeg_audio,
     "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
@@ -58,4 +65,4 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_near_dup": op9_near_dup,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_mixing": mixing.oracle_sql()}
