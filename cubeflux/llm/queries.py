@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, line_dedup, mixing, mpeg_audio, near_dup, packing, token_files, toxicity, warc
+from . import bm25, html_text, line_dedup, mixing, mpeg_audio, near_dup, packing, token_files, toxicity, warc
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -54,6 +54,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("probability", 6).alias("probability"), "sampled")
 
 
+def op10_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bm25.top_k(docs, docs.filter("doc_id % 20 = 0"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_mpeg_audio": op2_mpeg_audio,
@@ -64,5 +69,6 @@ QUERIES = {
     "op7_html_text": op7_html_text,
     "op8_packing": op8_packing,
     "op9_near_dup": op9_near_dup,
+    "op10_bm25": op10_bm25,
 }
 ORACLE: dict[str, str] = {"op1_mixing": mixing.oracle_sql()}
