@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import transforms  # noqa: F401
+from .base import ORACLE, QUERIES  # noqa: F401
