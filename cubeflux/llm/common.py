@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -13,6 +14,7 @@ from urllib.parse import unquote, urlparse
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: 64-bit mixing constants (public splitmix64 finaliser).
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -229,3 +231,66 @@ def part_count(spark: SparkSession) -> int:
 def uniform(col) -> F.Column:
     """A uniform number in [0, 1) fixed by the value: the first 32 bits of its MD5, the same in any SQL engine."""
     return F.conv(F.substring(F.md5(col.cast("string")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+#: Bits of the membership filter: its size is fixed, so it may go to every task.
+FILTER_BITS = 1 << 25
+
+
+def _slot(x: np.ndarray, bits: int) -> np.ndarray:
+    return (mix64(x.view(np.uint64)) % np.uint64(bits)).astype(np.int64)
+
+
+def member_bits(ids: DataFrame, bits: int = FILTER_BITS):
+    """A bit map (broadcast) of the hashes of a column of longs. Its size is fixed: with very many ids it passes more
+    rows than it should, never fewer, so an exact join has to follow; what it saves is the shuffle of rows in no list."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        own = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            p = _slot(batch.column(0).to_numpy(), bits)
+            np.bitwise_or.at(own, p >> 3, (1 << (p & 7)).astype(np.uint8))
+        at = np.flatnonzero(own)
+        for lo in range(0, len(at), 65536):
+            some = at[lo : lo + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(own[some].astype(np.int32))], ["at", "b"])
+
+    packed = np.zeros(bits // 8, np.uint8)
+    merged = ids.select(F.col(ids.columns[0]).cast("long")).na.drop().mapInArrow(run, "at int, b int").groupBy("at").agg(F.bit_or("b").alias("b"))
+    table = merged.toArrow()  # at most bits / 8 rows
+    packed[table.column("at").to_numpy()] = table.column("b").to_numpy()
+    return ids.sparkSession.sparkContext.broadcast(packed)
+
+
+def is_member(flags: np.ndarray, x: np.ndarray) -> np.ndarray:
+    p = _slot(x, 8 * len(flags))
+    return (flags[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+
+
+def mark_members(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows and _likely: true if the first column (a long) is in ids, and rarely otherwise; no row moves."""
+    flags, names = member_bits(ids), rows.columns
+
+    def mark(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x = batch.column(0)
+            on = is_member(flags.value, x.fill_null(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(on)], [*names, "_likely"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("_likely", T.BooleanType())])
+    return rows.mapInArrow(mark, schema)
+
+
+def likely_members(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose first column is in ids, and few others."""
+    return mark_members(rows, ids).filter("_likely").drop("_likely")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are done: it does so when their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -25,10 +25,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, column_bytes, lower_ascii, materialize, mix64, word_hashes, word_spans
+from .common import GOLDEN, column_bytes, likely_members, lower_ascii, materialize, mix64, word_hashes, word_spans
 from .graph_cc import components
 
 T = 128
@@ -236,12 +236,10 @@ def compare_nodes(leaves: DataFrame, p: Params) -> DataFrame:
     return keyed.select("node", "part_a", "part_b", "half", "c", "tiny").mapInArrow(run, EDGES)
 
 
-def block_pairs(rows: DataFrame, group: str, block: str, blocks: str, other_ok=None) -> DataFrame:
+def block_pairs(rows: DataFrame, group: str, block: str, blocks: str) -> DataFrame:
     """Replicate each row to the pairs (part_a <= part_b) of blocks of its group that include its own block."""
     other = F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)).alias("_o")
     out = rows.select("*", other)
-    if other_ok is not None:
-        out = out.filter(other_ok)
     return out.withColumns({"part_a": F.least(block, "_o").cast("long"), "part_b": F.greatest(block, "_o").cast("long"), "half": F.col(block).cast("long")}).drop("_o")
 
 
@@ -311,20 +309,11 @@ def exact_forest(sets: list[np.ndarray], num: int, half: np.ndarray | None) -> l
 
 def confirm(docs: DataFrame, clusters: DataFrame, p: Params) -> DataFrame:
     """Exact edges inside candidate clusters (c, n, k1, k2, cluster)."""
-    by_size = Window.partitionBy("cluster").orderBy("n", "c")
-    running = F.sum("n").over(by_size.rowsBetween(Window.unboundedPreceding, -1))
-    block = F.greatest(F.floor(F.coalesce(running, F.lit(0)) / p.block_shingles), F.floor((F.row_number().over(by_size) - 1) / p.block))
-    # blocks by size: both counts grow along the order, so either change starts a block; dense numbers follow
-    cut = clusters.withColumn("raw", block).withColumn("block", (F.dense_rank().over(Window.partitionBy("cluster").orderBy("raw")) - 1).cast("int"))
-    per = cut.groupBy("cluster", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    pairs = (
-        per.alias("x")
-        .join(per.alias("y"), (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") <= F.col("y.block")) & (100 * F.col("x.hi") >= p.num * F.col("y.lo")))
-        .select(F.col("x.cluster").alias("cluster"), F.col("x.block").cast("long").alias("part_a"), F.col("y.block").cast("long").alias("part_b"))
-    )
-    ends = pairs.select("*", F.col("part_a").alias("block")).union(pairs.filter("part_a <> part_b").select("*", F.col("part_b").alias("block")))
-    placed = cut.join(ends, ["cluster", "block"]).select("cluster", "part_a", "part_b", F.col("block").cast("long").alias("half"), "c", "k1", "k2")
-    texts = docs.select(F.col("doc_id").cast("long").alias("c"), "text").join(clusters.select("c").distinct(), "c", "left_semi")
+    sizes = clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / p.block), F.ceil(F.sum("n") / p.block_shingles)).cast("int").alias("blocks"))
+    cut = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.hash("c"), "blocks"))
+    placed = block_pairs(cut, "cluster", "block", "blocks").select("cluster", "part_a", "part_b", "half", "c", "k1", "k2")
+    mine = clusters.select("c").distinct()
+    texts = likely_members(docs.select(F.col("doc_id").cast("long").alias("c"), "text"), mine).join(mine, "c", "left_semi")
 
     def run(batches):
         ids_out, pairs_out = [], []
