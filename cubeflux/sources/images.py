@@ -76,7 +76,7 @@ def empty_cube(spark: SparkSession, height: int, width: int, bands: int) -> Cube
 def from_array(spark: SparkSession, a: np.ndarray, lo: float = 0.0, hi: float = 255.0) -> Cube:
     """A cube from a (height, width, bands) array."""
     h, w, n = a.shape
-    pdf = pd.DataFrame({"vec_id": np.arange(h * w), "y": np.repeat(np.arange(h), w).astype(np.int32), "x": np.tile(np.arange(w), h).astype(np.int32), "label": np.zeros(h * w, np.int32), "s": list(a.reshape(-1, n).astype(float))})
+    pdf = pd.DataFrame({"vec_id": np.arange(h * w), "y": np.repeat(np.arange(h), w).astype(np.int32), "x": np.tile(np.arange(w), h).astype(np.int32), "label": np.zeros(h * w, np.int32), "s": a.reshape(-1, n).astype(float).tolist()})
     return Cube(spark.createDataFrame(pdf, PIXELS), w, n, lo, hi)
 
 
