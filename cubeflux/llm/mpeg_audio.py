@@ -146,7 +146,7 @@ class Stream:
 
 
 def decode(data: bytes) -> Stream:
-    """Take a stream apart. A frame counts only if another header, a trailing tag or the end follows it."""
+    """Take a stream apart. A frame counts only if its checksum holds, or another header, a trailing tag or the end follows."""
     s, at, end = Stream(), 0, len(data)
     if data[:3] == b"ID3" and len(data) >= 10:
         size = (data[6] << 21) | (data[7] << 14) | (data[8] << 7) | data[9]
@@ -159,20 +159,19 @@ def decode(data: bytes) -> Stream:
             p += 10 + n
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         s.id3v1, end = True, end - 128
-    synced = False
     while at + 4 <= end:
         h = parse_header(data[at : at + 4])
         nxt = at + h.size if h else 0
-        good = h and h.size > 4 and nxt <= end and (synced or nxt == end or parse_header(data[nxt : nxt + 4]))
-        if not good:
+        side = SIDE[(h.version == 1, h.mono)] if h and h.layer == 3 else 0
+        checked = bool(h and h.crc and h.layer == 3)
+        ok = checked and crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + side]) == int.from_bytes(data[at + 4 : at + 6], "big")
+        if not (h and h.size > 4 and nxt <= end and (nxt == end or ok or parse_header(data[nxt : nxt + 4]))):
             found = data.find(b"\xff", at + 1, end)
             s.junk += (end if found < 0 else found) - at
-            at, synced = (end, False) if found < 0 else (found, False)
+            at = end if found < 0 else found
             continue
-        side = SIDE[(h.version == 1, h.mono)] if h.layer == 3 else 0
         body = at + 4 + 2 * h.crc + side
-        if h.crc and h.layer == 3:
-            ok = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + side]) == int.from_bytes(data[at + 4 : at + 6], "big")
+        if checked:
             s.crc_ok, s.crc_bad = s.crc_ok + ok, s.crc_bad + (not ok)
         if not s.offsets and not s.vbr and data[body : body + 4] in (b"Xing", b"Info"):
             flags, p = struct.unpack(">I", data[body + 4 : body + 8])[0], body + 8
@@ -188,7 +187,7 @@ def decode(data: bytes) -> Stream:
             s.bodies.append((body, nxt))
             s.samples += h.samples
             s.rate = h.rate
-        at, synced = nxt, bool(parse_header(data[nxt : nxt + 4])) if nxt + 4 <= end else True
+        at = nxt
     s.junk += max(0, end - at) if at < end else 0
     return s
 
