@@ -1,11 +1,12 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, one window per word.
 
 Fit: words that stand in toxic documents, in several of them and after several different words, and almost never in
-ordinary ones are the toxic training text; the commonest words of ordinary documents are the ordinary one (counts over
-all labelled training rows, by Spark). ``zstandard.train_dictionary`` makes a dictionary of each. A window is a word,
+ordinary ones are the toxic training text; the commonest words of ordinary documents are the ordinary one (counted by
+Spark). ``zstandard.train_dictionary`` makes a dictionary of each. A window is a word,
 repeated so that the frame overhead doesn't hide it; its distance is the compressed length with the ordinary dictionary
 less that with the toxic one. Documents are described by how many windows pass each threshold, and a logistic model,
-fitted on at most ``sample`` labelled documents of each class (chosen by a hash of the id), calibrates the score.
+calibrates the score. Both learn from a bounded sample of labelled rows: at most ``sample`` toxic and ORDINARY times
+as many ordinary documents, chosen by a hash of the id.
 
 Windows are compressed once per distinct word of a batch and remembered; every word of every text is scored.
 
@@ -21,16 +22,18 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE = 4000
+from .common import materialize
+
+#: Labelled documents to fit on: at most SAMPLE toxic and ORDINARY times as many ordinary ones.
+SAMPLE, ORDINARY = 4000, 3
 SUPPORT = 5
 #: Distances at which windows are counted.
 CUTS = (2, 3, 4, 5, 6, 7)
 _TOKEN = re.compile(r"[^\W\d_]+")
-_SPLIT = r"[^\p{L}]+"
 
 
 @dataclass
@@ -103,26 +106,64 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, t, o, contexts): toxic and ordinary texts with the word, and a bit map of hashes of the words before it in
+    toxic texts. Each batch sends a word once."""
+
+    def run(batches):
+        import zlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            t, o, bits = {}, {}, {}
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = _TOKEN.findall(text.lower())
+                count = t if toxic else o
+                for w in set(found):
+                    count[w] = count.get(w, 0) + 1
+                if toxic:
+                    seen = set()
+                    for before, w in zip(["", *found], found, strict=False):
+                        if w not in seen:  # the first place of a word in a text
+                            seen.add(w)
+                            bits[w] = bits.get(w, 0) | 1 << (zlib.crc32(before.encode()) & 63)
+            all_words = list({**t, **o})
+            signed = [b - (1 << 64) if (b := bits.get(w, 0)) >> 63 else b for w in all_words]
+            yield pa.RecordBatch.from_arrays([pa.array(all_words, pa.string()), pa.array([t.get(w, 0) for w in all_words], pa.int64()), pa.array([o.get(w, 0) for w in all_words], pa.int64()), pa.array(signed, pa.int64())], ["word", "t", "o", "contexts"])
+
+    counted = rows.select("text", "toxic").mapInArrow(run, "word string, t long, o long, contexts long")
+    return counted.groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.bit_or("contexts").alias("contexts"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, support: int = SUPPORT, dictionary: int = 32768) -> Model:
     """Learn from the rows of documents with a label that aren't held out."""
     import zstandard as z
 
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
-    sizes = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.countDistinct("text").alias("n")).collect()}
+    sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     model = Model(rate=n1 / (n0 + n1) if n0 + n1 else 0.0)
     if not n1 or not n0:
         return model
-    # copies of a text count once, else their rare words look like a habit of toxic texts
-    once = train.groupBy(F.md5("text").alias("key"), "toxic").agg(F.first("text").alias("text"))
-    words = once.select("key", "toxic", F.split(F.lower("text"), _SPLIT).alias("w")).select("key", "toxic", F.explode(F.arrays_zip(F.col("w").alias("word"), F.concat(F.array(F.lit("")), F.col("w")).alias("before"))).alias("z")).select("key", "toxic", "z.word", "z.before").filter("length(word) >= 2")
-    per_doc = words.groupBy("word", "toxic", "key").agg(F.min("before").alias("before"))
-    per_word = per_doc.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"), F.approx_count_distinct(F.when(F.col("toxic") == 1, F.col("before"))).alias("contexts"))
-    share = F.col("t") / F.lit(float(n1))
-    other = (F.col("o") + 0.5) / F.lit(float(n0))
-    marked = per_word.filter((F.col("t") >= support) & (F.col("contexts") >= support) & (F.length("word") >= 3) & (share / (share + other) > 0.95))
+    order = (F.xxhash64("doc_id"), "doc_id")
+    chosen = known.filter("toxic = 1").orderBy(*order).limit(sample).union(known.filter("toxic = 0").orderBy(*order).limit(ORDINARY * sample))
+    chosen = materialize(chosen, "toxicity-sample")
+    # at most (1 + ORDINARY) * sample ids, so they may go to every task
+    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    train = materialize(train, "toxicity-train")
+    # copies of a text count once, else their rare words look like a habit of toxic texts; ids of the sample are bounded
+    first = train.select("doc_id", "toxic", F.md5("text").alias("key")).groupBy("key", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    once = train.join(F.broadcast(first.select("doc_id")), "doc_id", "left_semi")
+    found = {r.toxic: r.n for r in once.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    m1, m0 = found.get(1, 0), found.get(0, 0)
+    if not m1 or not m0:
+        return model
+    per_word = word_counts(once)
+    share = F.col("t") / F.lit(float(m1))
+    other = (F.col("o") + 0.5) / F.lit(float(m0))
+    marked = per_word.filter((F.col("t") >= support) & (F.bit_count("contexts") >= support) & (F.length("word") >= 3) & (share / (share + other) > 0.95))
     # both lists are bounded by the dictionaries' size, not by the corpus
     toxic = [r.word for r in marked.orderBy(F.desc("t"), "word").limit(4000).collect()]
     plain = [r.word for r in per_word.filter("o > 0").orderBy(F.desc("o"), "word").limit(4000).collect()]
@@ -137,10 +178,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, support: int =
         except z.ZstdError:  # too little text for zstandard's trainer: the text itself is the dictionary
             made.append(b"".join(samples)[-dictionary:])
     model.toxic, model.ordinary = made
-    chosen = train.withColumn("r", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("r") <= sample).select("text", "toxic").collect()
     scorer = Scorer(model)
-    x = np.array([scorer.features(r.text) for r in chosen], float)
-    y = np.array([r.toxic for r in chosen], float)
+    x, y = [], []
+    for r in train.select("text", "toxic").toLocalIterator():
+        x.append(scorer.features(r.text))
+        y.append(float(r.toxic))
+    x, y = np.array(x), np.array(y)
     w = logistic(x, y)
     # the classes were sampled at different rates: put the constant right
     k1, k0 = y.sum(), len(y) - y.sum()
