@@ -23,7 +23,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, materialize, shared_dir
+from .common import Store, mark_members, materialize, shared_dir
 
 MAGIC = b"WARC/1.1\r\n"
 SPLIT_BYTES = 8 << 20
@@ -201,11 +201,12 @@ def with_references(pages: DataFrame) -> DataFrame:
     least = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
     # only digests that occur again need a lookup; pages of any other digest stay where they are
     keys = rows.select("digest", "page_id").join(least, "digest").filter("page_id is null or page_id > first").select(F.coalesce("page_id", F.lit(_NO_ID)).alias("key"), "digest", "first").distinct()
-    return (
-        rows.withColumn("key", F.coalesce("page_id", F.lit(_NO_ID)))
-        .join(keys, ["key", "digest"], "left")
-        .select("page_id", "url", "html", F.col("first").alias("refers_to"))
-    )
+    keys = materialize(keys, "warc-keys")
+    keyed = rows.select(F.coalesce("page_id", F.lit(_NO_ID)).alias("key"), "page_id", "url", "html", "digest")
+    marked = mark_members(keyed, keys.select("key"))
+    looked_up = marked.filter("_likely").join(keys, ["key", "digest"], "left")
+    out = ["page_id", "url", "html"]
+    return marked.filter("not _likely").select(*out, F.lit(None).cast("long").alias("refers_to")).union(looked_up.select(*out, F.col("first").alias("refers_to")))
 
 
 def warc(pages: DataFrame, split: int = SPLIT_BYTES) -> DataFrame:
