@@ -8,7 +8,7 @@ similarity of at least ``num``/100; lines with equal sets are one class, so copi
 2. A line's words are ordered by rarity. Its prefix goes to an inverted index with position, size and a 64-bit word bitmap.
    Each batch sends a class once. Words too frequent for one task are dealt in blocks, and pairs of blocks compared.
 3. In a posting list sorted by size, pairs pass the length, positional and bitmap filters; none loses a true pair.
-4. Surviving pairs are verified on the words themselves; the later class of a verified pair loses its first line too.
+4. Surviving pairs are verified on their full sets of word hashes (64 bits); the later class of a verified pair loses its first line too.
 
 Defined cases: null text is an empty text of one empty line; lines without words are never removed; rows that share a
 doc_id are told apart by their text, and equal rows are treated alike; a null doc_id comes last; very long lines are
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, column_bytes, lower_ascii, materialize, mix64, ranges, word_hashes, word_spans
+from .common import GOLDEN, column_bytes, is_member, lower_ascii, materialize, member_bits, mix64, ranges, release, word_hashes, word_spans
 
 #: A word in more than 1/SHARE of a batch's lines is reported as frequent.
 SHARE = 5000
@@ -95,7 +95,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, num: int, frequent) -> DataFrame:
-    """(word, part, half, n, pos, bits, k1): prefix words of each class, once per batch."""
+    """(key, packed, bits, k1): prefix words of each class, once per batch. key: word and block pair; packed: size, position, side."""
 
     def run(batches):
         import pyarrow as pa
@@ -130,24 +130,29 @@ def postings(docs: DataFrame, num: int, frequent) -> DataFrame:
             other = np.arange(len(rep)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
             own = (s.k2[pick][of[rep]] % blocks[rep].astype(np.uint64)).astype(np.int64)
             part = np.minimum(own, other) << 20 | np.maximum(own, other)
-            cols = [word[rep].view(np.int64), part, own.astype(np.int32), n[of[rep]].astype(np.int32), pos[rep], bits[of[rep]].view(np.int64), s.k1[pick][of[rep]].view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["word", "part", "half", "n", "pos", "bits", "k1"])
+            key = word[rep] ^ np.where(blocks[rep] > 1, mix64(part.astype(np.uint64) + GOLDEN), np.uint64(0))
+            # size, position, side of the block pair (0: within one block) in one number; sorts by size
+            side = np.where(own == other, 0, np.where(own < other, 1, 2))
+            packed = n[of[rep]] << 33 | pos[rep].astype(np.int64) << 2 | side
+            cols = [key.view(np.int64), packed, bits[of[rep]].view(np.int64), s.k1[pick][of[rep]].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "packed", "bits", "k1"])
 
-    return docs.select("text").mapInArrow(run, "word long, part long, half int, n int, pos int, bits long, k1 long")
+    return docs.select("text").mapInArrow(run, "key long, packed long, bits long, k1 long")
 
 
-def filtered_pairs(word, part, half, n, pos, bits, k1, num: int):
+def filtered_pairs(key, packed, bits, k1, num: int) -> np.ndarray:
     """Pairs of rows of one posting list that pass all filters. Rows are sorted by list and size: a row is compared with
     the rows after it at distance 1, 2, ... until the list or the length filter ends."""
-    out, live, d = [], np.arange(max(0, len(word) - 1)), 1
+    n, pos, side = packed >> 33, packed >> 2 & 0x7FFFFFFF, packed & 3
+    out, live, d = [], np.arange(max(0, len(key) - 1)), 1
     while len(live):
-        live = live[live + d < len(word)]
+        live = live[live + d < len(key)]
         j = live + d
-        go = (word[live] == word[j]) & (part[live] == part[j]) & (100 * n[live] >= num * n[j])
+        go = (key[live] == key[j]) & (100 * n[live] >= num * n[j])
         live, j = live[go], j[go]
         need = -(-num * (n[live] + n[j]) // (100 + num))
         ok = (np.minimum(n[live] - pos[live], n[j] - pos[j]) >= need) & (k1[live] != k1[j])
-        ok &= ((part[live] >> 20) == (part[live] & 0xFFFFF)) | (half[live] != half[j])
+        ok &= (side[live] != side[j]) | (side[live] == 0)
         i, j, need = live[ok], j[ok], need[ok]
         near = np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)) <= n[i] + n[j] - 2 * need
         if near.any():
@@ -165,7 +170,7 @@ def candidate_pairs(posts: DataFrame, num: int) -> DataFrame:
             cols = [c.to_numpy() for c in batch.columns]
             if held is not None:
                 cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
-            whole = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
+            whole = np.flatnonzero(cols[0] != cols[0][-1])
             cut = int(whole[-1]) + 1 if len(whole) else 0
             held = [c[cut:] for c in cols]
             if cut:
@@ -176,15 +181,45 @@ def candidate_pairs(posts: DataFrame, num: int) -> DataFrame:
     def emit(cols):
         import pyarrow as pa
 
-        pairs = filtered_pairs(*(c.astype(np.int64) for c in cols), num)
+        pairs = filtered_pairs(*cols, num)
         if len(pairs):
             pairs = np.unique(np.sort(pairs, axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
 
-    dealt = posts.repartition("word", "part").sortWithinPartitions("word", "part", "n")
+    dealt = posts.repartition("key").sortWithinPartitions("key", "packed")
     return dealt.mapInArrow(run, "x long, y long").distinct()
 
 
+def sets_of(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """(k1, words): the word hashes of the classes in ends (k1). Lines of other classes don't leave their task, but for
+    the few that the membership filter lets through."""
+    flags = member_bits(ends)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                s = _Sets(batch.column(0))
+                k1, once = np.unique(s.k1.view(np.int64), return_index=True)
+                pick = once[is_member(flags.value, k1)]
+                pick = pick[s.n[pick] > 0]
+                at = np.zeros(len(pick) + 1, np.int32)
+                np.cumsum(s.n[pick], out=at[1:])
+                words = pa.ListArray.from_arrays(pa.array(at), pa.array(s.h[ranges(s.first[pick], s.n[pick])].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(s.k1[pick].view(np.int64)), words], ["k1", "words"])
+
+    return docs.select("text").mapInArrow(run, "k1 long, words array<long>").join(ends, "k1", "left_semi").dropDuplicates(["k1"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
+    """(late) of the pairs (early, late) whose sets of words are similar."""
+    a, b = (sets.select(F.col("k1").alias(k), F.col("words").alias(w)) for k, w in (("early", "wx"), ("late", "wy")))
+    inter = F.size(F.array_intersect("wx", "wy"))
+    near = pairs.select("early", "late").join(a, "early").join(b, "late").filter(100 * inter >= num * (F.size("wx") + F.size("wy") - inter))
+    return near.select("late").distinct()
+
+
 def duplicate_lines(docs: DataFrame, num: int = 80) -> DataFrame:
     """(doc_id, rk, line) of the lines to remove. docs: doc_id, rk, text."""
     spark = docs.sparkSession
@@ -194,18 +229,17 @@ def duplicate_lines(docs: DataFrame, num: int = 80) -> DataFrame:
     classes = materialize(lines.filter("n > 0").groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("lines")), "line-classes")
     pairs = materialize(candidate_pairs(postings(docs, num, frequent), num), "line-pairs")
     ends = pairs.select(F.col("x").alias("k1")).union(pairs.select(F.col("y").alias("k1"))).distinct()
-    # the words of each class that is in a pair, from the class's first line
-    wanted = classes.join(ends, "k1", "left_semi").select("k1", "first")
-    by_doc = wanted.groupBy(F.col("first.d").alias("d"), F.col("first.rk").alias("rk")).agg(F.collect_list(F.struct("first.line", "k1", "first")).alias("w"))
-    texts = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), F.coalesce("rk", F.lit(0)).alias("rk"), F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.join(by_doc, ["d", "rk"]).select(F.split("text", "\n").alias("l"), F.explode("w").alias("w"))
-    line_text = F.translate(F.element_at("l", F.col("w.line") + 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.array_distinct(F.filter(F.split(line_text, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
-    sets = materialize(found.select(F.col("w.k1").alias("k1"), F.col("w.first").alias("first"), words.alias("words")).dropDuplicates(["k1"]), "line-sets")
-    a, b = sets.select(F.col("k1").alias("x"), F.col("first").alias("fx"), F.col("words").alias("wx")), sets.select(F.col("k1").alias("y"), F.col("first").alias("fy"), F.col("words").alias("wy"))
-    inter = F.size(F.array_intersect("wx", "wy"))
-    near = pairs.join(a, "x").join(b, "y").filter(100 * inter >= num * (F.size("wx") + F.size("wy") - inter))
-    later = near.select(F.when(F.col("fx") < F.col("fy"), F.col("y")).otherwise(F.col("x")).alias("k1")).distinct().withColumn("near", F.lit(True))
+    release(spark)
+    sets = materialize(sets_of(docs, ends), "line-sets")
+    firsts = classes.select("k1", "first")
+    fx, fy = (firsts.select(F.col("k1").alias(k), F.col("first").alias(f"f{k}")) for k in "xy")
+    x_first = F.col("fx") < F.col("fy")
+    ordered = pairs.join(fx, "x").join(fy, "y").select(F.when(x_first, F.col("x")).otherwise(F.col("y")).alias("early"), F.when(x_first, F.col("y")).otherwise(F.col("x")).alias("late"), F.least("fx", "fy").alias("place"))
+    ordered = materialize(ordered, "line-ordered")
+    # one verified pair settles a class: first its earliest candidate, then all pairs of the classes still open
+    settled = materialize(_verified(ordered.groupBy("late").agg(F.min_by("early", "place").alias("early")), sets, num), "line-settled")
+    release(spark)
+    later = settled.union(_verified(ordered.join(settled, "late", "left_anti"), sets, num)).select(F.col("late").alias("k1")).distinct().withColumn("near", F.lit(True))
     judged = classes.join(later, "k1", "left").filter("lines > 1 or near").select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     hit = lines.filter("n > 0").withColumn("place", place).join(judged, ["k1", "k2"]).filter(F.col("near") | (F.col("place") != F.col("first")))
     return hit.select("doc_id", "rk", "line")
