@@ -2,9 +2,11 @@
 
 The standard library's parser streams events. They are cut into lines at block-level tags; each line has a count of
 text characters and of tags. The ratio of the two is smoothed with a Gaussian along the page, two-means clustering sets
-a threshold, and the lines above it mark the content regions. A region is completed to the whole container it lies in
-(article, main, section, ...), so short paragraphs between long ones stay. Lines inside menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments never count.
+a threshold, and the lines above it mark the content regions, on every page and wherever they lie. A region is completed
+to the whole container it lies in (the outermost article or main, else the section, div, ...), so short paragraphs
+between long ones stay; an article without a region isn't kept, nor are the lists of links in a region's container.
+
+Lines inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments never count.
 
 Defined cases: null or empty html gives an empty text; a page without any block gives its plain text; broken or unclosed
 markup is read as the parser reports it; very long pages are streamed event by event; repeated rows give equal texts;
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,6 +28,7 @@ BLOCKS = set("address article aside blockquote body caption center dd details di
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = set("aside audio button canvas dialog fieldset footer form head iframe input label menu nav noscript object option script select style svg template textarea title video".split())
 CONTAINERS = set("article body div main section td".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: A start tag of the left closes an open element of the right.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}} | {b: {"p"} for b in BLOCKS - set("li dt dd tr td th option".split())}
 _ROLE = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|banners?|breadcrumbs?|byline-links|comments?|comment-?\w*|consent|cookies?|disqus\w*|footers?|gdpr|masthead|menus?|modals?|navs?|navbar|navigation|newsletters?|notices?|pagination|popups?|promos?|promotions?|related|replies|respond|share|sharing|sidebars?|skip-?links?|social|sponsor\w*|subscribe|subscription|toolbar|widgets?)(?:[^a-z]|$)", re.I)
@@ -32,24 +36,34 @@ _PAGE_ROLE = re.compile(r"(?:^|[^a-z])(?:headers?|topbar)(?:[^a-z]|$)", re.I)
 _ARIA = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 
 
+class _Line(NamedTuple):
+    text: str
+    tags: int
+    linked: bool  # most of it is links, and it is no heading
+    dropped: bool
+    box: int
+    page: int  # the outermost article or main, 0 if there is none
+
+
 class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int, bool]] = []  # tag, dropped, container, in article or main
+        self.stack: list[tuple[str, bool, int, int, bool]] = []  # tag, dropped, box, page, in a link
         self.text: list[str] = []
-        self.tags = 0
-        self.containers = 0
-        self.lines: list[tuple[str, int, bool, int, bool]] = []  # text, tags, dropped, container, in article or main
+        self.tags = self.links = self.containers = 0
+        self.heading = False
+        self.lines: list[_Line] = []
 
-    def state(self) -> tuple[bool, int, bool]:
-        return self.stack[-1][1:] if self.stack else (False, 0, False)
+    def state(self) -> tuple[bool, int, int, bool]:
+        return self.stack[-1][1:] if self.stack else (False, 0, 0, False)
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, *self.state()))
+            self.lines.append(_Line(text, self.tags, 2 * self.links > len(text) and not self.heading, *self.state()[:3]))
         if text or self.text:
             self.tags = 0
+        self.links, self.heading = 0, False
         self.text.clear()
 
     def handle_starttag(self, tag, attrs):
@@ -63,23 +77,26 @@ class _Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        dropped, box, inside = self.state()
+        dropped, box, page, link = self.state()
         if not dropped:
             a = {k: v or "" for k, v in attrs}
             names = f"{a.get('class', '')} {a.get('id', '')}"
             dropped = (
                 tag in DROPPED
-                or (tag == "header" and not inside)
+                or (tag == "header" and not page)
                 or "hidden" in a
                 or a.get("aria-hidden") == "true"
                 or a.get("role", "") in _ARIA
-                or bool(names.strip() and tag not in ("html", "body", "main") and (_ROLE.search(names) or (not inside and _PAGE_ROLE.search(names))))
+                or bool(names.strip() and tag not in ("html", "body", "main") and (_ROLE.search(names) or (not page and _PAGE_ROLE.search(names))))
                 or "display:none" in a.get("style", "").replace(" ", "")
             )
         if tag in CONTAINERS:
             self.containers += 1
             box = self.containers
-        self.stack.append((tag, dropped, box, inside or tag in ("article", "main")))
+        if tag in ("article", "main"):
+            page = page or box
+        self.heading = self.heading or tag in HEADINGS
+        self.stack.append((tag, dropped, box, page, link or tag == "a"))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -102,6 +119,8 @@ class _Lines(HTMLParser):
     def handle_data(self, data):
         if not (self.stack and self.stack[-1][0] in ("script", "style")):
             self.text.append(data)
+            if self.state()[3]:
+                self.links += len(" ".join(data.split()))
 
 
 def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
@@ -125,6 +144,15 @@ def two_means(x: np.ndarray) -> float:
     return (lo + hi) / 2
 
 
+def above(dropped: list[bool], lines: list[_Line], sigma: float) -> list[bool]:
+    """Whether the smoothed ratio of each line reaches the threshold; none does on a page without free text."""
+    ratio = np.array([0.0 if d else len(x.text) / max(1, x.tags) for x, d in zip(lines, dropped, strict=True)])
+    if not ratio.any():
+        return [False] * len(lines)
+    level = smooth(ratio, sigma)
+    return [h and not d for h, d in zip((level >= two_means(level)).tolist(), dropped, strict=True)]
+
+
 def extract(html: str | None, sigma: float = 1.0) -> str:
     """The main text of a page: blocks in page order, joined by two newlines."""
     parser = _Lines()
@@ -132,21 +160,14 @@ def extract(html: str | None, sigma: float = 1.0) -> str:
     parser.close()
     parser.flush()
     lines = parser.lines
-    if not lines:
-        return ""
-    ratio = np.array([0.0 if d else len(t) / max(1, tags) for t, tags, d, _, _ in lines])
-    if not ratio.any():
-        return ""
-    level = smooth(ratio, sigma)
-    hot = level >= two_means(level)
-    free = [i for i, line in enumerate(lines) if not line[2]]
-    # the regions' containers: an article or main element if a region lies in one, else the containers of hot lines
-    if any(hot[i] and lines[i][4] for i in free) or any(lines[i][4] for i in free):
-        kept = [i for i in free if lines[i][4]]
-    else:
-        boxes = {lines[i][3] for i in free if hot[i]}
-        kept = [i for i in free if lines[i][3] in boxes]
-    return "\n\n".join(lines[i][0] for i in kept)
+    hot = above([x.dropped for x in lines], lines, sigma)
+    free = [i for i, x in enumerate(lines) if not x.dropped]
+    # the regions' containers: the article or main element a region lies in, else the container of a hot line
+    boxes = {lines[i].page or lines[i].box for i in free if hot[i]}
+    kept = [i for i in free if (lines[i].page or lines[i].box) in boxes]
+    # lists of links: neighbouring cold lines that are mostly links
+    cold = {i for i in free if lines[i].linked and not hot[i]}
+    return "\n\n".join(lines[i].text for i in kept if not (i in cold and (i - 1 in cold or i + 1 in cold)))
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"

@@ -232,6 +232,13 @@ def test_html_text(spark):
     d = spark.createDataFrame([(1, "u", page), (2, None, None)], "page_id long, url string, html string")
     assert {r.page_id: r.n_chars for r in html_text.extract_pages(d).collect()} == {1: len("Head & line") + 2 + len("First para more.") + 2 + len("Second"), 2: 0}
 
+def test_html_regions_follow_the_ratio():
+    long = "word " * 40
+    card = f"<body><article><p>Card text</p></article><div><p>{long}</p><p>{long}</p><p>end</p></div></body>"
+    assert html_text.extract(card) == "\n\n".join([long.strip(), long.strip(), "end"])
+    links = "".join(f"<li><a href='/{i}'>See {i}</a></li>" for i in range(6))
+    assert html_text.extract(f"<body><article><h1><a>Head</a></h1><p>{long}</p><p>{long}</p><ul>{links}</ul><p>end</p></article></body>") == "\n\n".join(["Head", long.strip(), long.strip(), "end"])
+
 
 def test_bm25_against_brute_force(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
