@@ -6,7 +6,9 @@ a threshold, and the lines above it mark the content regions, on every page and
 to the whole container it lies in (the outermost article or main, else the section, div, ...), so short paragraphs
 between long ones stay; an article without a region isn't kept, nor are the lists of links in a region's container.
 
-Lines inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments never count.
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments never count. Where only
+a word of a class or id says so, the element counts all the same if it holds the page's article or most of the text of
+the lines above the threshold. Such a word must name the element (``left-sidebar``, not ``with-sidebar``).
 
 Defined cases: null or empty html gives an empty text; a page without any block gives its plain text; broken or unclosed
 markup is read as the parser reports it; very long pages are streamed event by event; repeated rows give equal texts;
@@ -16,6 +18,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 from typing import NamedTuple
 
@@ -31,16 +34,41 @@ CONTAINERS = set("article body div main section td".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: A start tag of the left closes an open element of the right.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}} | {b: {"p"} for b in BLOCKS - set("li dt dd tr td th option".split())}
-_ROLE = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|banners?|breadcrumbs?|byline-links|comments?|comment-?\w*|consent|cookies?|disqus\w*|footers?|gdpr|masthead|menus?|modals?|navs?|navbar|navigation|newsletters?|notices?|pagination|popups?|promos?|promotions?|related|replies|respond|share|sharing|sidebars?|skip-?links?|social|sponsor\w*|subscribe|subscription|toolbar|widgets?)(?:[^a-z]|$)", re.I)
-_PAGE_ROLE = re.compile(r"(?:^|[^a-z])(?:headers?|topbar)(?:[^a-z]|$)", re.I)
+_ROLE = re.compile(r"ads?|advert\w*|banners?|breadcrumbs?|consent|cookies?|footers?|gdpr|masthead|menus?|modals?|navs?|navbar|navigation|newsletters?|notices?|pagination|popups?|promos?|promotions?|related|share|sharing|sidebars?|skiplinks?|social|sponsor\w*|subscribe|subscription|toolbar|widgets?")
+_PAIRS = re.compile(r"(?:byline|skip)[^a-z]links?")
+_READERS = re.compile(r"comments?|commentlist|disqus\w*|replies|respond")
+_PAGE_ROLE = re.compile(r"headers?|topbar")
+#: Parts of a class that say how an element looks or is placed in, after the word that names it; and parts that say what a page has or does.
+_FORM = set("area bar block body box button buttons col column container content form group icon icons inner item items link links list outer panel row section slot unit wrap wrapper".split())
+_STATE = set("active closed disabled enabled has hide is no not off on open show with without".split())
 _ARIA = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 
 
+@lru_cache(4096)
+def role(names: str) -> str:
+    """What the classes and id of an element name: readers, other, header or nothing."""
+    found = ""
+    for token in names.lower().split():
+        parts = [x for x in re.split("[^a-z]+", token) if x]
+        if not parts or _STATE.intersection(parts):
+            continue
+        if _READERS.fullmatch(parts[0]) and len(parts) <= 2 or _READERS.fullmatch(parts[-1]):
+            return "readers"
+        while len(parts) > 1 and parts[-1] in _FORM:
+            parts.pop()
+        if _ROLE.fullmatch(parts[-1]) or _PAIRS.fullmatch(token):
+            found = "other"
+        elif _PAGE_ROLE.fullmatch(parts[-1]):
+            found = found or "header"
+    return found
+
+
 class _Line(NamedTuple):
     text: str
     tags: int
     linked: bool  # most of it is links, and it is no heading
     dropped: bool
+    named: tuple[int, ...]  # elements around it that a class or id gives a role
     box: int
     page: int  # the outermost article or main, 0 if there is none
 
@@ -48,19 +76,21 @@ class _Line(NamedTuple):
 class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int, int, bool]] = []  # tag, dropped, box, page, in a link
+        self.stack: list[tuple[str, bool, tuple[int, ...], int, int, bool]] = []  # tag, dropped, named, box, page, in a link
         self.text: list[str] = []
         self.tags = self.links = self.containers = 0
         self.heading = False
+        self.named: list[str] = []  # role of each named element
+        self.holding: set[int] = set()  # named elements with an article or main that isn't a reader's
         self.lines: list[_Line] = []
 
-    def state(self) -> tuple[bool, int, int, bool]:
-        return self.stack[-1][1:] if self.stack else (False, 0, 0, False)
+    def state(self) -> tuple[bool, tuple[int, ...], int, int, bool]:
+        return self.stack[-1][1:] if self.stack else (False, (), 0, 0, False)
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append(_Line(text, self.tags, 2 * self.links > len(text) and not self.heading, *self.state()[:3]))
+            self.lines.append(_Line(text, self.tags, 2 * self.links > len(text) and not self.heading, *self.state()[:4]))
         if text or self.text:
             self.tags = 0
         self.links, self.heading = 0, False
@@ -77,26 +107,31 @@ class _Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        dropped, box, page, link = self.state()
+        dropped, named, box, page, link = self.state()
         if not dropped:
             a = {k: v or "" for k, v in attrs}
-            names = f"{a.get('class', '')} {a.get('id', '')}"
             dropped = (
                 tag in DROPPED
                 or (tag == "header" and not page)
                 or "hidden" in a
                 or a.get("aria-hidden") == "true"
                 or a.get("role", "") in _ARIA
-                or bool(names.strip() and tag not in ("html", "body", "main") and (_ROLE.search(names) or (not page and _PAGE_ROLE.search(names))))
                 or "display:none" in a.get("style", "").replace(" ", "")
             )
+            names = f"{a.get('class', '')} {a.get('id', '')}".strip()
+            kind = role(names) if names and tag not in ("html", "body", "main") else ""
+            if tag in ("article", "main") and not dropped and kind != "readers" and not any(self.named[k] == "readers" for k in named):
+                self.holding.update(named)
+            if kind and (kind != "header" or not page):
+                named = (*named, len(self.named))
+                self.named.append(kind)
         if tag in CONTAINERS:
             self.containers += 1
             box = self.containers
         if tag in ("article", "main"):
             page = page or box
         self.heading = self.heading or tag in HEADINGS
-        self.stack.append((tag, dropped, box, page, link or tag == "a"))
+        self.stack.append((tag, dropped, named, box, page, link or tag == "a"))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -119,7 +154,7 @@ class _Lines(HTMLParser):
     def handle_data(self, data):
         if not (self.stack and self.stack[-1][0] in ("script", "style")):
             self.text.append(data)
-            if self.state()[3]:
+            if self.state()[4]:
                 self.links += len(" ".join(data.split()))
 
 
@@ -153,6 +188,31 @@ def above(dropped: list[bool], lines: list[_Line], sigma: float) -> list[bool]:
     return [h and not d for h, d in zip((level >= two_means(level)).tolist(), dropped, strict=True)]
 
 
+def left_out(parser: _Lines, hot: list[bool]) -> set[int]:
+    """The named elements that are dropped, outer ones judged first.
+
+    One stays if it holds an article or main and no less hot text than what else is free, or most of the hot text (nearly
+    all, if an article or main has free text outside it). Reader comments stay only if nothing else is free.
+    """
+    lines = parser.lines
+    held = [0] * len(parser.named)
+    for x, h in zip(lines, hot, strict=True):
+        if h:
+            for k in x.named:
+                held[k] += len(x.text)
+    total = sum(len(x.text) for x, h in zip(lines, hot, strict=True) if h)
+    out = set(range(len(parser.named)))
+    for k, kind in enumerate(parser.named):
+        if not held[k] or (k not in parser.holding and 2 * held[k] <= total):
+            continue
+        others = [(x, h) for x, h in zip(lines, hot, strict=True) if not x.dropped and k not in x.named and out.isdisjoint(x.named)]
+        free = sum(len(x.text) for x, h in others if h)
+        share = 0.9 if any(x.page for x, _ in others) else 0.5
+        if held[k] > share * total and kind != "readers" or (k in parser.holding and held[k] >= free) or not others and 2 * held[k] > total:
+            out.discard(k)
+    return out
+
+
 def extract(html: str | None, sigma: float = 1.0) -> str:
     """The main text of a page: blocks in page order, joined by two newlines."""
     parser = _Lines()
@@ -161,6 +221,11 @@ def extract(html: str | None, sigma: float = 1.0) -> str:
     parser.flush()
     lines = parser.lines
     hot = above([x.dropped for x in lines], lines, sigma)
+    if parser.named:
+        out = left_out(parser, hot)
+        drop = [x.dropped or not out.isdisjoint(x.named) for x in lines]
+        hot = above(drop, lines, sigma)
+        lines = [x._replace(dropped=d) for x, d in zip(lines, drop, strict=True)]
     free = [i for i, x in enumerate(lines) if not x.dropped]
     # the regions' containers: the article or main element a region lies in, else the container of a hot line
     boxes = {lines[i].page or lines[i].box for i in free if hot[i]}

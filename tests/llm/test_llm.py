@@ -239,6 +239,15 @@ def test_html_regions_follow_the_ratio():
     links = "".join(f"<li><a href='/{i}'>See {i}</a></li>" for i in range(6))
     assert html_text.extract(f"<body><article><h1><a>Head</a></h1><p>{long}</p><p>{long}</p><ul>{links}</ul><p>end</p></article></body>") == "\n\n".join(["Head", long.strip(), long.strip(), "end"])
 
+def test_html_class_words_do_not_drop_the_page():
+    text = "word " * 40
+    side = "<div class='left-sidebar'><p>side</p></div><div id='comments'><article class='comment'><p>nice</p></article></div>"
+    for head in ("<div class='layout with-sidebar'><article>", "<div><article class='post comments-open'>", "<div class='content related-enabled'><article>", "<div class='widgets'><article>", "<div class='content'><article class='related'>", "<div class='sidebar'>"):
+        close = "</article></div>" if "<article" in head else "</div>"
+        assert html_text.extract(f"<body>{head}<p>{text}</p><p>end</p>{close}{side}</body>") == text.strip() + "\n\nend", head
+    card = f"<body><div><p>{text}</p><p>{text}</p></div><div class='sidebar'><article><p>{text[:60]}</p></article></div></body>"
+    assert html_text.extract(card) == text.strip() + "\n\n" + text.strip()
+
 
 def test_bm25_against_brute_force(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
