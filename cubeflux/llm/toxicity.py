@@ -1,14 +1,17 @@
-"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, one window per word.
+"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, one window per word,
+and overlapping windows over a longer run of letters (text without blanks).
 
 Fit: words that stand in toxic documents, in several of them and after several different words, and almost never in
 ordinary ones are the toxic training text; the commonest words of ordinary documents are the ordinary one (counted by
-Spark). ``zstandard.train_dictionary`` makes a dictionary of each. A window is a word,
-repeated so that the frame overhead doesn't hide it; its distance is the compressed length with the ordinary dictionary
-less that with the toxic one. Documents are described by how many windows pass each threshold, and a logistic model,
-calibrates the score. Both learn from a bounded sample of labelled rows: at most ``sample`` toxic and ORDINARY times
-as many ordinary documents, chosen by a hash of the id.
+Spark). ``zstandard.train_dictionary`` makes a dictionary of each. A window is a word of at most LONGEST letters, or WIDTH
+letters of a longer run, every STRIDE letters and at its end; so a term of up to WIDTH - STRIDE + 1 letters lies whole in
+one, wherever it stands, and isn't drowned by what surrounds it. In the fit these windows are the words of a longer run.
+A window is repeated so that the frame overhead doesn't hide it; its distance is the compressed length with the ordinary
+dictionary less that with the toxic one. Documents are described by how many windows pass each threshold, and a logistic
+model calibrates the score. Both learn from a bounded sample of labelled rows: at most ``sample`` toxic and ORDINARY
+times as many ordinary documents, chosen by a hash of the id.
 
-Windows are compressed once per distinct word of a batch and remembered; every word of every text is scored.
+Windows are compressed once per distinct one and remembered; every letter of every text is in one and all are scored.
 
 Defined cases: null or empty text has no windows and gets the calibrated score of such a document; no label-1 or no
 label-0 training row, or no toxic word, gives every document the training rate (0 if there is none); repeated rows score
@@ -33,6 +36,8 @@ SAMPLE, ORDINARY = 4000, 3
 SUPPORT = 5
 #: Distances at which windows are counted.
 CUTS = (2, 3, 4, 5, 6, 7)
+#: Letters of the longest run that is one window; of a window of a longer run, and from one of them to the next.
+LONGEST, WIDTH, STRIDE = 32, 16, 4
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -73,7 +78,7 @@ class Scorer:
         return got
 
     def features(self, text: str | None) -> list[float]:
-        words = _TOKEN.findall((text or "").lower())
+        words = windows((text or "").lower())
         if len(self.pair) < 2 or not words:
             return [0.0] * (len(CUTS) + 2)
         d = np.fromiter(map(self.distance, words), np.int64, len(words))
@@ -88,8 +93,20 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(x @ w[1:] + w[0], -30, 30)))
 
 
+def windows(text: str) -> list[str]:
+    """Runs of at most LONGEST letters, and overlapping pieces of WIDTH letters of longer ones."""
+    out = []
+    for run in _TOKEN.findall(text):
+        if len(run) <= LONGEST:
+            out.append(run)
+        else:
+            last = len(run) - WIDTH
+            out += [run[k : k + WIDTH] for k in (*range(0, last, STRIDE), last)]
+    return out
+
+
 def window(word: str) -> bytes:
-    return ((" " + word[:64]) * 4 + " ").encode()
+    return ((" " + word) * 4 + " ").encode()
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -118,7 +135,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             t, o, bits = {}, {}, {}
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = _TOKEN.findall(text.lower())
+                found = windows(text.lower())
                 count = t if toxic else o
                 for w in set(found):
                     count[w] = count.get(w, 0) + 1

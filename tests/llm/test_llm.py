@@ -305,6 +305,17 @@ def test_toxicity_held_out(spark, sf, odd, none):
     assert toxicity.score(none, model).count() == 0
     assert {r.score for r in toxicity.toxicity(odd, y.filter("false")).collect()} == {0.0}
 
+def test_toxicity_sees_the_end_of_long_runs():
+    plain = ["house", "garden", "window", "street", "winter", "summer"]
+    made = [b"".join(toxicity.window(w) for w in ws) * 20 for ws in (["blarghous", "snorflegrib"], plain)]
+    scorer = toxicity.Scorer(toxicity.Model(toxic=made[0], ordinary=made[1]))
+    glued = "".join(plain) * 4
+    for at in range(0, len(glued), 7):
+        text = glued[:at] + "snorflegrib" + glued[at:]
+        assert scorer.features(text)[-2] > scorer.features(glued)[-2], at
+        assert any("snorflegrib" in w for w in toxicity.windows(text)) and max(map(len, toxicity.windows(text))) <= 64
+    assert toxicity.windows("a bc " + "d" * 32) == ["a", "bc", "d" * 32] and [len(w) for w in toxicity.windows("e" * 33)] == [16] * 6
+
 
 def test_membership_filter_loses_no_row(spark):
     rows = spark.range(5000).select(F.col("id").alias("k"), F.lit("x").alias("v"))
