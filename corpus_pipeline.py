@@ -32,8 +32,8 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sample that meets the target weights."""
-    return mixing.mix(docs).filter("sampled").select(*docs.columns)
+    """The largest sample, up to the budget, whose expected tokens meet the target weights."""
+    return mixing.mix(docs, exact=True).filter("sampled").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

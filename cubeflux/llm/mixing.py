@@ -4,7 +4,14 @@ All steps are DataFrame functions. Documents are first reduced to cells (source,
 source that holds a third of all rows is a few rows from there on. Raking multiplies the cells' token weights until the
 source, language and topic marginals meet their targets, each half step one window over the cells. The ratio of a
 cell's weight to its tokens, scaled so that the expected kept tokens meet the budget with no probability above one, is
-the probability of its documents. A document's uniform number is the MD5 of its id, so samples are reproducible.
+the probability of its documents.
+
+A budget and the targets can't always be had together: a cell has no more than its tokens. ``mix`` keeps the budget by
+default: it cuts probabilities at one after the raking, so with the production parameters small sources, languages and
+topics stay below their targets (op1_mixing; its SQL does the same). With ``exact``, as in the pipeline, it keeps the
+targets: capping and raking alternate at the largest budget up to the given one at which every marginal can be met, plain
+raking goes on until all marginals are within CLOSE of their targets (FURTHER rounds at most), and what still passes one
+lowers the budget. A document's uniform number is the MD5 of its id, so samples are reproducible.
 
 Targets default to tempered shares of the corpus (token share to a power below one). A target that no cell can meet
 leaves the fit at its last iterate.
@@ -25,6 +32,8 @@ DIMS = ("source", "lang", "topic")
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 ROUNDS = 12
 CAPPING = 8
+#: Deviation from a target at which exact raking stops, and its most rounds without capping.
+CLOSE, FURTHER = 1e-3, 60
 #: Share of all tokens to keep.
 BUDGET = 0.5
 
@@ -85,14 +94,44 @@ def calibration(cells: DataFrame, budget: float = BUDGET) -> float:
     return 1.0 if c is None else c
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
-    """All columns of docs, and mix_topic, mix_tokens, probability, sampled."""
+def attain(raked: DataFrame, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
+    """raked cells with probabilities up to one whose expected kept tokens have the target marginals."""
+    now, bound = raked, budget
+    for dim in DIMS:  # a value's share of the kept tokens is its target, and no more than its tokens can be kept
+        sums = raked.groupBy(dim).agg(F.sum("tokens").alias("t"), F.first(f"{dim}_share").alias("s"), F.first("total").alias("all"))
+        least = sums.filter("t > 0 and s > 0").agg(F.min(F.col("t") / (F.col("s") * F.col("all")))).first()[0]
+        bound = bound if least is None else min(bound, least)
+    now = now.withColumn("w", F.col("w") * bound)
+    scaled = F.coalesce(F.lit(bound) * F.col("total"), F.lit(0.0))
+    for k in range(rounds + FURTHER):
+        if k >= rounds and k % 4 == 0:
+            now = materialize(now, "cells")
+            off = [now.groupBy(dim).agg(F.sum("w").alias("w"), (F.first(f"{dim}_share") * F.first(scaled)).alias("goal")).filter("w > 0 and goal > 0").agg(F.max(F.abs(F.col("w") / F.col("goal") - 1))).first()[0] for dim in DIMS]
+            if max(x or 0.0 for x in off) <= CLOSE:
+                break
+        if k < rounds:
+            now = now.withColumn("w", F.least("w", F.col("tokens").cast("double")))
+        for dim in DIMS:
+            held = F.sum("w").over(Window.partitionBy(dim))
+            now = now.withColumn("w", F.when(held > 0, F.col("w") * F.coalesce(f"{dim}_share", F.lit(0.0)) * scaled / held).otherwise(F.col("w")))
+        if k < rounds and k % 4 == 3:  # bound the plan's depth
+            now = materialize(now, "cells")
+    now = materialize(now, "cells")
+    most = now.filter("tokens > 0").agg(F.max(F.col("w") / F.col("tokens"))).first()[0]
+    scale = 1.0 / max(1.0, most or 1.0)
+    return now.withColumn("probability", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("w") * scale / F.col("tokens"))).otherwise(bound * scale))
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, exact: bool = False) -> DataFrame:
+    """All columns of docs, and mix_topic, mix_tokens, probability, sampled. exact: the targets come before the budget."""
     rows = prepared(docs)
     cells = rows.groupBy(*(F.col(f"_{d}").alias(d) for d in DIMS)).agg(F.sum("_tokens").alias("tokens"))
     cells = materialize(rake(materialize(cells, "cells"), targets), "raked")
-    c = calibration(cells, budget)
-    probability = F.least(F.lit(1.0), F.lit(c) * F.col("factor"))
-    small = cells.select(*(F.col(d).alias(f"_{d}") for d in DIMS), probability.alias("probability"))
+    if exact:
+        cells = attain(cells, budget)
+    else:
+        cells = cells.withColumn("probability", F.least(F.lit(1.0), F.lit(calibration(cells, budget)) * F.col("factor")))
+    small = cells.select(*(F.col(d).alias(f"_{d}") for d in DIMS), "probability")
     own = [x for x in docs.columns if x not in ("probability", "sampled", "mix_topic", "mix_tokens")]
     joined = rows.drop("probability").join(small, [f"_{d}" for d in DIMS])
     u = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))

@@ -282,6 +282,18 @@ def test_mixing_meets_marginals(spark, sf, odd, none):
     assert out.count() == odd.count() and set(odd.columns) <= set(out.columns)
     assert mixing.mix(none).count() == 0
 
+def test_mixing_exact_probabilities_meet_the_targets(spark, sf, odd, none):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    out = mixing.mix(d, exact=True).withColumns({"e": F.col("probability") * F.col("mix_tokens"), "source": F.coalesce("source", F.lit("")), "lang": F.coalesce("lang", F.lit(""))}).cache()
+    all_ = out.agg(F.sum("e").alias("e"), F.sum("mix_tokens").alias("t"), F.max("probability").alias("m"), F.min("probability").alias("l")).first()
+    assert 0 < all_.l and all_.m <= 1 and 0.01 < all_.e / all_.t <= 0.5
+    for dim, col in (("source", "source"), ("lang", "lang"), ("topic", "mix_topic")):
+        rows = out.groupBy(col).agg(F.sum("e").alias("e"), F.sum("mix_tokens").alias("t")).collect()
+        raised = sum(r.t ** mixing.POWERS[dim] for r in rows)
+        for r in rows:
+            assert r.e / all_.e == pytest.approx(r.t ** mixing.POWERS[dim] / raised, rel=0.02, abs=1e-9), (dim, r)
+    assert mixing.mix(odd, exact=True).count() == odd.count() and mixing.mix(none, exact=True).count() == 0
+
 
 def test_toxicity_held_out(spark, sf, odd, none):
     rng = np.random.default_rng(0)
