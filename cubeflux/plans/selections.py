@@ -184,8 +184,9 @@ def p26(spark, sf):
 
 @query("p27_flip", f"with {PX} select vec_id, 19 - y as y, 24 - x as x from px where y < 20")
 def p27(spark, sf):
-    c = cube(spark, sf)
-    return S.flip(S.Cube(c.pixels.filter("y < 20"), c.width, c.n_bands, c.lo, c.hi), 20, True, True).select("vec_id", "y", "x")
+    c = cube(spark, sf)  # the SQL flips 20 rows: the same where the image has no more
+    height = (c.pixels.agg(F.max("y")).first()[0] or 0) + 1
+    return S.flip(c, height, True, True).select("vec_id", "y", "x")
 
 
 @query("p28_transpose", f"with {PX} select vec_id, x as y, y as x from px")
@@ -602,6 +603,11 @@ def j13(spark, sf):
     return cube(spark, sf).samples().filter("band < 3").join(F.broadcast(band_table(spark).select("band", "center")), "band").select("vec_id", "band", "center")
 
 
+@query("j13_band_lookup_all")
+def j13_all(spark, sf):
+    return cube(spark, sf).samples().join(F.broadcast(band_table(spark).select("band", "center")), "band").select("vec_id", "band", "center")
+
+
 _CUTS = ((3, 0.0), (11, 0.02), (27, -0.02), (40, 0.01)), ((1, 0.01), (20, 0.0), (33, 0.02), (50, -0.01))
 _LSH = ", ".join(f"(select vec_id, {t} as t, concat({', '.join(f'(s[{d + 1}] > {v})::int' for d, v in c)}) as h from px)" for t, c in enumerate(_CUTS)).replace("), (select", ") union all (select")
 

@@ -147,6 +147,13 @@ def t18(spark, sf):
     return long_form(neighbours.gaussian_blur(c, 1, 1.0), "s")
 
 
+@query("t18_blur_all")
+def t18_all(spark, sf):
+    from cubeflux.operators import neighbours
+
+    return long_form(neighbours.gaussian_blur(cube(spark, sf), 1, 1.0), "s")
+
+
 @query("t19_quantise", long_sql("list_transform(s, lambda v: floor((v + 1.0) * 65535 / 2.0))"))
 def t19(spark, sf):
     return long_form(cube(spark, sf).pixels, spectral.quantise("s", -1.0, 1.0))
