@@ -585,6 +585,22 @@ def j10(spark, sf):
     return shift_step(px, st, 400000.0).select("vec_id", "members", F.floor(F.get("mean", F.lit(0)) + 1e-6).alias("mean0"))
 
 
+@query("j9_pilot_density_all")
+def j9_all(spark, sf):
+    from cubeflux.operators.meanshift import pilot_windows
+
+    px, _ = _starts(spark, sf)
+    return pilot_windows(px, px, k=22, n_bands=64)
+
+
+@query("j10_mean_shift_step_all")
+def j10_all(spark, sf):
+    from cubeflux.operators.meanshift import shift_step
+
+    px, _ = _starts(spark, sf)
+    return shift_step(px, px, 400000.0).select("vec_id", "members", F.floor(F.get("mean", F.lit(0)) + 1e-6).alias("mean0"))
+
+
 @query("j11_nearest_mode", f"{_L1}, r as (select id, start, row_number() over (partition by id order by dist, start) as k from d) select id as vec_id, start as mode from r where k = 1")
 def j11(spark, sf):
     px, st = _starts(spark, sf)
@@ -621,6 +637,14 @@ def j14(spark, sf):
     return candidates(h.filter(F.col("vec_id") % 50 == 0), h)
 
 
+@query("j14_lsh_candidates_all")
+def j14_all(spark, sf):
+    from cubeflux.operators.lsh import candidates, hashed
+
+    h = hashed(cube(spark, sf).pixels, _CUTS)
+    return candidates(h, h)
+
+
 @query("o7_largest_buckets", f"with {PX}, h as ({_LSH}) select t, h, count(*) as n from h group by all having count(*) > 0.1 * (select count(*) from px)")
 def o7(spark, sf):
     from cubeflux.operators.lsh import hashed, largest_buckets

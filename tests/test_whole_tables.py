@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from cubeflux.plans import selections
 from cubeflux.plans.registry import QUERIES
 
 N = 600
@@ -27,3 +28,20 @@ def test_flip_blur_and_lookup_cover_the_table(spark, image):
     p = np.pad(v.reshape(24, 25, 64), ((1, 1), (1, 1), (0, 0)), "reflect")
     want = sum(k[a] * k[b] * p[a : a + 24, b : b + 25] for a in range(3) for b in range(3)).reshape(N, 64)
     assert len(got) == 64 * N and all(abs(got[i, b] - want[i, b]) < 2e-6 for i in range(N) for b in range(64))
+
+
+def test_density_step_and_candidates_for_every_pixel(spark, image):
+    path, v = image
+    q = np.floor((v + 1) * 65535 / 2)
+    d = np.abs(q[:, None] - q[None]).sum(axis=2)
+    got = {r.vec_id: r.window_ for r in QUERIES["j9_pilot_density_all"](spark, path).collect()}
+    k = 22
+    assert got == {i: (int(np.sort(np.minimum(d[i] // 640, 699))[k]) + 1) * 640 for i in range(N)}
+    step = {r.vec_id: (r.members, r.mean0) for r in QUERIES["j10_mean_shift_step_all"](spark, path).collect()}
+    w = np.where(d < 400000, (1 - d / 400000) ** 2, 0.0)
+    mean = np.floor(w @ q[:, 0] / w.sum(axis=1) + 1e-6)
+    assert step == {i: ((d[i] < 400000).sum(), mean[i]) for i in range(N)}
+    keys = [np.stack([v[:, band] > at for band, at in table], axis=1) for table in selections._CUTS]
+    near = np.logical_or.reduce([(x[:, None] == x[None]).all(axis=2) for x in keys])
+    got = QUERIES["j14_lsh_candidates_all"](spark, path).collect()
+    assert {(r.query, r.candidate) for r in got} == {*map(tuple, np.argwhere(near).tolist())} and len(got) == near.sum()
