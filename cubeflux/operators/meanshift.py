@@ -38,6 +38,11 @@ def _l1(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def neighbour_threshold(n: int, k: float = 1.0) -> int:
+    """Neighbours that a point's window must exceed, of n points."""
+    return int(k * n**0.5)
+
+
 def pilot_windows(points: DataFrame, starts: DataFrame, k: int, n_bands: int) -> DataFrame:
     """(vec_id, window_): the first histogram cell whose cumulative count exceeds k, for each start point."""
     ids, s = _collected(starts)
@@ -122,36 +127,57 @@ def modes(points: DataFrame, starts: DataFrame) -> DataFrame:
     return starts.select("vec_id", "s", "window_").mapInPandas(run, "vec_id long, window_ double, s array<double>")
 
 
-def merge_modes(found: np.ndarray, windows: np.ndarray, min_members: int = 1, most: int = MAX_MODES) -> np.ndarray:
-    """Greedy merge in input order within half a window, then the ranking: members, minimum, allowance."""
-    step = max(1, len(found) // PRUNE_POINTS)
+def merge_modes(found: np.ndarray, windows: np.ndarray, min_members: int = 1, most: int = MAX_MODES, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Greedy merge in input order within half a window, then the ranking: members, minimum, allowance.
+
+    sizes: pixels that each point stands for; points without any form no mode, and all others are merged.
+    """
+    if sizes is None:
+        step = max(1, len(found) // PRUNE_POINTS)
+        found, windows = found[::step], windows[::step]
+        sizes = np.ones(len(found), np.int64)
     sums: list[np.ndarray] = []
     members: list[int] = []
-    for m, h in zip(found[::step], windows[::step], strict=True):
+    for m, h, n in zip(found, windows, sizes.tolist(), strict=True):
+        if not n:
+            continue
         if sums:
             means = np.array([s / k for s, k in zip(sums, members, strict=True)])
             d = np.abs(means - m).sum(axis=1)
             best = int(np.argmin(d))
             if d[best] < h / 2:
-                sums[best] = sums[best] + m
-                members[best] += 1
+                sums[best] = sums[best] + m * n
+                members[best] += n
                 continue
-        sums.append(m.astype(float))
-        members.append(1)
+        sums.append(m.astype(float) * n)
+        members.append(n)
     order = np.lexsort((np.arange(len(sums)), -np.array(members)))
     kept = [i for r, i in enumerate(order) if r == 0 or (members[i] >= min_members and r < most)]
     return np.array([sums[i] / members[i] for i in kept])
 
 
-def segment(points: DataFrame, k: int = 20, min_members: int = 2, starts: DataFrame | None = None) -> tuple[DataFrame, np.ndarray]:
-    """Pilot, trajectories, pruning, nearest mode: ((vec_id, label from 1), modes)."""
+def segment(points: DataFrame, k: int = 20, min_members: int = 2, starts: DataFrame | None = None, sizes: DataFrame | None = None) -> tuple[DataFrame, np.ndarray]:
+    """Pilot, trajectories, pruning, nearest mode: ((vec_id, label from 1), modes).
+
+    sizes: (vec_id, size), the pixels that each point stands for. Over their mean they weigh the points, and they count
+    as members of a mode.
+    """
     n_bands = len(points.select("s").first().s)
     own = pilot_windows(points, points, k, n_bands)
-    full = points.select("vec_id", "s").join(own, "vec_id").withColumn("weight", pilot_weight(F.col("window_"), n_bands))
+    window = F.coalesce("window_", F.lit((CELLS + 1) * 10 * n_bands)).alias("window_")  # too few points: the largest
+    full = points.select("vec_id", "s").join(own, "vec_id", "left").select("vec_id", "s", window).withColumn("weight", pilot_weight(F.col("window_"), n_bands))
+    if sizes is not None:
+        counts = points.select("vec_id").join(sizes.select("vec_id", "size"), "vec_id", "left").select("vec_id", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+        mean = counts.agg(F.avg("size")).first()[0]
+        full = full.join(counts, "vec_id").withColumn("weight", F.col("weight") * F.col("size") / mean)
     begin = full if starts is None else full.join(starts.select("vec_id"), "vec_id", "left_semi")
     rows = modes(full, begin).orderBy("vec_id").toPandas()
     found = _matrix(rows)
-    final = merge_modes(found, rows.window_.to_numpy(), min_members)
+    held = None
+    if sizes is not None:
+        by_id = counts.toPandas().set_index("vec_id")["size"]
+        held = by_id.loc[rows.vec_id].to_numpy()
+    final = merge_modes(found, rows.window_.to_numpy(), min_members, sizes=held)
     shared = points.sparkSession.sparkContext.broadcast(final)
 
     def label(batches):

@@ -89,16 +89,17 @@ query("i17_geodesic_watershed")(_seeded("WATERSHED2", True))
 @query("i7_mean_shift")
 def i7(spark, sf):
     px = cube(spark, sf).pixels.withColumn("s", spectral.quantise("s", -1.0, 1.0)).withColumn("s", F.transform("s", lambda v: v.cast("double")))
-    return meanshift.segment(px, k=20)[0]
+    return meanshift.segment(px, k=meanshift.neighbour_threshold(px.count()))[0]
 
 
 @query("i10_mean_shift_superpixels")
 def i10(spark, sf):
-    px = cube(spark, sf).pixels.withColumn("segment", (F.col("vec_id") % 60))
-    n = 64
-    means = px.groupBy("segment").agg(F.array(*(F.floor((F.avg(F.get("s", F.lit(i))) + 1) * 32767.5).cast("double") for i in range(n))).alias("s"))
-    labels, _ = meanshift.segment(means.select(F.col("segment").alias("vec_id"), "s"), k=3)
-    return px.join(labels.select(F.col("vec_id").alias("segment"), F.col("label").alias("found")), "segment").select("vec_id", F.col("found").alias("label"))
+    segment = i12(spark, sf).withColumnRenamed("label", "segment")
+    px = cube(spark, sf).pixels.join(segment, "vec_id")
+    means = px.groupBy("segment").agg(F.array(*(F.floor((F.avg(F.get("s", F.lit(i))) + 1) * 32767.5).cast("double") for i in range(64))).alias("s"), F.count("*").alias("size"))
+    means = means.withColumn("vec_id", F.col("segment").cast("long")).cache()
+    labels, _ = meanshift.segment(means.select("vec_id", "s"), k=meanshift.neighbour_threshold(means.count()), sizes=means.select("vec_id", "size"))
+    return segment.join(labels.select(F.col("vec_id").alias("segment"), F.col("label").alias("found")), "segment").select("vec_id", F.col("found").alias("label"))
 
 
 @query("i11_mean_shift_map")
@@ -106,8 +107,9 @@ def i11(spark, sf):
     c = cube(spark, sf)
     w = som.fit(c.pixels, 2000, side=6)
     pts = som.neurons(spark, np.floor((w + 1) * 32767.5)).select(F.col("idx").cast("long").alias("vec_id"), F.col("w").alias("s"))
-    labels, _ = meanshift.segment(pts, k=3)
     near = N.nearest(c.pixels, som.neurons(spark, w), 1, D.euclidean)
+    influence = near.groupBy(F.col("idx").cast("long").alias("vec_id")).agg(F.count("*").alias("size"))
+    labels, _ = meanshift.segment(pts, k=meanshift.neighbour_threshold(pts.count()), sizes=influence)
     return near.join(labels.select(F.col("vec_id").alias("idx"), "label"), "idx").select("vec_id", "label")
 
 

@@ -571,10 +571,10 @@ def _starts(spark, sf):
 
 @query("j9_pilot_density", f"{_L1}, c as (select start, least(floor(dist / 640), 699)::int as cell, count(*) as n from d group by all), k as (select start, cell, sum(n) over (partition by start order by cell) as below from c), w as (select start, min(cell) as cell from k where below > 22 group by start) select start as vec_id, ((cell + 1) * 640)::bigint as window_ from w")
 def j9(spark, sf):
-    from cubeflux.operators.meanshift import pilot_windows
+    from cubeflux.operators.meanshift import neighbour_threshold, pilot_windows
 
-    px, st = _starts(spark, sf)
-    return pilot_windows(px, st, k=22, n_bands=64)
+    px, st = _starts(spark, sf)  # the SQL has the threshold of 500 points
+    return pilot_windows(px, st, k=neighbour_threshold(px.count()), n_bands=64)
 
 
 @query("j10_mean_shift_step", f"{_L1}, w as (select start, id, (1 - dist / 400000.0) * (1 - dist / 400000.0) as w from d where dist < 400000) select w.start as vec_id, count(*) as members, floor(sum(w.w * qz.s[1]) / sum(w.w) + 1e-6)::bigint as mean0 from w join qz on qz.vec_id = w.id group by w.start")
@@ -587,10 +587,10 @@ def j10(spark, sf):
 
 @query("j9_pilot_density_all")
 def j9_all(spark, sf):
-    from cubeflux.operators.meanshift import pilot_windows
+    from cubeflux.operators.meanshift import neighbour_threshold, pilot_windows
 
     px, _ = _starts(spark, sf)
-    return pilot_windows(px, px, k=22, n_bands=64)
+    return pilot_windows(px, px, k=neighbour_threshold(px.count()), n_bands=64)
 
 
 @query("j10_mean_shift_step_all")
