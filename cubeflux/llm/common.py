@@ -41,10 +41,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share. The session names it; tests without one get a folder in /tmp."""
+    """The folder that driver and executors share: the session names it. Only a local session, as in tests, whose one
+    process is all there is, gets a folder of its own where the setting is missing."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file:/tmp/cubeflux-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = Path(tempfile.mkdtemp(prefix="cubeflux-checkpoints-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -132,7 +135,7 @@ class _Attempt:
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint64, copy=True)
+    x = x.astype(np.uint64)
     x ^= x >> np.uint64(30)
     x *= _M1
     x ^= x >> np.uint64(27)
@@ -186,33 +189,46 @@ def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, offs)
 
 
-_R = np.random.RandomState(20240501).randint(0, 2**63, 1 << 12).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: Longer words are hashed one by one, all others eight bytes at a time for all words at once.
+_LONG_WORD = 512
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a position-keyed multilinear sum, finalised with the length.
-
-    Positions past the key table reuse it under a power of an odd constant, so long words cost no extra memory.
-    """
+    """A 64-bit hash of each word, a function of its bytes alone."""
     if not len(starts):
         return np.empty(0, np.uint64)
-    out = np.empty(len(starts), np.uint64)
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded.data, strides=(1,))  # the eight bytes from each position on
     lens = ends - starts
-    cuts = np.searchsorted(np.cumsum(lens), np.arange(0, int(lens.sum()) + (1 << 20), 1 << 20), side="left")
-    cuts = np.unique(np.append(np.minimum(cuts, len(starts)), len(starts)))
+    out = lens.astype(np.uint64) * GOLDEN
+    at, left, now = starts, lens, np.arange(len(starts))
+    while len(now):
+        chunk = eight[at]
+        short = left < 8
+        chunk[short] &= (np.uint64(1) << (left[short].astype(np.uint64) << np.uint64(3))) - np.uint64(1)
+        out[now] = mix64(out[now] ^ chunk)
+        more = (left > 8) & (lens[now] <= _LONG_WORD)
+        now, at, left = now[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(lens > _LONG_WORD).tolist():
+        import xxhash
+
+        out[i] = xxhash.xxh64_intdigest(buf[starts[i] : ends[i]].tobytes())
+    return out
+
+
+def by_bytes(batch, column: int, most: int = 4 << 20):
+    """Slices of an Arrow batch whose strings in a column hold at most so many bytes together, or of one row."""
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+    upto = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64)) if len(size) else np.empty(0, np.int64)
     lo = 0
-    for hi in cuts[cuts > 0]:
-        ln = lens[lo:hi]
-        ends_local = np.cumsum(ln)
-        at = np.arange(int(ends_local[-1])) - np.repeat(ends_local - ln, ln)
-        b = buf[np.repeat(starts[lo:hi], ln) + at].astype(np.uint64) + np.uint64(1)
-        term = b * _R[at & 4095]
-        far = at >= 4096
-        if far.any():
-            term[far] = mix64(term[far] + (at[far] >> 12).astype(np.uint64) * GOLDEN)
-        out[lo:hi] = np.add.reduceat(term, ends_local - ln)
+    while lo < batch.num_rows:
+        before = upto[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, before + most, side="right")))
+        yield batch.slice(lo, hi - lo)
         lo = hi
-    return mix64(out + lens.astype(np.uint64) * GOLDEN)
 
 
 def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -233,17 +249,20 @@ def uniform(col) -> F.Column:
     return F.conv(F.substring(F.md5(col.cast("string")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-#: Bits of the membership filter: its size is fixed, so it may go to every task.
-FILTER_BITS = 1 << 25
+#: Bits of a membership filter: sixteen for each member, within these bounds, so that it may go to every task.
+FEWEST_BITS, MOST_BITS = 1 << 20, 1 << 30
 
 
 def _slot(x: np.ndarray, bits: int) -> np.ndarray:
     return (mix64(x.view(np.uint64)) % np.uint64(bits)).astype(np.int64)
 
 
-def member_bits(ids: DataFrame, bits: int = FILTER_BITS):
-    """A bit map (broadcast) of the hashes of a column of longs. Its size is fixed: with very many ids it passes more
-    rows than it should, never fewer, so an exact join has to follow; what it saves is the shuffle of rows in no list."""
+def member_bits(ids: DataFrame):
+    """A bit map (broadcast, at most MOST_BITS) of the hashes of a column of longs. Very many ids pass more rows than they
+    should, never fewer, so an exact join has to follow; what the map saves is the shuffle of rows in no list."""
+    spark = ids.sparkSession
+    ids = materialize(ids.select(F.col(ids.columns[0]).cast("long").alias("id")).na.drop(), "members")
+    bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (16 * ids.count()).bit_length()))
 
     def run(batches):
         import pyarrow as pa
@@ -258,10 +277,9 @@ def member_bits(ids: DataFrame, bits: int = FILTER_BITS):
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(own[some].astype(np.int32))], ["at", "b"])
 
     packed = np.zeros(bits // 8, np.uint8)
-    merged = ids.select(F.col(ids.columns[0]).cast("long")).na.drop().mapInArrow(run, "at int, b int").groupBy("at").agg(F.bit_or("b").alias("b"))
-    table = merged.toArrow()  # at most bits / 8 rows
+    table = ids.mapInArrow(run, "at int, b int").groupBy("at").agg(F.bit_or("b").alias("b")).toArrow()  # at most bits / 8 rows
     packed[table.column("at").to_numpy()] = table.column("b").to_numpy()
-    return ids.sparkSession.sparkContext.broadcast(packed)
+    return spark.sparkContext.broadcast(packed)
 
 
 def is_member(flags: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -290,6 +308,19 @@ def likely_members(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return mark_members(rows, ids).filter("_likely").drop("_likely")
 
 
+def set_aside(df: DataFrame, *names: str) -> DataFrame:
+    """df with columns of these names (in any case) renamed with the ending _input, so that results can take the names."""
+    taken, out = {c.lower() for c in df.columns}, {}
+    for c in df.columns:
+        if c.lower() in names:
+            new = f"{c}_input"
+            while new.lower() in taken:
+                new += "_input"
+            taken.add(new.lower())
+            out[c] = new
+    return df.withColumnsRenamed(out) if out else df
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that are done: it does so when their plans are collected."""
     gc.collect()
