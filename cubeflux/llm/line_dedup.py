@@ -5,9 +5,10 @@ similarity of at least ``num``/100; lines with equal sets are one class, so copi
 
 1. Words are ordered by rarity: a sketch of fixed size counts them, and equal counts are ordered by hash. Any one order
    gives the same result; a truer one only makes shorter posting lists.
-2. A line's words are put in that order. Its prefix goes to an inverted index with position, size and a 64-bit bitmap of
+2. A line's words are put in that order. Its prefix goes to an inverted index with position, size and a 64-bit parity bitmap of
    its words; equal lines of a slice of the corpus go there once.
-3. In a posting list, pairs pass the length, positional and bitmap filters; none loses a true pair. The rows of a list
+3. In a posting list, pairs pass the length, positional and bitmap filters (a bit is the parity of the words that hash to
+   it, so two sets differ in at least as many words as bits); none loses a true pair. The rows of a list
    lie in the order of their documents. A row reports at most CAP partners of a list, the earliest, and says so if there may be
    more; lists over BLOCK rows are cut into blocks, each compared with the list's earliest block only, and their rows
    say so too.
@@ -37,6 +38,8 @@ SLOTS = 1 << 21
 BLOCK = 20_000
 #: Partners that a row reports from one posting list.
 CAP = 8
+#: Parts of the index that are made and compared one after the other.
+ROUNDS = 4
 #: Rows of lists that are compared at once.
 _CHUNK = 20_000
 #: Lists of more rows are compared row by row.
@@ -148,7 +151,7 @@ def lines_of(docs: DataFrame, levels, num: int, low: float, high: float) -> Data
                 bits = np.zeros(len(row), np.uint64)
                 if len(pick):
                     whole = s.h[ranges(s.first[pick], n)]
-                    bits[pick] = np.bitwise_or.reduceat(np.uint64(1) << (mix64(whole) >> np.uint64(58)), np.cumsum(n) - n)
+                    bits[pick] = np.bitwise_xor.reduceat(np.uint64(1) << (mix64(whole) >> np.uint64(58)), np.cumsum(n) - n)
                 ids = part.column(0)
                 doc = ids.fill_null(_LAST).to_numpy()
                 order = np.clip((doc.astype(np.float64) - low) / max(1.0, high - low) * ((1 << _ORDER) - 1), 0, (1 << _ORDER) - 1).astype(np.int64)
@@ -253,18 +256,17 @@ def _pairs(x, y, more):
 
 
 def candidate_pairs(posts: DataFrame, num: int) -> DataFrame:
-    """PAIRS of the lists; posts: key, block, packed, bits, k1. Block 0 holds the whole list, or its earliest rows. Any
-    other block k of a list holds the earliest rows, as leaders (bit 62 of packed), and its own."""
+    """PAIRS of the lists of posts (key, packed, bits, k1). A list is compared with itself; rows marked by bit 62 are
+    compared with those that aren't only."""
 
     def run(batches):
-        for key, block, packed, bits, k1 in whole_lists(batches, 2):
-            lead = packed >> 62 & 1 == 0  # rows of the list's first block in another block
-            packed = packed & ~(1 << 62)
-            new = np.append(True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]))
-            at = np.flatnonzero(new)
+        for key, packed, bits, k1 in whole_lists(batches):
+            at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(at, len(key)))
-            short = np.repeat(size <= _SMALL, size) & (block == 0)
-            some = np.flatnonzero(short)
+            marked = packed >> 62 & 1 == 1
+            packed = packed & ~(1 << 62)
+            one_by_one = (size > _SMALL) | marked[at + size - 1]
+            some = np.flatnonzero(np.repeat(~one_by_one, size))
             ends = np.append(np.flatnonzero(np.append(True, key[some][1:] != key[some][:-1])), len(some)) if len(some) else np.zeros(1, np.int64)
             lo = 0
             while lo < len(ends) - 1:  # whole lists, about _CHUNK rows together
@@ -275,19 +277,16 @@ def candidate_pairs(posts: DataFrame, num: int) -> DataFrame:
                 keep, more = capped(i, j, rows.order)
                 yield _pairs(rows.k1[i[keep]], rows.k1[j[keep]], rows.k1[more])
                 lo = hi
-            for a, n in zip(at.tolist(), size.tolist(), strict=True):
-                if n > _SMALL or block[a] > 0:
-                    rows = _List(packed[a : a + n], bits[a : a + n], k1[a : a + n])
-                    leaders = n if block[a] == 0 else int((~lead[a : a + n]).sum())
-                    i, j, full = near_rows_of_long(rows, num, leaders)
-                    if block[a] > 0:
-                        own = j >= leaders
-                        i, j = i[own], j[own]
-                        full = np.arange(n) >= leaders  # only the leaders were tried
-                    yield _pairs(rows.k1[i], rows.k1[j], rows.k1[full])
+            for a, n in zip(at[one_by_one].tolist(), size[one_by_one].tolist(), strict=True):
+                rows, own = _List(packed[a : a + n], bits[a : a + n], k1[a : a + n]), marked[a : a + n]
+                leaders = n - int(own.sum())
+                i, j, full = near_rows_of_long(rows, num, leaders)
+                if leaders < n:
+                    i, j, full = i[own[j]], j[own[j]], own  # a row with only the leaders tried may have more partners
+                yield _pairs(rows.k1[i], rows.k1[j], rows.k1[full])
 
-    dealt = posts.repartition("key", "block").sortWithinPartitions("key", "block", "place")
-    return dealt.select("key", "block", "packed", "bits", "k1").mapInArrow(run, PAIRS).groupBy("x", "y").agg(F.max("more").alias("more"))
+    dealt = posts.repartition("key").sortWithinPartitions("key", "packed")
+    return dealt.mapInArrow(run, PAIRS)
 
 
 def capped(i: np.ndarray, j: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -303,23 +302,23 @@ def capped(i: np.ndarray, j: np.ndarray, order: np.ndarray) -> tuple[np.ndarray,
 
 
 def blocked(posts: DataFrame) -> DataFrame:
-    """posts with block and place (the order within a block). A list over BLOCK rows is cut: its earliest rows, about
-    BLOCK of them, are block 0 and go along with every other block."""
+    """posts with lists over BLOCK rows cut: about BLOCK of the earliest rows stay the list, and go along with each block
+    of the others, which are marked by bit 62, under keys of their own."""
     sizes = posts.groupBy("key").agg(F.count("*").alias("rows"), F.min("packed").alias("least"), F.max("packed").alias("most")).filter(F.col("rows") > BLOCK)
     sizes = materialize(sizes, "line-lists")
-    whole = posts.select("*", F.lit(0).alias("block"), F.col("packed").alias("place"))
     if sizes.isEmpty():
-        return whole
+        return posts
     lists = posts.join(sizes, "key", "left")
     # a list's earliest rows: those below the place that BLOCK rows would reach if documents were dealt evenly over the range
     span = (F.col("most") - F.col("least") + 1).cast("double")
     early = (F.col("packed") - F.col("least")).cast("double") / span * F.col("rows") < BLOCK
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    own = F.when(F.col("rows").isNull() | early, 0).otherwise(1 + F.pmod(F.hash("k1"), blocks))
-    cols = ["key", "packed", "bits", "k1"]
-    placed = lists.select(*cols, own.alias("block"), F.col("packed").alias("place"), F.coalesce(F.lit(1) * blocks, F.lit(0)).alias("_n"))
-    copies = placed.filter("_n > 0 and block = 0").select("key", F.col("packed").bitwiseOR(F.lit(1 << 62)).alias("packed"), "bits", "k1", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("block"), (F.col("place") - F.lit(1 << 62)).alias("place"))
-    return placed.drop("_n").unionByName(copies)
+    rest = ["packed", "bits", "k1"]
+    cut = lists.filter("rows is not null").withColumns({"early": early, "blocks": blocks})
+    others = cut.filter("not early").select(F.xxhash64("key", F.pmod(F.hash("k1"), "blocks")).alias("key"), F.col("packed").bitwiseOR(F.lit(1 << 62)).alias("packed"), "bits", "k1")
+    leaders = cut.filter("early").select("key", *rest, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    leaders = leaders.select(F.xxhash64("key", "block").alias("key"), *rest)
+    return lists.filter("rows is null").select("key", *rest).unionByName(cut.filter("early").select("key", *rest)).unionByName(others).unionByName(leaders)
 
 
 def sets_of(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -421,8 +420,12 @@ def duplicate_lines(docs: DataFrame, num: int = 80) -> DataFrame:
     place = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), F.coalesce("rk", F.lit(0)).alias("rk"), "line")
     classes = materialize(lines.filter("n > 0").groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("lines")), "line-classes")
     posts = postings(lines)
-    found = materialize(candidate_pairs(blocked(posts), num), "line-pairs")
-    release(spark)
+    found = None
+    for k in range(ROUNDS):  # one part of the index after the other, so that not all of it lies on the disks at once
+        part = materialize(candidate_pairs(blocked(posts.filter(F.pmod(F.hash("key"), F.lit(ROUNDS)) == k)), num), "line-pairs")
+        found = part if found is None else found.unionByName(part)
+        release(spark)
+    found = materialize(found.groupBy("x", "y").agg(F.max("more").alias("more")), "line-pairs")
     ordered = materialize(_oriented(found.filter("not more").select("x", "y"), classes), "line-ordered")
     sets = materialize(sets_of(docs, _places(ordered, classes)).dropDuplicates(["k1"]), "line-sets")
     # one verified pair settles a class: first its earliest candidate, then all pairs of the classes still open
