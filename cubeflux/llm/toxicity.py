@@ -1,27 +1,26 @@
-"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, one window per word,
-and overlapping windows over a longer run of letters (text without blanks).
+"""Toxicity by compression distance: one zstandard dictionary trained on toxic text, one on ordinary text.
 
-Fit: words that stand in toxic documents, in several of them and after several different words, and almost never in
-ordinary ones are the toxic training text; the commonest words of ordinary documents are the ordinary one (counted by
-Spark). ``zstandard.train_dictionary`` makes a dictionary of each. A window is a word of at most LONGEST letters, or WIDTH
-letters of a longer run, every STRIDE letters and at its end; so a term of up to WIDTH - STRIDE + 1 letters lies whole in
-one, wherever it stands, and isn't drowned by what surrounds it. In the fit these windows are the words of a longer run.
-A window is repeated so that the frame overhead doesn't hide it; its distance is the compressed length with the ordinary
-dictionary less that with the toxic one. Documents are described by how many windows pass each threshold, and a logistic
-model calibrates the score. Both learn from a bounded sample of labelled rows: at most ``sample`` toxic and ORDINARY
-times as many ordinary documents, chosen by a hash of the id.
+A window is WIDTH consecutive bytes of the lower-cased text, one every STRIDE bytes and at its end, so every byte of every
+text is in one and a run of up to WIDTH - STRIDE + 1 bytes lies whole in one. Its distance is its compressed length with
+the ordinary dictionary less that with the toxic one.
 
-Windows are compressed once per distinct one and remembered; every letter of every text is in one and all are scored.
+Fit, on a bounded sample of labelled rows (at most ``sample`` toxic and ORDINARY times as many ordinary documents, and
+WINDOWS windows of each, all chosen by hashes): zstandard's trainer makes a dictionary of ordinary windows, the base of
+both. Each side adds a dictionary trained on its own text: first on any of its windows, then, ROUNDS times, on those of
+its windows whose distance speaks most for it. What both kinds of text share is thus in both, and only what they don't
+share makes a difference in length. Documents are described by how many of their windows pass each threshold in CUTS,
+their largest distance and their number of windows; a logistic model calibrates these into the score. The dictionaries
+learn from two thirds of the sample and the model from the other third, so no document calibrates its own text.
 
 Defined cases: null or empty text has no windows and gets the calibrated score of such a document; no label-1 or no
-label-0 training row, or no toxic word, gives every document the training rate (0 if there is none); repeated rows score
-equally; labels without a document are ignored, and of several labels of a doc_id the largest counts; extra columns are
-ignored.
+label-0 row in either part of the sample gives every document the training rate (0 if there is none); a null doc_id is
+never learnt from; repeated rows score equally; ties at the sample's bound are broken by hash and id; very long texts
+have many windows; labels without a document are ignored, and of several labels of a doc_id the largest counts; an empty
+table gives no rows; extra columns stay, and one that is named score or predicted is renamed with the ending ``_input``.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,16 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, set_aside
 
-#: Labelled documents to fit on: at most SAMPLE toxic and ORDINARY times as many ordinary ones.
-SAMPLE, ORDINARY = 4000, 3
-SUPPORT = 5
+#: Labelled documents to fit on: at most SAMPLE toxic and ORDINARY times as many ordinary ones; and windows of each kind.
+SAMPLE, ORDINARY, WINDOWS = 4000, 3, 150_000
+WIDTH, STRIDE = 32, 16
+#: Bytes of the common dictionary and of each side's own, and rounds of training of the latter.
+BASE, OWN, ROUNDS = 32768, 4096, 4
 #: Distances at which windows are counted.
-CUTS = (2, 3, 4, 5, 6, 7)
-#: Letters of the longest run that is one window; of a window of a longer run, and from one of them to the next.
-LONGEST, WIDTH, STRIDE = 32, 16, 4
-_TOKEN = re.compile(r"[^\W\d_]+")
+CUTS = (2, 3, 4, 5, 6, 8)
 
 
 @dataclass
@@ -54,36 +52,38 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def windows(text: str | None) -> list[bytes]:
+    data = (text or "").lower().encode()
+    if len(data) <= WIDTH:
+        return [data] if data else []
+    last = len(data) - WIDTH
+    return [data[k : k + WIDTH] for k in (*range(0, last, STRIDE), last)]
+
+
 class Scorer:
     def __init__(self, model: Model):
         import zstandard as z
 
-        self.model, self.memo = model, {}
-        # explicit search parameters: the defaults for tiny inputs keep hash tables too small for the dictionary
-        params = z.ZstdCompressionParameters(window_log=16, hash_log=15, chain_log=16, search_log=6, min_match=3, target_length=64, strategy=z.STRATEGY_BTULTRA2, write_content_size=False, write_checksum=False, write_dict_id=False, format=z.FORMAT_ZSTD1_MAGICLESS)
+        self.model = model
+        params = z.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=4, min_match=3, target_length=32, strategy=z.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False, format=z.FORMAT_ZSTD1_MAGICLESS)
         self.pair = []
-        for raw in (model.ordinary, model.toxic):
-            if raw:
-                d = z.ZstdCompressionDict(raw)
+        for content in (model.ordinary, model.toxic):
+            if content:
+                d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(compression_params=params)
-                self.pair.append(z.ZstdCompressor(compression_params=params, dict_data=d))
+                self.pair.append(z.ZstdCompressor(compression_params=params, dict_data=d).compress)
 
-    def distance(self, word: str) -> int:
-        got = self.memo.get(word)
-        if got is None:
-            if len(self.memo) > 1_000_000:
-                self.memo.clear()
-            w = window(word)
-            got = self.memo[word] = len(self.pair[0].compress(w)) - len(self.pair[1].compress(w))
-        return got
+    def distances(self, pieces: list[bytes]) -> np.ndarray:
+        ordinary, toxic = self.pair
+        return np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in pieces), np.int64, len(pieces))
 
     def features(self, text: str | None) -> list[float]:
-        words = windows((text or "").lower())
-        if len(self.pair) < 2 or not words:
+        pieces = windows(text)
+        if len(self.pair) < 2 or not pieces:
             return [0.0] * (len(CUTS) + 2)
-        d = np.fromiter(map(self.distance, words), np.int64, len(words))
+        d = self.distances(pieces)
         counts = [float(np.log1p((d >= c).sum())) for c in CUTS]
-        return [*counts, float(max(0, d.max())), float(np.log1p(len(words)))]
+        return [*counts, float(max(0, d.max())), float(np.log1p(len(pieces)))]
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not self.model.weights:
@@ -93,22 +93,6 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(x @ w[1:] + w[0], -30, 30)))
 
 
-def windows(text: str) -> list[str]:
-    """Runs of at most LONGEST letters, and overlapping pieces of WIDTH letters of longer ones."""
-    out = []
-    for run in _TOKEN.findall(text):
-        if len(run) <= LONGEST:
-            out.append(run)
-        else:
-            last = len(run) - WIDTH
-            out += [run[k : k + WIDTH] for k in (*range(0, last, STRIDE), last)]
-    return out
-
-
-def window(word: str) -> bytes:
-    return ((" " + word) * 4 + " ").encode()
-
-
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Newton's method with a small ridge; the first weight is the constant."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -123,96 +107,98 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, t, o, contexts): toxic and ordinary texts with the word, and a bit map of hashes of the words before it in
-    toxic texts. Each batch sends a word once."""
-
-    def run(batches):
-        import zlib
-
-        import pyarrow as pa
+def trained(size: int, pieces: list[bytes]) -> bytes:
+    """Content of a dictionary of at most so many bytes."""
+    import zstandard as z
 
-        for batch in batches:
-            t, o, bits = {}, {}, {}
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = windows(text.lower())
-                count = t if toxic else o
-                for w in set(found):
-                    count[w] = count.get(w, 0) + 1
-                if toxic:
-                    seen = set()
-                    for before, w in zip(["", *found], found, strict=False):
-                        if w not in seen:  # the first place of a word in a text
-                            seen.add(w)
-                            bits[w] = bits.get(w, 0) | 1 << (zlib.crc32(before.encode()) & 63)
-            all_words = list({**t, **o})
-            signed = [b - (1 << 64) if (b := bits.get(w, 0)) >> 63 else b for w in all_words]
-            yield pa.RecordBatch.from_arrays([pa.array(all_words, pa.string()), pa.array([t.get(w, 0) for w in all_words], pa.int64()), pa.array([o.get(w, 0) for w in all_words], pa.int64()), pa.array(signed, pa.int64())], ["word", "t", "o", "contexts"])
-
-    counted = rows.select("text", "toxic").mapInArrow(run, "word string, t long, o long, contexts long")
-    return counted.groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.bit_or("contexts").alias("contexts"))
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, support: int = SUPPORT, dictionary: int = 32768) -> Model:
+    try:
+        return z.train_dictionary(size, pieces).as_bytes()
+    except z.ZstdError:  # too little text for zstandard's trainer: the text itself is the dictionary
+        return b"".join(pieces)[-size:]
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
+    """Both dictionaries, from windows of either kind of text."""
+    base = trained(BASE, ordinary)
+    own_toxic, own_ordinary = toxic, ordinary
+    for k in range(ROUNDS + 1):
+        t, o = trained(OWN, own_toxic), trained(OWN, own_ordinary)
+        n = min(len(t), len(o))
+        model = Model(toxic=t[-n:] + base, ordinary=o[-n:] + base)
+        if k == ROUNDS:
+            return model
+        scorer = Scorer(model)
+        dt, do = scorer.distances(toxic), scorer.distances(ordinary)
+        most = max(100, len(toxic) // 50)
+        own_toxic = [toxic[i] for i in np.argsort(-dt, kind="stable")[:most]]
+        most = max(100, len(ordinary) // 50)
+        own_ordinary = [ordinary[i] for i in np.argsort(do, kind="stable")[:most]] + [ordinary[i] for i in np.argsort(-do, kind="stable")[:most]]
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from the rows of documents with a label that aren't held out."""
-    import zstandard as z
+    import random
 
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    model = Model(rate=n1 / (n0 + n1) if n0 + n1 else 0.0)
+    plain = Model(rate=n1 / (n0 + n1) if n0 + n1 else 0.0)
     if not n1 or not n0:
-        return model
+        return plain
     order = (F.xxhash64("doc_id"), "doc_id")
     chosen = known.filter("toxic = 1").orderBy(*order).limit(sample).union(known.filter("toxic = 0").orderBy(*order).limit(ORDINARY * sample))
     chosen = materialize(chosen, "toxicity-sample")
     # at most (1 + ORDINARY) * sample ids, so they may go to every task
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    train = materialize(train, "toxicity-train")
-    # copies of a text count once, else their rare words look like a habit of toxic texts; ids of the sample are bounded
-    first = train.select("doc_id", "toxic", F.md5("text").alias("key")).groupBy("key", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    once = train.join(F.broadcast(first.select("doc_id")), "doc_id", "left_semi")
-    found = {r.toxic: r.n for r in once.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    m1, m0 = found.get(1, 0), found.get(0, 0)
-    if not m1 or not m0:
-        return model
-    per_word = word_counts(once)
-    share = F.col("t") / F.lit(float(m1))
-    other = (F.col("o") + 0.5) / F.lit(float(m0))
-    marked = per_word.filter((F.col("t") >= support) & (F.bit_count("contexts") >= support) & (F.length("word") >= 3) & (share / (share + other) > 0.95))
-    # both lists are bounded by the dictionaries' size, not by the corpus
-    toxic = [r.word for r in marked.orderBy(F.desc("t"), "word").limit(4000).collect()]
-    plain = [r.word for r in per_word.filter("o > 0").orderBy(F.desc("o"), "word").limit(4000).collect()]
-    if not toxic or not plain:
-        return model
-    made = []
-    for words_of in (toxic, plain):
-        samples = [window(w) for w in words_of]
-        samples *= max(3, -(-600 // len(samples)))
-        try:
-            made.append(z.train_dictionary(dictionary, samples).as_bytes())
-        except z.ZstdError:  # too little text for zstandard's trainer: the text itself is the dictionary
-            made.append(b"".join(samples)[-dictionary:])
-    model.toxic, model.ordinary = made
-    scorer = Scorer(model)
-    x, y = [], []
-    for r in train.select("text", "toxic").toLocalIterator():
-        x.append(scorer.features(r.text))
-        y.append(float(r.toxic))
-    x, y = np.array(x), np.array(y)
+    # copies of a text count once and stay together, else what they repeat looks like a habit of their kind
+    train = materialize(train.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(3))), "toxicity-train")
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                mine = list(set(windows(text)))
+                yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(mine), pa.int32()), pa.array(mine, pa.binary())], ["toxic", "piece"])
+
+    pieces = train.filter("part > 0").select("toxic", "text").mapInArrow(cut, "toxic int, piece binary").distinct()
+    pieces = materialize(pieces.withColumn("at", F.xxhash64("piece")), "toxicity-windows")
+    side = []
+    for y in (1, 0):
+        got = [bytes(r.piece) for r in pieces.filter(F.col("toxic") == y).orderBy("at", "piece").limit(WINDOWS).select("piece").collect()]  # WINDOWS * WIDTH bytes
+        random.Random(y).shuffle(got)
+        side.append(got)
+    if not side[0] or not side[1]:
+        return plain
+    model = dictionaries(*side)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def described(batches):
+        import pyarrow as pa
+
+        scorer = None
+        for batch in batches:
+            scorer = scorer or Scorer(shared.value)
+            x = [scorer.features(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
+
+    rows = train.filter("part = 0").select("toxic", "text").mapInArrow(described, "toxic int, x array<double>").collect()  # a third of the sample
+    x, y = np.array([r.x for r in rows]), np.array([float(r.toxic) for r in rows])
+    k1, k0 = y.sum(), len(y) - y.sum()
+    if not k1 or not k0:
+        return plain
     w = logistic(x, y)
     # the classes were sampled at different rates: put the constant right
-    k1, k0 = y.sum(), len(y) - y.sum()
     w[0] += np.log(n1 / n0) - np.log(k1 / k0)
-    model.weights = tuple(float(v) for v in w)
+    model.weights, model.rate = tuple(float(v) for v in w), plain.rate
     return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """All columns of docs and score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size and nine weights
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
+    rows = set_aside(docs, "score", "predicted")
 
     def run(batches):
         import pyarrow as pa
@@ -221,12 +207,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
         for batch in batches:
             scorer = scorer or Scorer(shared.value)
             at = batch.schema.get_field_index("text")
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
                 s = scorer.scores(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*part.schema.names, "score", "predicted"])
 
-    rows = docs.select(*keep)
     schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return rows.mapInArrow(run, schema)
 

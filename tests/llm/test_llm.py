@@ -317,16 +317,24 @@ def test_toxicity_held_out(spark, sf, odd, none):
     assert toxicity.score(none, model).count() == 0
     assert {r.score for r in toxicity.toxicity(odd, y.filter("false")).collect()} == {0.0}
 
-def test_toxicity_sees_the_end_of_long_runs():
-    plain = ["house", "garden", "window", "street", "winter", "summer"]
-    made = [b"".join(toxicity.window(w) for w in ws) * 20 for ws in (["blarghous", "snorflegrib"], plain)]
-    scorer = toxicity.Scorer(toxicity.Model(toxic=made[0], ordinary=made[1]))
-    glued = "".join(plain) * 4
-    for at in range(0, len(glued), 7):
-        text = glued[:at] + "snorflegrib" + glued[at:]
-        assert scorer.features(text)[-2] > scorer.features(glued)[-2], at
-        assert any("snorflegrib" in w for w in toxicity.windows(text)) and max(map(len, toxicity.windows(text))) <= 64
-    assert toxicity.windows("a bc " + "d" * 32) == ["a", "bc", "d" * 32] and [len(w) for w in toxicity.windows("e" * 33)] == [16] * 6
+def test_toxicity_windows_hold_every_byte():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 31, 32, 33, 48, 49, 500):
+        text = "".join(rng.choice(list("abcdé1 "), n))
+        data, pieces = text.encode(), toxicity.windows(text)
+        assert bool(pieces) == bool(data) and all(len(p) == min(len(data), toxicity.WIDTH) for p in pieces)
+        for k in range(len(data) - 16):
+            assert any(data[k : k + 17] in p for p in pieces)
+
+
+def test_toxicity_sees_a_term_anywhere():
+    plain = "the house and garden by the window in the street was cold in winter and warm in summer " * 40
+    toxic = [toxicity.windows(plain[k : k + 200] + " blarghous snorflegrib " + plain[k : k + 90]) for k in range(0, 300, 7)]
+    model = toxicity.dictionaries([w for t in toxic for w in t], [w for k in range(0, 300, 7) for w in toxicity.windows(plain[k : k + 300])])
+    scorer = toxicity.Scorer(model)
+    for at in range(0, 1000, 61):
+        text = plain[:at] + " snorflegrib " + plain[at:]
+        assert scorer.features(text)[-2] > scorer.features(plain)[-2], at
 
 
 def test_membership_filter_loses_no_row(spark):
