@@ -39,11 +39,13 @@ BLOCK = 20_000
 #: Partners that a row reports from one posting list.
 CAP = 8
 #: Parts of the index that are made and compared one after the other.
-ROUNDS = 4
+ROUNDS = 2
 #: Rows of lists that are compared at once.
 _CHUNK = 20_000
 #: Lists of more rows are compared row by row.
 _SMALL = 256
+#: Lines of at most so many words have bitmaps of 64 bits, others of 128.
+_NARROW = 32
 #: Classes and early lines with more than a SHARE-th of all rows are joined by broadcast: there are at most SHARE of them.
 SHARE = 10_000
 _LAST = 2**63 - 1
@@ -126,8 +128,8 @@ def place_key(doc: np.ndarray, rk: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 
 def lines_of(docs: DataFrame, levels, num: int, low: float, high: float) -> DataFrame:
-    """A row per line: doc_id, rk, line, n, k1, k2 and, once per slice for each class, packed (order, size), bits and
-    the words of its prefix."""
+    """A row per line: doc_id, rk, line, n, k1, k2 and, once per slice for each class, packed (order, size), bits, the
+    words of its prefix and how many of them, at its end, may have lists over BLOCK rows (``often``)."""
 
     def run(batches):
         import pyarrow as pa
@@ -148,41 +150,53 @@ def lines_of(docs: DataFrame, levels, num: int, low: float, high: float) -> Data
                 size[pick] = p
                 upto = np.zeros(len(row) + 1, np.int32)
                 np.cumsum(size, out=upto[1:])
-                bits = np.zeros(len(row), np.uint64)
+                bits = np.zeros((2, len(row)), np.uint64)
                 if len(pick):
-                    whole = s.h[ranges(s.first[pick], n)]
-                    bits[pick] = np.bitwise_xor.reduceat(np.uint64(1) << (mix64(whole) >> np.uint64(58)), np.cumsum(n) - n)
+                    where = mix64(s.h[ranges(s.first[pick], n)]) >> np.uint64(57)
+                    one, half = np.uint64(1) << (where & np.uint64(63)), where >> np.uint64(6)
+                    for k in range(2):
+                        bits[k, pick] = np.bitwise_xor.reduceat(np.where(half == k, one, np.uint64(0)), np.cumsum(n) - n)
+                    fold = pick[n <= _NARROW]
+                    bits[0, fold] ^= bits[1, fold]
+                    bits[1, fold] = 0
                 ids = part.column(0)
                 doc = ids.fill_null(_LAST).to_numpy()
                 order = np.clip((doc.astype(np.float64) - low) / max(1.0, high - low) * ((1 << _ORDER) - 1), 0, (1 << _ORDER) - 1).astype(np.int64)
                 packed = order[row] << (_N + _POS) | np.minimum(s.n, (1 << _N) - 1) << _POS
-                words = pa.ListArray.from_arrays(pa.array(upto), pa.array(s.h[ranges(s.first[pick], p)].view(np.int64)))
+                prefix = s.h[ranges(s.first[pick], p)]
+                long_lists = levels.value[(prefix & np.uint64(SLOTS - 1)).astype(np.int64)] >= np.floor(4 * np.log2(BLOCK))
+                often = np.zeros(len(row), np.int32)
+                often[pick] = np.bincount(np.repeat(np.arange(len(pick)), p), weights=long_lists, minlength=len(pick)).astype(np.int32)
+                words = pa.ListArray.from_arrays(pa.array(upto), pa.array(prefix.view(np.int64)))
                 take = pa.array(row)
-                cols = [ids.take(take), part.column(1).take(take), *(pa.array(x) for x in (line.astype(np.int32), np.minimum(s.n, 2**31 - 1).astype(np.int32), s.k1.view(np.int64), s.k2.view(np.int64), packed, bits.view(np.int64))), words]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "rk", "line", "n", "k1", "k2", "packed", "bits", "prefix"])
+                cols = [ids.take(take), part.column(1).take(take), *(pa.array(x) for x in (line.astype(np.int32), np.minimum(s.n, 2**31 - 1).astype(np.int32), s.k1.view(np.int64), s.k2.view(np.int64), packed, *bits.view(np.int64), often)), words]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "rk", "line", "n", "k1", "k2", "packed", "bits", "bits2", "often", "prefix"])
 
-    return docs.select("doc_id", "rk", "text").mapInArrow(run, "doc_id long, rk long, line int, n int, k1 long, k2 long, packed long, bits long, prefix array<long>")
+    return docs.select("doc_id", "rk", "text").mapInArrow(run, "doc_id long, rk long, line int, n int, k1 long, k2 long, packed long, bits long, bits2 long, often int, prefix array<long>")
 
 
 def postings(lines: DataFrame) -> DataFrame:
-    """(key, packed, bits, k1) of every prefix word; packed gets the word's position."""
-    word = lines.filter(F.size("prefix") > 0).select("k1", "packed", "bits", F.posexplode("prefix").alias("pos", "key"))
-    return word.select("key", F.col("packed").bitwiseOR(F.least("pos", F.lit((1 << _POS) - 1)).cast("long")).alias("packed"), "bits", "k1")
+    """(key, packed, bits, bits2, k1) of every prefix word; packed gets the word's position."""
+    word = lines.filter(F.size("prefix") > 0).select("k1", "packed", "bits", "bits2", F.posexplode("prefix").alias("pos", "key"))
+    return word.select("key", F.col("packed").bitwiseOR(F.least("pos", F.lit((1 << _POS) - 1)).cast("long")).alias("packed"), "bits", "bits2", "k1")
 
 
 class _List:
     """Rows of posting lists, as arrays."""
 
-    def __init__(self, packed, bits, k1):
+    def __init__(self, packed, bits, bits2, k1):
         self.order, self.n, self.pos = packed >> (_N + _POS), packed >> _POS & ((1 << _N) - 1), packed & ((1 << _POS) - 1)
-        self.bits, self.k1 = bits, k1
+        self.low, self.high, self.k1 = bits.view(np.uint64), bits2.view(np.uint64), k1
+        self.short = self.n <= _NARROW
 
     def similar(self, i, j, num: int) -> np.ndarray:
         """Whether rows i and j (arrays, or one and an array) pass all filters."""
         a, b = self.n[i], self.n[j]
         need = -(-num * (a + b) // (100 + num))
         ok = (100 * np.minimum(a, b) >= num * np.maximum(a, b)) & (np.minimum(a - self.pos[i], b - self.pos[j]) >= need) & (self.k1[i] != self.k1[j])
-        return ok & (np.bitwise_count((self.bits[i] ^ self.bits[j]).view(np.uint64)) <= a + b - 2 * need)
+        low, high = self.low[i] ^ self.low[j], self.high[i] ^ self.high[j]
+        differ = np.where(self.short[i] | self.short[j], np.bitwise_count(low ^ high), np.bitwise_count(low).astype(np.int64) + np.bitwise_count(high))
+        return ok & (differ <= a + b - 2 * need)
 
 
 def near_rows(key, rows: _List, num: int) -> tuple[np.ndarray, np.ndarray]:
@@ -256,11 +270,11 @@ def _pairs(x, y, more):
 
 
 def candidate_pairs(posts: DataFrame, num: int) -> DataFrame:
-    """PAIRS of the lists of posts (key, packed, bits, k1). A list is compared with itself; rows marked by bit 62 are
+    """PAIRS of the lists of posts (key, packed, bits, bits2, k1). A list is compared with itself; rows marked by bit 62 are
     compared with those that aren't only."""
 
     def run(batches):
-        for key, packed, bits, k1 in whole_lists(batches):
+        for key, packed, bits, bits2, k1 in whole_lists(batches):
             at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(at, len(key)))
             marked = packed >> 62 & 1 == 1
@@ -272,13 +286,13 @@ def candidate_pairs(posts: DataFrame, num: int) -> DataFrame:
             while lo < len(ends) - 1:  # whole lists, about _CHUNK rows together
                 hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + _CHUNK, side="right")) - 1)
                 s = some[ends[lo] : ends[hi]]
-                rows = _List(packed[s], bits[s], k1[s])
+                rows = _List(packed[s], bits[s], bits2[s], k1[s])
                 i, j = near_rows(key[s], rows, num)
                 keep, more = capped(i, j, rows.order)
                 yield _pairs(rows.k1[i[keep]], rows.k1[j[keep]], rows.k1[more])
                 lo = hi
             for a, n in zip(at[one_by_one].tolist(), size[one_by_one].tolist(), strict=True):
-                rows, own = _List(packed[a : a + n], bits[a : a + n], k1[a : a + n]), marked[a : a + n]
+                rows, own = _List(packed[a : a + n], bits[a : a + n], bits2[a : a + n], k1[a : a + n]), marked[a : a + n]
                 leaders = n - int(own.sum())
                 i, j, full = near_rows_of_long(rows, num, leaders)
                 if leaders < n:
@@ -301,21 +315,23 @@ def capped(i: np.ndarray, j: np.ndarray, order: np.ndarray) -> tuple[np.ndarray,
     return keep, np.unique(np.concatenate([j[lost], i[tied]]))
 
 
-def blocked(posts: DataFrame) -> DataFrame:
+def long_lists(lines: DataFrame) -> DataFrame:
+    """(key, rows, least, most) of the posting lists over BLOCK rows, counted among the words that may have them."""
+    some = lines.filter("often > 0").select(F.explode(F.expr("slice(prefix, -often, often)")).alias("key"), "packed")
+    return some.groupBy("key").agg(F.count("*").alias("rows"), F.min("packed").alias("least"), F.max("packed").alias("most")).filter(F.col("rows") > BLOCK)
+
+
+def blocked(posts: DataFrame, sizes: DataFrame) -> DataFrame:
     """posts with lists over BLOCK rows cut: about BLOCK of the earliest rows stay the list, and go along with each block
     of the others, which are marked by bit 62, under keys of their own."""
-    sizes = posts.groupBy("key").agg(F.count("*").alias("rows"), F.min("packed").alias("least"), F.max("packed").alias("most")).filter(F.col("rows") > BLOCK)
-    sizes = materialize(sizes, "line-lists")
-    if sizes.isEmpty():
-        return posts
     lists = posts.join(sizes, "key", "left")
     # a list's earliest rows: those below the place that BLOCK rows would reach if documents were dealt evenly over the range
     span = (F.col("most") - F.col("least") + 1).cast("double")
     early = (F.col("packed") - F.col("least")).cast("double") / span * F.col("rows") < BLOCK
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    rest = ["packed", "bits", "k1"]
+    rest = ["packed", "bits", "bits2", "k1"]
     cut = lists.filter("rows is not null").withColumns({"early": early, "blocks": blocks})
-    others = cut.filter("not early").select(F.xxhash64("key", F.pmod(F.hash("k1"), "blocks")).alias("key"), F.col("packed").bitwiseOR(F.lit(1 << 62)).alias("packed"), "bits", "k1")
+    others = cut.filter("not early").select(F.xxhash64("key", F.pmod(F.hash("k1"), "blocks")).alias("key"), F.col("packed").bitwiseOR(F.lit(1 << 62)).alias("packed"), "bits", "bits2", "k1")
     leaders = cut.filter("early").select("key", *rest, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     leaders = leaders.select(F.xxhash64("key", "block").alias("key"), *rest)
     return lists.filter("rows is null").select("key", *rest).unionByName(cut.filter("early").select("key", *rest)).unionByName(others).unionByName(leaders)
@@ -390,22 +406,28 @@ def rest_of_pairs(posts: DataFrame, late: DataFrame, num: int) -> DataFrame:
 
     def dealt(rows, own, other, side):
         part = F.pmod(F.hash("k1"), F.col(own))
-        out = rows.join(sized, "key").select("key", "packed", "bits", "k1", part.alias("_own"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("_other"))
+        out = rows.join(sized, "key").select("key", "packed", "bits", "bits2", "k1", part.alias("_own"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("_other"))
         a, b = ("_own", "_other") if side == 0 else ("_other", "_own")
-        return out.select("key", F.col(a).alias("a"), F.col(b).alias("b"), F.lit(side).alias("side"), "packed", "bits", "k1")
+        return out.select("key", F.col(a).alias("a"), F.col(b).alias("b"), F.lit(side).alias("side"), "packed", "bits", "bits2", "k1")
 
     both = dealt(mine, "mine", "all", 0).unionByName(dealt(posts, "all", "mine", 1))
 
     def run(batches):
-        for key, a, b, side, packed, bits, k1 in whole_lists(batches, 3):
+        for key, a, b, side, packed, bits, bits2, k1 in whole_lists(batches, 3):
             at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            rows, x, y, made = _List(packed, bits, bits2, k1), [], [], 0
             for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(key)], strict=True):
-                rows = _List(packed[lo:hi], bits[lo:hi], k1[lo:hi])
-                others = np.flatnonzero(side[lo:hi] == 1)
-                for i in np.flatnonzero(side[lo:hi] == 0).tolist():
+                others = lo + np.flatnonzero(side[lo:hi] == 1)
+                for i in (lo + np.flatnonzero(side[lo:hi] == 0)).tolist():
                     hit = others[rows.similar(i, others, num)]
-                    if len(hit):
-                        yield _pairs(np.full(len(hit), rows.k1[i]), rows.k1[hit], np.empty(0, np.int64))
+                    x.append(np.full(len(hit), k1[i]))
+                    y.append(k1[hit])
+                    made += len(hit)
+                    if made > 1 << 20:
+                        yield _pairs(np.concatenate(x), np.concatenate(y), np.empty(0, np.int64))
+                        x, y, made = [], [], 0
+            if x:
+                yield _pairs(np.concatenate(x), np.concatenate(y), np.empty(0, np.int64))
 
     cut = both.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
     return cut.mapInArrow(run, PAIRS).select("x", "y").distinct()
@@ -420,9 +442,11 @@ def duplicate_lines(docs: DataFrame, num: int = 80) -> DataFrame:
     place = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), F.coalesce("rk", F.lit(0)).alias("rk"), "line")
     classes = materialize(lines.filter("n > 0").groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("lines")), "line-classes")
     posts = postings(lines)
-    found = None
+    sizes, found = materialize(long_lists(lines), "line-lists"), None
+    cut = not sizes.isEmpty()
     for k in range(ROUNDS):  # one part of the index after the other, so that not all of it lies on the disks at once
-        part = materialize(candidate_pairs(blocked(posts.filter(F.pmod(F.hash("key"), F.lit(ROUNDS)) == k)), num), "line-pairs")
+        some = posts.filter(F.pmod(F.hash("key"), F.lit(ROUNDS)) == k)
+        part = materialize(candidate_pairs(blocked(some, sizes) if cut else some, num), "line-pairs")
         found = part if found is None else found.unionByName(part)
         release(spark)
     found = materialize(found.groupBy("x", "y").agg(F.max("more").alias("more")), "line-pairs")
