@@ -34,7 +34,7 @@ from .common import materialize, set_aside
 SAMPLE, ORDINARY, WINDOWS = 4000, 3, 150_000
 WIDTH, STRIDE = 32, 16
 #: Bytes of the common dictionary and of each side's own, and rounds of training of the latter.
-BASE, OWN, ROUNDS = 32768, 4096, 4
+BASE, OWN, ROUNDS = 32768, 1024, 4
 #: Distances at which windows are counted.
 CUTS = (2, 3, 4, 5, 6, 8)
 
@@ -107,12 +107,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def trained(size: int, pieces: list[bytes]) -> bytes:
+def trained(size: int, pieces: list[bytes], **how: int) -> bytes:
     """Content of a dictionary of at most so many bytes."""
     import zstandard as z
 
     try:
-        return z.train_dictionary(size, pieces).as_bytes()
+        return z.train_dictionary(size + 400, pieces, **how).as_bytes()[-size:]  # without its entropy tables
     except z.ZstdError:  # too little text for zstandard's trainer: the text itself is the dictionary
         return b"".join(pieces)[-size:]
 
@@ -122,7 +122,7 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     base = trained(BASE, ordinary)
     own_toxic, own_ordinary = toxic, ordinary
     for k in range(ROUNDS + 1):
-        t, o = trained(OWN, own_toxic), trained(OWN, own_ordinary)
+        t, o = (trained(OWN, x, k=16, d=6) for x in (own_toxic, own_ordinary))  # segments of 16 bytes
         n = min(len(t), len(o))
         model = Model(toxic=t[-n:] + base, ordinary=o[-n:] + base)
         if k == ROUNDS:
