@@ -217,7 +217,7 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
-def by_bytes(batch, column: int, most: int = 4 << 20):
+def by_bytes(batch, column: int, most: int = 2 << 20):
     """Slices of an Arrow batch whose strings in a column hold at most so many bytes together, or of one row."""
     import pyarrow.compute as pc
 

@@ -37,7 +37,7 @@ SLOTS = 1 << 21
 #: Rows of a posting list that are compared with each other in one task.
 BLOCK = 20_000
 #: Partners that a row reports from one posting list.
-CAP = 8
+CAP = 24
 #: Parts of the index that are made and compared one after the other.
 ROUNDS = 2
 #: Rows of lists that are compared at once.
@@ -108,8 +108,7 @@ def word_levels(docs: DataFrame) -> np.ndarray:
                 buf, offs = column_bytes(part.column(0))
                 buf = lower_ascii(buf)
                 starts, ends, _ = word_spans(buf, offs)
-                slot, n = np.unique((word_hashes(buf, starts, ends) & np.uint64(SLOTS - 1)).astype(np.int64), return_counts=True)
-                count[slot] += n
+                count += np.bincount((word_hashes(buf, starts, ends) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         some = np.flatnonzero(count)
         for lo in range(0, len(some), 1 << 16):
             at = some[lo : lo + (1 << 16)]
@@ -190,13 +189,19 @@ class _List:
         self.short = self.n <= _NARROW
 
     def similar(self, i, j, num: int) -> np.ndarray:
-        """Whether rows i and j (arrays, or one and an array) pass all filters."""
+        """Where (in j) rows i, one or as many as j, and j pass all filters, the cheap ones first."""
         a, b = self.n[i], self.n[j]
-        need = -(-num * (a + b) // (100 + num))
-        ok = (100 * np.minimum(a, b) >= num * np.maximum(a, b)) & (np.minimum(a - self.pos[i], b - self.pos[j]) >= need) & (self.k1[i] != self.k1[j])
+        at = np.flatnonzero((100 * np.minimum(a, b) >= num * np.maximum(a, b)) & (self.k1[i] != self.k1[j]))
+        one = np.ndim(i) == 0
+        j = j[at]
+        i = np.broadcast_to(i, len(j)) if one else i[at]
         low, high = self.low[i] ^ self.low[j], self.high[i] ^ self.high[j]
-        differ = np.where(self.short[i] | self.short[j], np.bitwise_count(low ^ high), np.bitwise_count(low).astype(np.int64) + np.bitwise_count(high))
-        return ok & (differ <= a + b - 2 * need)
+        wide = np.bitwise_count(low).astype(np.int64) + np.bitwise_count(high)
+        a, b = self.n[i], self.n[j]
+        need = -(-num * (a + b) // (100 + num))
+        differ = np.where(self.short[i] | self.short[j], np.bitwise_count(low ^ high), wide)
+        ok = (differ <= a + b - 2 * need) & (np.minimum(a - self.pos[i], b - self.pos[j]) >= need)
+        return at[ok]
 
 
 def near_rows(key, rows: _List, num: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,9 +210,9 @@ def near_rows(key, rows: _List, num: int) -> tuple[np.ndarray, np.ndarray]:
     while len(live):
         live = live[live + d < len(key)]
         live = live[key[live] == key[live + d]]
-        ok = rows.similar(live, live + d, num)
-        first.append(live[ok])
-        second.append(live[ok] + d)
+        hit = live[rows.similar(live, live + d, num)]
+        first.append(hit)
+        second.append(hit + d)
         d += 1
     return (np.concatenate(first), np.concatenate(second)) if first else (np.empty(0, np.int64), np.empty(0, np.int64))
 
@@ -399,8 +404,9 @@ def _places(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def rest_of_pairs(posts: DataFrame, late: DataFrame, num: int) -> DataFrame:
     """(x, y): all candidate partners of the classes in late (k1), whatever their number, block by block."""
-    mine = posts.join(late, "k1", "left_semi")
-    keys = mine.groupBy("key").agg(F.count("*").alias("mine"))
+    mine = materialize(posts.join(late, "k1", "left_semi"), "line-mine")
+    keys = materialize(mine.groupBy("key").agg(F.count("*").alias("mine")), "line-keys")
+    posts = materialize(posts.join(keys.select("key"), "key", "left_semi"), "line-theirs")  # written, so that its size is known
     sized = posts.join(keys, "key").groupBy("key").agg(F.count("*").alias("all"), F.first("mine").alias("mine"))
     sized = materialize(sized.select("key", F.ceil(F.col("mine") / BLOCK).cast("int").alias("mine"), F.ceil(F.col("all") / BLOCK).cast("int").alias("all")), "line-rest")
 
