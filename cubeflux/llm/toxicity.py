@@ -31,10 +31,10 @@ from pyspark.sql import types as T
 from .common import materialize, set_aside
 
 #: Labelled documents to fit on: at most SAMPLE toxic and ORDINARY times as many ordinary ones; and windows of each kind.
-SAMPLE, ORDINARY, WINDOWS = 4000, 3, 150_000
-WIDTH, STRIDE = 32, 16
+SAMPLE, ORDINARY, WINDOWS = 4000, 3, 80_000
+WIDTH, STRIDE = 48, 28
 #: Bytes of the common dictionary and of each side's own, and rounds of training of the latter.
-BASE, OWN, ROUNDS = 32768, 1024, 4
+BASE, OWN, ROUNDS = 131072, 1024, 6
 #: Distances at which windows are counted.
 CUTS = (2, 3, 4, 5, 6, 8)
 
@@ -65,7 +65,7 @@ class Scorer:
         import zstandard as z
 
         self.model = model
-        params = z.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=4, min_match=3, target_length=32, strategy=z.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False, format=z.FORMAT_ZSTD1_MAGICLESS)
+        params = z.ZstdCompressionParameters(window_log=18, hash_log=16, chain_log=16, search_log=4, min_match=3, target_length=32, strategy=z.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False, format=z.FORMAT_ZSTD1_MAGICLESS)
         self.pair = []
         for content in (model.ordinary, model.toxic):
             if content:
