@@ -3,6 +3,9 @@
 Writer: one file per partition; a record per page. The first page (smallest page_id) of each payload is a ``response``,
 every other one a ``revisit`` that names it.
 
+A revisit has no block: the payload's length and digest stand in its headers, and nothing on disk but its response
+holds the bytes, so ``block_ok`` (the block has the stated length and digest) says nothing about a revisit's and is true.
+
 Reader: archives are cut into byte ranges. Each task looks for the record magic in its range, parses the header there
 and notes where that record would end: candidate record -> successor offset. Payloads may hold the magic too, so a
 candidate counts only if the chain from the file's start reaches it. Within its range a task follows chains itself and
@@ -11,7 +14,9 @@ finds, in logarithmically many rounds, where the true chain enters each range.
 
 Defined cases: null html is an empty payload; empty payloads are deduplicated like any other; rows that repeat a page_id
 with equal payloads are all responses (none is smaller); a null page_id comes back null, and counts as larger than any
-id; very long records may span many ranges; extra columns are ignored; an empty table gives no rows.
+id; very long records may span many ranges; a url over MAX_URL bytes is stored as the urn of its SHA-1; magic in payloads,
+with whatever headers or lengths after it, is no record; extra columns, whatever their names, are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -23,11 +28,14 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, mark_members, materialize, shared_dir
+from .common import Store, mark_members, materialize, part_count, shared_dir
 
 MAGIC = b"WARC/1.1\r\n"
 SPLIT_BYTES = 8 << 20
 _NO_ID = 2**63 - 1
+#: Bytes of the longest url in a header, and of the longest header that a reader takes for one.
+MAX_URL, MAX_HEADER = 1 << 18, 1 << 19
+_LENGTH = re.compile(rb"[0-9]{1,18}")
 
 
 def sha1_base32(data: bytes) -> str:
@@ -35,13 +43,15 @@ def sha1_base32(data: bytes) -> str:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record; a revisit keeps the payload's length and digest in its headers and the payload itself as its block,
-    so that every archive can be read on its own."""
+    """One record; a revisit keeps the payload's length and digest in its headers and has an empty block."""
+    url = re.sub(r"[\r\n]+", " ", url or "")
+    if len(raw := url.encode()) > MAX_URL:
+        url = f"urn:sha1:{sha1_base32(raw)}"
     kind = "response" if refers_to is None else "revisit"
     lines = [
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        f"WARC-Target-URI: {re.sub(r'[\r\n]+', ' ', url or '')}",
+        f"WARC-Target-URI: {url}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {len(payload)}",
@@ -53,9 +63,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return MAGIC + "\r\n".join(lines).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
 
-def parse(data: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
-    """Headers, block start and record end of the record whose magic is at ``at``; None if no header ends in data."""
-    stop = data.find(b"\r\n\r\n", at)
+def parse(data: bytes, at: int, before: int | None = None) -> tuple[dict[str, str], int, int] | None:
+    """Headers, block start and record end of the record whose magic is at ``at``; None if no header ends in data within
+    MAX_HEADER bytes and before the next magic, which no header holds."""
+    stop = data.find(b"\r\n\r\n", at, min(len(data) if before is None else before, at + MAX_HEADER))
     if stop < 0:
         return None
     head = {}
@@ -63,8 +74,8 @@ def parse(data: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
         key, colon, value = line.partition(b":")
         if colon:
             head[key.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    n = head.get("content-length", "")
-    if not n.isdigit():
+    n = head.get("content-length", "").encode()
+    if not _LENGTH.fullmatch(n):
         return None
     return head, stop + 4, stop + 8 + int(n)
 
@@ -91,35 +102,34 @@ def write_archives(pages: DataFrame, folder: str) -> list[tuple[str, int]]:
     return sorted((r.file, r.bytes) for r in made if r.bytes)
 
 
-#: Bytes read past a range's end, at least, to finish a header that begins in it.
-_HEADER = 1 << 16
-
-
 def _window(store: Store, name: str, start: int, end: int, size: int) -> bytes:
-    more = _HEADER
-    while True:
-        data = store.read(name, start, min(size, end + more) - start)
-        last = data.rfind(MAGIC, 0, end - start + len(MAGIC) - 1)
-        if last < 0 or data.find(b"\r\n\r\n", last) >= 0 or start + len(data) >= size:
-            return data
-        more *= 4
+    """The bytes from start to end, and as many more as a header that begins before the end may have."""
+    data = store.read(name, start, min(size, end + len(MAGIC)) - start)
+    last = data.rfind(MAGIC, 0, end - start + len(MAGIC) - 1)
+    if last < 0 or data.find(b"\r\n\r\n", last) >= 0:
+        return data
+    return data + store.read(name, start + len(data), max(0, min(size, start + last + MAX_HEADER) - start - len(data)))
 
 
 def _candidates(data: bytes, start: int, end: int, size: int) -> dict[int, int]:
     """Absolute offset of each magic in [start, end) -> where its record would end."""
     out, at = {}, data.find(MAGIC)
     while 0 <= at < end - start:
-        got = parse(data, at)
+        after = data.find(MAGIC, at + 1)
+        got = parse(data, at, after if after >= 0 else None)
         if got and start + got[2] <= size:
             out[start + at] = start + got[2]
-        at = data.find(MAGIC, at + 1)
+        at = after
     return out
 
 
 def _splits(spark: SparkSession, files: list[tuple[str, int]], split: int) -> DataFrame:
-    rows = [(name, a, min(a + split, size), size) for name, size in files for a in range(0, size, split)]
-    df = spark.createDataFrame(rows, "file string, start long, end long, size long")
-    return df.repartitionByRange(max(1, len(rows)), "file", "start")
+    """(file, start, end, size) of byte ranges; files: one for each partition that wrote."""
+    df = spark.createDataFrame(files, "file string, size long")
+    cut = df.select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start"), "size")
+    ranges = sum(-(-size // split) for _, size in files)
+    cut = cut.select("file", "start", F.least(F.col("start") + split, "size").alias("end"), "size")
+    return cut.repartition(min(ranges, max(part_count(spark), 2 * spark.sparkContext.defaultParallelism)), "file", "start")
 
 
 def verified_entries(spark: SparkSession, folder: str, files: list[tuple[str, int]], split: int = SPLIT_BYTES) -> DataFrame:

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -223,6 +224,26 @@ def test_warc_chain_rejects_magic_in_payloads(spark):
     assert warc.warc(d.filter("false")).count() == 0
 
 
+def test_warc_survives_false_headers(spark):
+    head = "WARC/1.1\r\nContent-Length: "
+    odd = [f"{head}\u00b2\r\n\r\nx", f"{head}{'9' * 5000}\r\n\r\n", f"{head}-1\r\n\r\n", f"{head}999999999999999999\r\n\r\n", head, "WARC/1.1\r\n" * 20000, f"{head}4\r\n\r\nabcd\r\n\r\n" * 50]
+    rows = [(i, "u" * (300_000 if i == 1 else 3), h) for i, h in enumerate(odd)] + [(50, None, odd[0])]
+    got = {r.page_id: r for r in warc.warc(spark.createDataFrame(rows, "page_id long, url string, html string"), 7000).collect()}
+    for i, _, h in rows:
+        raw = h.encode()
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(raw), warc.sha1_base32(raw)) and got[i].block_ok
+    assert got[50].refers_to == 0 and len(got) == len(rows)
+    many = b"WARC/1.1\r\n" * 20000
+    started = time.monotonic()
+    assert warc._candidates(many, 0, len(many), len(many)) == {} and time.monotonic() - started < 1
+
+
+def test_warc_extra_columns_and_repeated_ids(spark):
+    d = spark.createDataFrame([(1, "u", "a", "x", 1), (1, "v", "a", "y", 2), (None, "u", "b", "z", 3), (None, "u", "b", "z", 4)], "page_id long, url string, html string, digest string, `first` long")
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.warc(d).collect())
+    assert got == [(0, "response", None), (0, "response", None), (1, "response", None), (1, "response", None)]
+
+
 def test_html_text(spark):
     page = "<html><head><title>T</title><script>var a='<p>no</p>'</script></head><body><nav><ul><li><a>Menu</a></ul></nav><div class='ad'>Buy this now, it is a very long advert text for you</div><article><h1>Head &amp; line</h1><p><b>First&nbsp; para<br>more.<p>Second</p></article><div id='comments'><p>nice</p></div><footer>foot</footer></body></html>"
     assert html_text.extract(page) == "Head & line\n\nFirst para more.\n\nSecond"
