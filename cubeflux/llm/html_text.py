@@ -10,9 +10,13 @@ Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 a word of a class or id says so, the element counts all the same if it holds the page's article or most of the text of
 the lines above the threshold. Such a word must name the element (``left-sidebar``, not ``with-sidebar``).
 
+A nav, aside, footer or the like drops its text if its own end tag closes it; one that never ends is judged like an
+element that only a class names. Work is in proportion to the page, however deep or broken its tags are.
+
 Defined cases: null or empty html gives an empty text; a page without any block gives its plain text; broken or unclosed
-markup is read as the parser reports it; very long pages are streamed event by event; repeated rows give equal texts;
-extra columns are ignored.
+markup is read as the parser reports it; very long pages are streamed event by event; repeated rows give equal texts,
+ties of the two clusters count as above; a null page_id or url comes back null; extra columns, whatever their names, are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,12 +30,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_bytes
+
 #: Fixed lists of HTML elements by their role.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = set("aside audio button canvas dialog fieldset footer form head iframe input label menu nav noscript object option script select style svg template textarea title video".split())
 CONTAINERS = set("article body div main section td".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Elements of DROPPED, and header, that surround other blocks.
+AROUND = set("aside dialog fieldset footer form header menu nav".split())
+#: A stray end tag of another kind doesn't close these.
+KEEPS = set("article body main table".split())
 #: A start tag of the left closes an open element of the right.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}} | {b: {"p"} for b in BLOCKS - set("li dt dd tr td th option".split())}
 _ROLE = re.compile(r"ads?|advert\w*|banners?|breadcrumbs?|consent|cookies?|footers?|gdpr|masthead|menus?|modals?|navs?|navbar|navigation|newsletters?|notices?|pagination|popups?|promos?|promotions?|related|share|sharing|sidebars?|skiplinks?|social|sponsor\w*|subscribe|subscription|toolbar|widgets?")
@@ -68,7 +78,7 @@ class _Line(NamedTuple):
     tags: int
     linked: bool  # most of it is links, and it is no heading
     dropped: bool
-    named: tuple[int, ...]  # elements around it that a class or id gives a role
+    named: int  # the innermost element around it that a class, an id or its tag gives a role; -1 if there is none
     box: int
     page: int  # the outermost article or main, 0 if there is none
 
@@ -76,16 +86,35 @@ class _Line(NamedTuple):
 class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, tuple[int, ...], int, int, bool]] = []  # tag, dropped, named, box, page, in a link
+        self.stack: list[tuple[str, bool, int, int, int, bool, int]] = []  # tag, dropped, named, box, page, in a link, named itself
+        self.places: dict[str, list[int]] = {}  # open elements of each tag
+        self.keeps: list[int] = []  # open elements of KEEPS
         self.text: list[str] = []
         self.tags = self.links = self.containers = 0
         self.heading = False
-        self.named: list[str] = []  # role of each named element
-        self.holding: set[int] = set()  # named elements with an article or main that isn't a reader's
+        self.named: list[str] = []  # role of each named element: readers, other, header, or tag for an element of AROUND
+        self.parent: list[int] = []  # the named element around each
+        self.readers: list[bool] = []  # whether it is, or lies in, reader comments
+        self.holding: list[bool] = []  # whether it holds an article or main that isn't a reader's
+        self.closed: list[bool] = []  # whether its own end tag closed it
         self.lines: list[_Line] = []
 
-    def state(self) -> tuple[bool, tuple[int, ...], int, int, bool]:
-        return self.stack[-1][1:] if self.stack else (False, (), 0, 0, False)
+    def state(self) -> tuple[bool, int, int, int, bool]:
+        return self.stack[-1][1:6] if self.stack else (False, -1, 0, 0, False)
+
+    def pop(self) -> None:
+        tag = self.stack.pop()[0]
+        self.places[tag].pop()
+        if tag in KEEPS:
+            self.keeps.pop()
+
+    def name(self, kind: str, around: int) -> int:
+        self.named.append(kind)
+        self.parent.append(around)
+        self.readers.append(kind == "readers" or (around >= 0 and self.readers[around]))
+        self.holding.append(False)
+        self.closed.append(False)
+        return len(self.named) - 1
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -101,18 +130,19 @@ class _Lines(HTMLParser):
             self.flush()
             ends = CLOSES.get(tag, ())
             while self.stack and self.stack[-1][0] in ends:
-                self.stack.pop()
+                self.pop()
         self.tags += 1
         if tag == "br":
             self.text.append(" ")
         if tag in VOID:
             return
         dropped, named, box, page, link = self.state()
+        own = -1
         if not dropped:
             a = {k: v or "" for k, v in attrs}
+            around = tag in AROUND and (tag != "header" or not page)
             dropped = (
-                tag in DROPPED
-                or (tag == "header" and not page)
+                (tag in DROPPED and not around)
                 or "hidden" in a
                 or a.get("aria-hidden") == "true"
                 or a.get("role", "") in _ARIA
@@ -120,18 +150,22 @@ class _Lines(HTMLParser):
             )
             names = f"{a.get('class', '')} {a.get('id', '')}".strip()
             kind = role(names) if names and tag not in ("html", "body", "main") else ""
-            if tag in ("article", "main") and not dropped and kind != "readers" and not any(self.named[k] == "readers" for k in named):
-                self.holding.update(named)
+            if tag in ("article", "main") and not dropped and kind != "readers" and named >= 0 and not self.readers[named]:
+                self.holding[named] = True
+            if around and not dropped:
+                own = named = self.name("tag", named)
             if kind and (kind != "header" or not page):
-                named = (*named, len(self.named))
-                self.named.append(kind)
+                named = self.name(kind, named)
         if tag in CONTAINERS:
             self.containers += 1
             box = self.containers
         if tag in ("article", "main"):
             page = page or box
         self.heading = self.heading or tag in HEADINGS
-        self.stack.append((tag, dropped, named, box, page, link or tag == "a"))
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in KEEPS:
+            self.keeps.append(len(self.stack))
+        self.stack.append((tag, dropped, named, box, page, link or tag == "a", own))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -144,12 +178,14 @@ class _Lines(HTMLParser):
         if tag in BLOCKS:
             self.flush()
         self.tags += 1
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                break
-            if self.stack[k][0] in ("body", "article", "main", "table") and tag not in ("html", "body", "article", "main", "table"):
-                break  # a stray end tag doesn't close what surrounds it
+        at = self.places.get(tag)
+        if not at or (self.keeps and at[-1] < self.keeps[-1] and tag not in KEEPS and tag != "html"):
+            return  # nothing to close, or only what surrounds an article, a table, ...
+        k = at[-1]
+        if self.stack[k][6] >= 0:
+            self.closed[self.stack[k][6]] = True
+        while len(self.stack) > k:
+            self.pop()
 
     def handle_data(self, data):
         if not (self.stack and self.stack[-1][0] in ("script", "style")):
@@ -188,29 +224,35 @@ def above(dropped: list[bool], lines: list[_Line], sigma: float) -> list[bool]:
     return [h and not d for h, d in zip((level >= two_means(level)).tolist(), dropped, strict=True)]
 
 
-def left_out(parser: _Lines, hot: list[bool]) -> set[int]:
-    """The named elements that are dropped, outer ones judged first.
+def left_out(parser: _Lines, hot: list[bool]) -> list[bool]:
+    """Whether each named element is dropped, by itself or with one around it; outer ones are judged first.
 
     One stays if it holds an article or main and no less hot text than what else is free, or most of the hot text (nearly
     all, if an article or main has free text outside it). Reader comments stay only if nothing else is free.
     """
-    lines = parser.lines
-    held = [0] * len(parser.named)
-    for x, h in zip(lines, hot, strict=True):
-        if h:
-            for k in x.named:
-                held[k] += len(x.text)
-    total = sum(len(x.text) for x, h in zip(lines, hot, strict=True) if h)
-    out = set(range(len(parser.named)))
+    m = len(parser.named)
+    text, lines, paged = [0] * (m + 1), [0] * (m + 1), [0] * (m + 1)  # of lines right in each element; the last: in none
+    for x, h in zip(parser.lines, hot, strict=True):
+        if not x.dropped:
+            lines[x.named] += 1
+            paged[x.named] += bool(x.page)
+            text[x.named] += len(x.text) * h
+    total, held, holding = sum(text), text[:m], parser.holding[:]
+    for k in range(m - 1, -1, -1):
+        if parser.parent[k] >= 0:
+            held[parser.parent[k]] += held[k]
+            holding[parser.parent[k]] |= holding[k]
+    free = [text[m], lines[m], paged[m]]
+    gone = [True] * m
     for k, kind in enumerate(parser.named):
-        if not held[k] or (k not in parser.holding and 2 * held[k] <= total):
-            continue
-        others = [(x, h) for x, h in zip(lines, hot, strict=True) if not x.dropped and k not in x.named and out.isdisjoint(x.named)]
-        free = sum(len(x.text) for x, h in others if h)
-        share = 0.9 if any(x.page for x, _ in others) else 0.5
-        if held[k] > share * total and kind != "readers" or (k in parser.holding and held[k] >= free) or not others and 2 * held[k] > total:
-            out.discard(k)
-    return out
+        stays = False
+        if held[k] and (holding[k] or 2 * held[k] > total) and not (kind == "tag" and parser.closed[k]):
+            share = 0.9 if free[2] else 0.5
+            stays = (held[k] > share * total and kind != "readers") or (holding[k] and held[k] >= free[0]) or (not free[1] and 2 * held[k] > total)
+        if stays and not (parser.parent[k] >= 0 and gone[parser.parent[k]]):
+            gone[k] = False
+            free = [free[0] + text[k], free[1] + lines[k], free[2] + paged[k]]
+    return gone
 
 
 def extract(html: str | None, sigma: float = 1.0) -> str:
@@ -219,11 +261,16 @@ def extract(html: str | None, sigma: float = 1.0) -> str:
     parser.feed(html or "")
     parser.close()
     parser.flush()
+    if parser.named:  # what an element's own end tag closed is dropped for good
+        hard = []
+        for k, kind in enumerate(parser.named):
+            hard.append((kind == "tag" and parser.closed[k]) or (parser.parent[k] >= 0 and hard[parser.parent[k]]))
+        parser.lines = [x._replace(dropped=x.dropped or (x.named >= 0 and hard[x.named])) for x in parser.lines]
     lines = parser.lines
     hot = above([x.dropped for x in lines], lines, sigma)
     if parser.named:
-        out = left_out(parser, hot)
-        drop = [x.dropped or not out.isdisjoint(x.named) for x in lines]
+        gone = left_out(parser, hot)
+        drop = [x.dropped or (x.named >= 0 and gone[x.named]) for x in lines]
         hot = above(drop, lines, sigma)
         lines = [x._replace(dropped=d) for x, d in zip(lines, drop, strict=True)]
     free = [i for i, x in enumerate(lines) if not x.dropped]
@@ -245,8 +292,7 @@ def extract_pages(pages: DataFrame, sigma: float = 1.0) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in by_bytes(batch, 2):
                 texts = [extract(h, sigma) for h in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -253,6 +253,29 @@ def test_html_text(spark):
     d = spark.createDataFrame([(1, "u", page), (2, None, None)], "page_id long, url string, html string")
     assert {r.page_id: r.n_chars for r in html_text.extract_pages(d).collect()} == {1: len("Head & line") + 2 + len("First para more.") + 2 + len("Second"), 2: 0}
 
+
+def test_html_keeps_what_only_sounds_like_a_role():
+    long = ("word " * 40).strip()
+    for name in ("social-history", "related-work"):
+        assert html_text.extract(f"<body><article><p>{long}</p><div class='{name}'><p>{long} b</p></div></article></body>") == f"{long}\n\n{long} b"
+    assert html_text.extract(f"<body><nav><a href='/'>Home</a><article><p>{long}</p></article></body>").endswith(long)
+    assert html_text.extract(f"<body><nav><a href='/'>Home</a></nav><article><p>{long}</p></article><footer><p>{long}</p></footer></body>") == long
+
+
+def test_html_work_is_linear():
+    long = ("word " * 40).strip()
+    for page in ("<div>" * 20000 + "</p>" * 20000, "<p><article>" + "<div>" * 20000 + "</p>" * 20000, "<div class='sidebar'>" * 20000 + "<article>" * 50, "<nav>" * 20000):
+        started = time.monotonic()
+        html_text.extract(page + f"<p>{long}</p>")
+        assert time.monotonic() - started < 2
+
+
+def test_html_pages_edge_cases(spark):
+    d = spark.createDataFrame([(1, None, None, "x"), (1, None, "<p>a b</p>", "y"), (None, "u", "<p>" + "a b " * 50000 + "</p>", "z")], "page_id long, url string, html string, text string")
+    got = sorted(((r.page_id, r.url, r.n_chars) for r in html_text.extract_pages(d).collect()), key=str)
+    assert got == [(1, None, 0), (1, None, 3), (None, "u", 199999)] and html_text.extract_pages(d.filter("false")).count() == 0
+
+
 def test_html_regions_follow_the_ratio():
     long = "word " * 40
     card = f"<body><article><p>Card text</p></article><div><p>{long}</p><p>{long}</p><p>end</p></div></body>"
