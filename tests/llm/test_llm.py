@@ -388,11 +388,28 @@ def test_membership_filter_loses_no_row(spark):
     assert {*range(0, 5000, 7)} <= got and len(got) < 800
 
 
-def test_pipeline(spark, sf):
+def test_pipeline_stages_keep_columns_and_clean_rows(spark, sf, odd, none):
     pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
-    for _, stage in pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf)
-        assert out.columns == docs.columns
-        docs = spark.createDataFrame(out.collect(), docs.schema)
-    check_packing(pipeline.STAGES[-1][1](spark, docs, sf).collect(), 4096)
+    clash = odd.withColumns({c: F.lit(7) for c in ("predicted", "n_lines", "removed", "sampled", "probability", "row", "kept")})
+    docs = clash
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, clash, sf)
+        rows = out.collect()
+        assert out.columns == clash.columns, name
+        assert all((r.score, r.predicted, r.n_lines, r.removed, r.sampled, r.probability) == (0.5, 7, 7, 7, 7, 7) for r in rows), name
+        assert stage(spark, none, sf).count() == 0 and stage(spark, none, sf).columns == none.columns
+        if name in ("toxicity", "line dedup"):
+            assert len(rows) == docs.count(), name
+        if name == "near-duplicates":
+            assert sorted(r.doc_id for r in rows) == [1, 3, 4, 5, 6, 7, 10, 11]
+    assert pipeline.STAGES[-1][1](spark, none, sf).count() == 0
+
+
+def test_pipeline_runs(spark, sf, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs.filter("doc_id < 60").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = pipeline.run(spark, str(tmp_path)).collect()
+    check_packing(rows, 4096)
+    assert rows and {r.doc_id for r in rows} <= set(range(60))
