@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .spectral import bound
+
 
 def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda t, v: t + v)
@@ -39,10 +41,13 @@ def spectral_angle(a, b):
 
 def information_divergence(a, b):
     """Symmetric Kullback-Leibler divergence of the spectra as distributions, at least 0; 0 if a sum is 0."""
-    sa, sb = _sum(a), _sum(b)
-    pa, pb = F.transform(a, lambda v: v / F.nullif(sa, F.lit(0.0))), F.transform(b, lambda v: v / F.nullif(sb, F.lit(0.0)))
-    terms = _zip(pa, pb, lambda x, y: F.when((x > 0) & (y > 0), (x - y) * (F.ln(x) - F.ln(y))).otherwise(F.lit(0.0)))
-    return F.when((sa == 0) | (sb == 0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), _sum(terms)))
+
+    def terms(z):
+        pa, pb = F.transform(z["a"], lambda v: v / F.nullif(z["sa"], F.lit(0.0))), F.transform(z["b"], lambda v: v / F.nullif(z["sb"], F.lit(0.0)))
+        t = _zip(pa, pb, lambda x, y: F.when((x > 0) & (y > 0), (x - y) * (F.ln(x) - F.ln(y))).otherwise(F.lit(0.0)))
+        return F.when((z["sa"] == 0) | (z["sb"] == 0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), _sum(t)))
+
+    return bound(terms, a=a, b=b, sa=_sum(a), sb=_sum(b))
 
 
 def sid_sam_sin(a, b):
@@ -55,9 +60,12 @@ def sid_sam_tan(a, b):
 
 def normalised_l2(a, b):
     """L2 of the spectra divided by their means; 0 if a mean is 0."""
-    ma, mb = _sum(a) / F.size(a), _sum(b) / F.size(b)
-    d = _zip(a, b, lambda x, y: F.pow(x / F.nullif(ma, F.lit(0.0)) - y / F.nullif(mb, F.lit(0.0)), F.lit(2.0)))
-    return F.when((ma == 0) | (mb == 0), F.lit(0.0)).otherwise(F.sqrt(_sum(d)))
+
+    def distance(z):
+        d = _zip(z["a"], z["b"], lambda x, y: F.pow(x / F.nullif(z["ma"], F.lit(0.0)) - y / F.nullif(z["mb"], F.lit(0.0)), F.lit(2.0)))
+        return F.when((z["ma"] == 0) | (z["mb"] == 0), F.lit(0.0)).otherwise(F.sqrt(_sum(d)))
+
+    return bound(distance, a=a, b=b, ma=_sum(a) / F.size(a), mb=_sum(b) / F.size(b))
 
 
 def mean_squares(a, b):
@@ -75,11 +83,15 @@ def normalised_cross_correlation(a, b):
 
 def correlation(a, b):
     """Pearson correlation over the bands (population form); 0 if a variance is 0."""
-    n = F.size(a)
-    ma, mb = _sum(a) / n, _sum(b) / n
-    cov = _sum(_zip(a, b, lambda x, y: (x - ma) * (y - mb)))
-    va, vb = _sum(F.transform(a, lambda x: (x - ma) * (x - ma))), _sum(F.transform(b, lambda x: (x - mb) * (x - mb)))
-    return F.when(va * vb <= 0, F.lit(0.0)).otherwise(cov / F.sqrt(F.nullif(va * vb, F.lit(0.0))))
+
+    def moments(z):
+        cov = _sum(_zip(z["a"], z["b"], lambda x, y: (x - z["ma"]) * (y - z["mb"])))
+        va = _sum(F.transform(z["a"], lambda x: (x - z["ma"]) * (x - z["ma"])))
+        vb = _sum(F.transform(z["b"], lambda x: (x - z["mb"]) * (x - z["mb"])))
+        return F.struct(cov.alias("cov"), (va * vb).alias("v"))
+
+    m = bound(moments, a=a, b=b, ma=_sum(a) / F.size(a), mb=_sum(b) / F.size(b))
+    return bound(lambda z: F.when(z["m"]["v"] <= 0, F.lit(0.0)).otherwise(z["m"]["cov"] / F.sqrt(F.nullif(z["m"]["v"], F.lit(0.0)))), m=m)
 
 
 def spectral_distance(a, b, lo: float = 0.0, hi: float = 1.0):

@@ -12,6 +12,13 @@ def _c(s) -> Column:
     return F.col(s) if isinstance(s, str) else s
 
 
+def bound(f, **values) -> Column:
+    """f of a struct of values, each computed once for a row: a reduction named inside another array function's lambda
+    would be computed again for every element."""
+    one = F.array(F.struct(*(_c(v).alias(k) for k, v in values.items())))
+    return F.get(F.transform(one, f), F.lit(0))
+
+
 def rescale(s, lo: float, hi: float, new_lo: float, new_hi: float) -> Column:
     """From one range to another; equal ranges change nothing."""
     if (lo, hi) == (new_lo, new_hi) or hi == lo:
@@ -44,13 +51,13 @@ def norm(s) -> Column:
 
 def normalise(s) -> Column:
     """Divided by the L2 norm; a zero norm counts as 1."""
-    n = F.when(norm(s) > 0, norm(s)).otherwise(F.lit(1.0))
-    return F.transform(_c(s), lambda v: v / n)
+    n = F.coalesce(F.nullif(norm(s), F.lit(0.0)), F.lit(1.0))
+    return bound(lambda z: F.transform(z["s"], lambda v: v / z["n"]), s=s, n=n)
 
 
 def gradient(s) -> Column:
     """Differences of neighbouring bands (one band fewer)."""
-    return F.transform(F.slice(_c(s), 2, F.greatest(F.size(_c(s)) - 1, F.lit(0))), lambda v, i: v - F.get(_c(s), i))
+    return bound(lambda z: F.transform(F.slice(z["s"], 2, F.greatest(F.size(z["s"]) - 1, F.lit(0))), lambda v, i: v - F.get(z["s"], i)), s=s)
 
 
 def resize_plan(n: int, m: int) -> list[tuple[int, int, float]]:
@@ -66,7 +73,7 @@ def resize_plan(n: int, m: int) -> list[tuple[int, int, float]]:
 def resize(s, n: int, m: int) -> Column:
     plan = resize_plan(n, m)
     table = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(f).alias("f")) for a, b, f in plan))
-    return F.transform(table, lambda t: F.get(_c(s), t["a"]) * (1 - t["f"]) + F.get(_c(s), t["b"]) * t["f"])
+    return bound(lambda z: F.transform(table, lambda t: F.get(z["s"], t["a"]) * (1 - t["f"]) + F.get(z["s"], t["b"]) * t["f"]), s=s)
 
 
 def black_body(wavelength_nm: Column, temperature: float) -> Column:
@@ -84,8 +91,7 @@ def _planck_value(metres: float, t: float) -> float:
 
 def illuminate(s, coefficients, remove: bool = False) -> Column:
     """Multiply (or divide) each band by its coefficient."""
-    c = _c(coefficients)
-    return F.transform(_c(s), lambda v, i: v / F.get(c, i) if remove else v * F.get(c, i))
+    return bound(lambda z: F.transform(z["s"], lambda v, i: v / F.get(z["c"], i) if remove else v * F.get(z["c"], i)), s=s, c=coefficients)
 
 
 def quantise(s, lo: float, hi: float, top: int = 65535) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,16 +34,46 @@ def largest_buckets(index: DataFrame, n_points: int, share: float) -> DataFrame:
     return index.groupBy("t", "h").agg(F.count("*").alias("n")).filter(F.col("n") > share * n_points)
 
 
+#: Most queries of a tuning sample: they go to every task.
+SAMPLE = 2000
+
+
+def nearest_of_sample(points: DataFrame, sample: DataFrame, k: int) -> DataFrame:
+    """(query, candidate): the k nearest points (L1, ties to the lower id) of each point of a small sample. Every batch of
+    points keeps its own k best, so k rows a batch and query meet in the shuffle."""
+    rows = sample.select("vec_id", "s").limit(SAMPLE + 1).collect()
+    if len(rows) > SAMPLE:
+        raise ValueError(f"a tuning sample has at most {SAMPLE} points")
+    ids, at = np.array([r.vec_id for r in rows], np.int64), np.array([r.s for r in rows], float)
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            if not len(pdf) or not len(ids):
+                continue
+            mine, x = pdf["vec_id"].to_numpy(), np.array(pdf["s"].tolist(), float)
+            for lo in range(0, len(x), 1024):
+                d = np.abs(at[:, None, :] - x[None, lo : lo + 1024]).sum(axis=2) if len(at) <= 64 else np.stack([np.abs(q - x[lo : lo + 1024]).sum(axis=1) for q in at])
+                own = mine[lo : lo + 1024]
+                d[ids[:, None] == own[None]] = np.inf
+                best = np.stack([np.lexsort((own, row))[:k] for row in d])
+                dist = np.take_along_axis(d, best, 1)
+                out = pd.DataFrame({"query": np.repeat(ids, best.shape[1]), "candidate": own[best].ravel(), "d": dist.ravel()})
+                yield out[np.isfinite(out["d"])]
+
+    found = points.select("vec_id", "s").mapInPandas(run, "query long, candidate long, d double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "candidate"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "candidate")
+
+
 def tune(pixels: DataFrame, ks, tables, lows, highs, sample: DataFrame, k_near: int, epsilon: float = 0.05, seed: int = 42) -> tuple[int, int, float]:
     """The (K, L) with the fewest candidates for a query among those that keep the sample's k nearest neighbours.
 
     Quality of a setting: the share of the sample's true k nearest (L1) among its candidates is at least 1 - epsilon.
     """
     pts = pixels.select("vec_id", "s")
-    q = sample.select(F.col("vec_id").alias("query"), F.col("s").alias("qs"))
-    d = q.join(pts.select(F.col("vec_id").alias("candidate"), "s"), F.col("query") != F.col("candidate"))
-    dist = F.aggregate(F.zip_with("qs", "s", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda t, v: t + v)
-    near = d.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct(dist.alias("d"), "candidate"))), 1, k_near).alias("n")).select("query", F.explode("n.candidate").alias("candidate")).cache()
+    near = nearest_of_sample(pts, sample, k_near).cache()
     total = near.count()
     best = None
     for k in ks:

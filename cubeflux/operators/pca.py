@@ -6,11 +6,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cubeflux.functions.spectral import bound
 from cubeflux.model import Cube
 
 
 def moments(cube: Cube) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and covariance. Each partition sends one row of sums, whose size depends on the bands alone."""
+    """Mean and covariance. Each partition's sums are added row by row in a shuffle; the driver gets one matrix."""
     n = cube.n_bands
 
     def sums(batches):
@@ -21,12 +22,17 @@ def moments(cube: Cube) -> tuple[np.ndarray, np.ndarray]:
             if len(pdf):
                 m = np.array(pdf["s"].tolist())
                 count, total, gram = count + len(m), total + m.sum(axis=0), gram + m.T @ m
-        yield pd.DataFrame({"n": [count], "t": [total], "g": [gram.ravel()]})
+        if count:
+            yield pd.DataFrame({"band": range(n), "n": count, "t": total, "g": list(gram)})
 
-    rows = cube.pixels.select("s").mapInPandas(sums, "n long, t array<double>, g array<double>").collect()
-    count = sum(r.n for r in rows) or 1
-    mean = sum(np.array(r.t) for r in rows) / count
-    return mean, sum(np.array(r.g) for r in rows).reshape(n, n) / count - np.outer(mean, mean)
+    parts = cube.pixels.select("s").mapInPandas(sums, "band int, n long, t double, g array<double>")
+    row = F.array(*(F.sum(F.get("g", F.lit(k))) for k in range(n)))
+    rows = sorted(parts.groupBy("band").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), row.alias("g")).collect())  # one row per band
+    if not rows:
+        return np.zeros(n), np.zeros((n, n))
+    count = rows[0].n
+    mean = np.array([r.t for r in rows]) / count
+    return mean, np.array([r.g for r in rows]) / count - np.outer(mean, mean)
 
 
 def fit(cube: Cube, components: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,7 +53,7 @@ def project(s, mean: np.ndarray, components: np.ndarray) -> Column:
     """Coordinates of a spectrum: dot products of the centred spectrum with literal components."""
     c = F.col(s) if isinstance(s, str) else s
     centred = F.zip_with(c, F.array(*map(F.lit, mean.tolist())), lambda v, m: v - m)
-    return F.transform(_matrix(components), lambda row: F.aggregate(F.zip_with(centred, row, lambda v, k: v * k), F.lit(0.0), lambda t, v: t + v))
+    return bound(lambda z: F.transform(_matrix(components), lambda row: F.aggregate(F.zip_with(z["x"], row, lambda v, k: v * k), F.lit(0.0), lambda t, v: t + v)), x=centred)
 
 
 def back_project(coords, mean: np.ndarray, components: np.ndarray) -> Column:

@@ -83,8 +83,9 @@ def crop(cube: Cube, low: int, high: int) -> Cube:
 
 def segment(cube: Cube, mask: DataFrame) -> DataFrame:
     """Masked pixels in raster order, with their place."""
-    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*RASTER)) - 1
-    return cube.pixels.join(mask, "vec_id", "left_semi").withColumn("place", place)
+    from .neighbours import ranked
+
+    return ranked(cube.pixels.join(mask, "vec_id", "left_semi"), F.col("y").cast("double"), *map(F.col, RASTER))
 
 
 def set_pixels(cube: Cube, new: DataFrame) -> Cube:

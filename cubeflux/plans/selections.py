@@ -445,19 +445,21 @@ def t29(spark, sf):
 @query("t30_weight_buckets", f"with {PX}, {_E4}{_W} select u, v, floor(weight / ((select max(weight) from w) / 250))::int as bucket from w")
 def t30(spark, sf):
     e = N.weighted(N.edges(cube(spark, sf).pixels), D.euclidean)
-    return e.select("u", "v", F.floor(F.col("weight") / (F.max("weight").over(Window.partitionBy(F.lit(1))) / 250)).cast("int").alias("bucket"))
+    return N.with_top(e).select("u", "v", F.floor(F.col("weight") / (F.col("top") / 250)).cast("int").alias("bucket"))
 
 
 @query("o1_sorted_edges", f"with {PX}, {_E8}{_W} select u, v, (row_number() over (order by round(weight, 9), u, v) - 1)::int as place from w")
 def o1(spark, sf):
     e = N.weighted(N.edges(cube(spark, sf).pixels, N.EIGHT), D.euclidean)
-    return e.select("u", "v", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.round("weight", 9), "u", "v")) - 1).cast("int").alias("place"))
+    w = F.round("weight", 9)
+    return N.ranked(e, w, w, F.col("u"), F.col("v")).select("u", "v", F.col("place").cast("int").alias("place"))
 
 
 @query("o2_sorted_edges_descending", f"with {PX}, {_E4}{_W} select u, v, (row_number() over (order by round(weight, 9) desc, u desc, v desc) - 1)::int as place from w")
 def o2(spark, sf):
     e = N.weighted(N.edges(cube(spark, sf).pixels), D.euclidean)
-    return e.select("u", "v", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.round("weight", 9)), F.desc("u"), F.desc("v"))) - 1).cast("int").alias("place"))
+    w = -F.round("weight", 9)
+    return N.ranked(e, w, w, -F.col("u"), -F.col("v")).select("u", "v", F.col("place").cast("int").alias("place"))
 
 
 @query("o6_start_points", f"with {PX} select vec_id from px where vec_id % 5 = 0")
@@ -468,7 +470,8 @@ def o6(spark, sf):
 @query("o8_shuffle")
 def o8(spark, sf):
     px = cube(spark, sf).pixels
-    return px.select("vec_id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.xxhash64("vec_id", F.lit(42)))).alias("place"))
+    h = F.xxhash64("vec_id", F.lit(42))
+    return N.ranked(px, h.cast("double"), h.cast("double"), h, F.col("vec_id")).select("vec_id", (F.col("place") + 1).cast("int").alias("place"))
 
 
 _NEU = "neurons as (select (vec_id // 31)::int as idx, s as w from px where vec_id % 31 = 0 and vec_id < 496)"
