@@ -23,7 +23,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import by_bytes, materialize
 
 #: Fixed values of the MPEG-1 and MPEG-2/2.5 audio formats (kbit/s by index, Hz by index).
 BITRATES = {
@@ -145,8 +145,35 @@ class Stream:
         return self.samples * 1_000_000 // self.rate if self.rate else 0
 
 
+def _checksum(data: bytes, at: int, h) -> bool | None:
+    """Whether the checksum of the frame at ``at`` holds; None if it has none that covers known bytes."""
+    if not h.crc or h.layer != 3:
+        return None
+    side = SIDE[(h.version == 1, h.mono)]
+    return crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + side]) == int.from_bytes(data[at + 4 : at + 6], "big")
+
+
+def _begins_frame(data: bytes, at: int, end: int) -> bool:
+    """A header whose checksum holds and whose frame ends at another header or the stream's end."""
+    h = parse_header(data[at : at + 4])
+    if not h or h.size <= 4 or at + h.size > end:
+        return False
+    return bool(_checksum(data, at, h)) and (at + h.size == end or bool(parse_header(data[at + h.size : at + h.size + 4])))
+
+
+def _cut_short(data: bytes, at: int, nxt: int, end: int) -> bool:
+    """Whether a good frame begins inside the frame at..nxt: then bytes of this one are missing."""
+    q = data.find(b"\xff", at + 4, nxt)
+    while q >= 0:
+        if _begins_frame(data, q, end):
+            return True
+        q = data.find(b"\xff", q + 1, nxt)
+    return False
+
+
 def decode(data: bytes) -> Stream:
-    """Take a stream apart. A frame counts only if its checksum holds, or another header, a trailing tag or the end follows."""
+    """Take a stream apart. A frame counts only if another header, a trailing tag or the end follows it; or if its checksum
+    holds and no good frame begins inside it (then what follows is junk)."""
     s, at, end = Stream(), 0, len(data)
     if data[:3] == b"ID3" and len(data) >= 10:
         size = (data[6] << 21) | (data[7] << 14) | (data[8] << 7) | data[9]
@@ -163,9 +190,10 @@ def decode(data: bytes) -> Stream:
         h = parse_header(data[at : at + 4])
         nxt = at + h.size if h else 0
         side = SIDE[(h.version == 1, h.mono)] if h and h.layer == 3 else 0
-        checked = bool(h and h.crc and h.layer == 3)
-        ok = checked and crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + side]) == int.from_bytes(data[at + 4 : at + 6], "big")
-        if not (h and h.size > 4 and nxt <= end and (nxt == end or ok or parse_header(data[nxt : nxt + 4]))):
+        ok = _checksum(data, at, h) if h else None
+        checked = ok is not None
+        follows = bool(h and h.size > 4 and nxt <= end and (nxt == end or parse_header(data[nxt : nxt + 4])))
+        if not (follows or (ok and h.size > 4 and nxt <= end and not _cut_short(data, at, nxt, end))):
             found = data.find(b"\xff", at + 1, end)
             s.junk += (end if found < 0 else found) - at
             at = end if found < 0 else found
@@ -205,7 +233,7 @@ def payload_of(data: bytes, s: Stream) -> tuple[bytes, int]:
 
 
 STORED = "doc_id long, media binary"
-RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, duration_us long, seek_offsets array<long>"
+RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, duration_us long, n_samples long, sample_rate int, seek_offsets array<long>"
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -215,10 +243,9 @@ def store(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for lo in range(0, batch.num_rows, 512):
-                media = [encode(*padded(x)) for x in texts.slice(lo, 512).to_pylist()]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, 512), pa.array(media, pa.binary())], ["doc_id", "media"])
+            for part in by_bytes(batch, 1):
+                media = [encode(*padded(x)) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary())], ["doc_id", "media"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, STORED)
 
@@ -230,16 +257,16 @@ def probe(media: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         names = [x.split()[0] for x in RESULT.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
+            for part in by_bytes(batch, 1):
                 rows = []
-                for i, data in zip(batch.column(0).slice(lo, 512).to_pylist(), batch.column(1).slice(lo, 512).to_pylist(), strict=True):
+                for i, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     s = decode(data)
                     payload, n = payload_of(data, s)
                     spread = f"{min(s.kbps)}-{max(s.kbps)}" if s.kbps else "none"
                     feature = f"mpeg1-layer3 {s.rate}Hz mono kbps={spread} frames={len(s.offsets)} us={s.duration_us} crc={s.crc_ok}ok/{s.crc_bad}bad junk={s.junk} vbr={s.vbr.get('frames')}/{s.vbr.get('bytes')}"
-                    rows.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(s.offsets), s.duration_us, s.offsets))
+                    rows.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(s.offsets), s.duration_us, s.samples, s.rate, s.offsets))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return media.mapInArrow(run, RESULT)
