@@ -2,14 +2,15 @@
 
 1. Tokenise; cut documents longer than a sequence; count the pieces of each length (a histogram of at most
    ``capacity`` entries, whatever the size of the corpus).
-2. Enumerate patterns of at most three length classes that fill a sequence, fit their repeat counts to the histogram by
-   non-negative least squares, and round down.
+2. Enumerate patterns of length classes that fill a sequence (up to three documents, or copies of one length with one or
+   two others), fit their repeat counts to the histogram by non-negative least squares, and round to the nearest.
 3. Pack the pieces that rounding left over, best fit decreasing, into the slack of patterned sequences and new ones.
    This too works on runs of equal sequences, so its cost depends on the histogram, not on the corpus.
 4. Give each piece its place: its rank among pieces of its length picks the run, by binary search.
 
-Defined cases: null or empty text is the end id alone; null or repeated doc_ids are packed like any row; extra columns
-are ignored; an empty table gives no rows; a document of exactly ``capacity`` tokens is one piece.
+Defined cases: null or empty text is the end id alone; null or repeated doc_ids are packed like any row; ties between pieces
+of one length go by partition and order of arrival; very long texts are cut into many pieces; extra columns, whatever their
+names, are ignored; an empty table gives no rows; a document of exactly ``capacity`` tokens is one piece.
 """
 
 from __future__ import annotations
@@ -23,33 +24,57 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, k long"
+#: Share of a pattern's fitted repeats that is made; what is left over fills the slack of rounding lengths up to classes.
+PATTERNED = 0.97
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def nnls(a: np.ndarray, b: np.ndarray, w: np.ndarray, steps: int = 400) -> np.ndarray:
-    """Weighted non-negative least squares by accelerated projected gradient; columns of a are patterns."""
-    aw = a * w[:, None]
-    bw = b * w
-    lip = np.linalg.norm(aw, 2) ** 2 or 1.0
-    x = np.zeros(a.shape[1])
-    y, t = x.copy(), 1.0
-    for _ in range(steps):
-        new = np.maximum(0, y - aw.T @ (aw @ y - bw) / lip)
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y = new + (t - 1) / t2 * (new - x)
-        x, t = new, t2
+def nnls(a: np.ndarray, b: np.ndarray, w: np.ndarray, most: int = 2000) -> np.ndarray:
+    """Weighted non-negative least squares by active sets; columns of a are patterns. At most as many columns as rows are
+    positive, so few patterns carry the fit and rounding loses little."""
+    aw, bw = a * w[:, None], b * w
+    x, free = np.zeros(a.shape[1]), np.zeros(0, np.int64)
+    near = 1e-9 * max(1.0, float(np.abs(aw.T @ bw).max(initial=0.0)))
+    for _ in range(most):
+        gain = aw.T @ (bw - aw @ x)
+        gain[free] = -np.inf
+        j = int(gain.argmax())
+        if gain[j] <= near:
+            break
+        free = np.append(free, j)
+        while True:
+            sub = aw[:, free]
+            gram = sub.T @ sub
+            got = np.linalg.solve(gram + np.eye(len(free)) * (1e-12 * np.trace(gram)), sub.T @ bw)
+            bad = got <= 0
+            if not bad.any():
+                x[:] = 0
+                x[free] = got
+                break
+            if got[-1] <= 0 and free[-1] == j and x[j] == 0:  # no progress in this direction
+                free = free[:-1]
+                return x
+            step = float(np.min(x[free][bad] / (x[free][bad] - got[bad])))
+            x[free] += step * (got - x[free])
+            x[free[x[free] <= 1e-12]] = 0
+            free = free[x[free] > 0]
     return x
 
 
 def patterns(classes: int) -> list[tuple[int, ...]]:
-    """All multisets of one to three classes 1..classes that sum to ``classes`` exactly."""
-    out = [(classes,)]
+    """Multisets of classes 1..classes that sum to ``classes`` exactly, the largest first: all of one to three classes,
+    and all of one class, or none, with as many of a smaller one as fit and what then is left."""
+    out = {(classes,)}
     for a in range(1, classes // 2 + 1):
-        out.append((classes - a, a))
+        out.add((classes - a, a))
     for a in range(1, classes // 3 + 1):
         for b in range(a, (classes - a) // 2 + 1):
-            out.append((classes - a - b, b, a))
-    return out
+            out.add((classes - a - b, b, a))
+    for c in range(1, classes // 3 + 1):
+        for big in (0, *range(c + 1, classes - 2 * c + 1)):
+            k, rest = divmod(classes - big, c)
+            out.add(tuple(sorted([c] * k + [x for x in (big, rest) if x], reverse=True)))
+    return sorted(out)
 
 
 class _Runs:
@@ -72,7 +97,7 @@ class _Runs:
             self.open.setdefault(slack, []).append(run)
 
 
-def plan(hist: np.ndarray, capacity: int, classes: int = 256) -> tuple[np.ndarray, int]:
+def plan(hist: np.ndarray, capacity: int, classes: int = 128) -> tuple[np.ndarray, int]:
     """Rows (length, first rank, count, first sequence, offset) that place all hist[length] pieces; sequences used."""
     hist = hist.astype(np.int64)
     rank = np.zeros(capacity + 1, np.int64)
@@ -95,7 +120,8 @@ def plan(hist: np.ndarray, capacity: int, classes: int = 256) -> tuple[np.ndarra
         for j, p in enumerate(pats):
             for c in p:
                 a[c - 1, j] += 1
-        fit = np.floor(nnls(a, by, 1 / np.sqrt(np.maximum(by, 1)))).astype(np.int64)
+        fit = np.floor(PATTERNED * nnls(a, by, 1 / np.sqrt(np.maximum(by, 1)))).astype(np.int64)
+
         def longest(at_most: int) -> int:
             while at_most and not left[at_most]:
                 at_most -= 1
@@ -220,5 +246,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096)
             seq = rows[at, 3] + rank - rows[at, 1]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["piece"], b["start"], b["length"], b["ids_crc32"], pa.array(seq), pa.array(rows[at, 4])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    placed = pieces.join(bases.select("length", "pid", "base"), ["length", "pid"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("k")).alias("rank"))
+    # bases has a row per length and partition, so it grows with the corpus: it isn't broadcast
+    placed = pieces.join(bases.select("length", "pid", "base").hint("merge"), ["length", "pid"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("k")).alias("rank"))
     return placed.mapInArrow(locate, PACKED)
