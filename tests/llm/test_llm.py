@@ -175,6 +175,35 @@ def test_packing(odd, none, spark, sf):
     assert check_packing(rows, 4096) <= -(-sum(r.length for r in rows) // 4096) + 1
 
 
+def test_packing_pieces_equal_the_library(odd):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path(queries.WORD_BPE)
+    tok = Tokenizer.from_file(path)
+    want = collections.Counter()
+    for r in odd.collect():
+        ids = np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        for k in range(0, len(ids), 4096):
+            want[r.doc_id, k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(ids[k : k + 4096])] += 1
+    got = packing.pack(odd.withColumns({"length": F.lit(1), "piece": F.lit("p"), "pid": F.lit(2)}), path).collect()
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_nnls_is_optimal_and_patterns_place_most(seed):
+    rng = np.random.default_rng(seed)
+    classes = 32
+    pats = packing.patterns(classes)
+    assert all(sum(p) == classes and min(p) > 0 for p in pats) and len(set(pats)) == len(pats)
+    a = np.array([np.bincount(p, minlength=classes + 1)[1:] for p in pats], float).T
+    b = rng.poisson(300 * np.exp(-np.arange(classes) / (3 + 2 * seed))).astype(float)
+    w = 1 / np.sqrt(np.maximum(b, 1))
+    x = packing.nnls(a, b, w)
+    gain = (a * w[:, None]).T @ (w * (b - a @ x))
+    assert (x >= 0).all() and gain.max() < 1e-4 and np.abs(gain[x > 0]).max() < 1e-4 and (x > 0).sum() <= classes
+    assert (a @ np.floor(packing.PATTERNED * x)).sum() > 0.8 * b.sum()
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_plan_is_near_the_bound(seed):
     rng = np.random.default_rng(seed)
@@ -186,11 +215,23 @@ def test_packing_plan_is_near_the_bound(seed):
 
 
 def test_mpeg_round_trip(odd, none):
+    odd = odd.withColumns({"media": F.lit("m"), "feature": F.lit(1), "payload": F.lit(b"x")})
+    want, got = collections.Counter(), collections.Counter()
+    for r in odd.collect():
+        raw = (r.text or "").encode()
+        padded = raw + bytes(-len(raw) % 64 if raw else 64)
+        want[r.doc_id, len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:])] += 1
+    media = {}
     for r in mpeg_audio.media_columns(odd).collect():
-        if r.doc_id in (3, 4):
-            assert (r.n_bytes, r.payload_bytes) == (0, 64) and r.payload_sha256 == hashlib.sha256(bytes(64)).hexdigest()
+        got[r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32] += 1
         assert "0bad" in r.feature and r.duration_us == r.n_frames * 24000
-    assert mpeg_audio.media_columns(none).count() == 0
+        assert media.setdefault(r.payload_sha256 + str(r.n_bytes), (r.media_bytes, r.media_sha256, r.feature)) == (r.media_bytes, r.media_sha256, r.feature)
+    for text in ("", "hello " * 500):
+        payload, n = mpeg_audio.padded(text)
+        data = mpeg_audio.encode(payload, n)
+        if not text:
+            assert media[hashlib.sha256(bytes(64)).hexdigest() + "0"][:2] == (len(data), hashlib.sha256(data).hexdigest())
+    assert got == want and mpeg_audio.media_columns(none).count() == 0
 
 
 def test_mpeg_reader_resynchronises_and_verifies():
@@ -208,6 +249,17 @@ def test_mpeg_reader_resynchronises_and_verifies():
     assert mpeg_audio.decode(bytes(flipped)).crc_bad == 1
 
 
+def test_mpeg_reader_drops_a_cut_frame_and_keeps_the_next():
+    payload, n = mpeg_audio.padded("hello " * 1000)
+    data = mpeg_audio.encode(payload, n)
+    clean = mpeg_audio.decode(data)
+    for k in range(1, len(clean.offsets) - 1):
+        at = clean.offsets[k]
+        s = mpeg_audio.decode(data[: at + 100] + data[at + 130 :])
+        assert len(s.offsets) == len(clean.offsets) - 1 and at not in s.offsets and s.junk == clean.offsets[k + 1] - at - 30
+    assert clean.samples == 1152 * len(clean.offsets) and clean.rate == 48000
+
+
 def test_warc_chain_rejects_magic_in_payloads(spark):
     fake = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     rows = [(1, "u", "a"), (2, "u", fake), (3, "u", "a"), (4, None, None), (5, "u", ""), (6, "u", "x" * 70000 + fake * 20), (None, "u", "a"), (8, "u\r\nX: y", "a")]
