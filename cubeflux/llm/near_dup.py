@@ -8,8 +8,9 @@
    above the limit after ``depth`` levels is compared block by block, so nothing is dropped.
 3. A node yields a spanning forest of its candidate graph (sketch similarity above the threshold less a margin). The
    forests' components are candidate clusters, a superset of the true ones; no node emits all its pairs.
-4. In each cluster the full sets decide: exact intersections, blocks of bounded size, again a spanning forest. Its
-   components are the result.
+4. In each cluster the full sets decide: exact intersections, blocks of bounded size, again a spanning forest; blocks
+   meet the cluster's first block, and only what stays apart from its largest component meets all. The components are
+   the result.
 
 Recall: a pair at the threshold s meets in a tree of two levels with probability above 1/2, so 16 independent trees miss it with
 probability under 2e-5; the sketch margin of 3.7 standard deviations adds 1e-4. Confirmation admits no false link.
@@ -114,7 +115,7 @@ def _branch(node: np.ndarray, row: np.ndarray, sk: np.ndarray, s: float) -> tupl
     """One level: each (node, row) goes on by the one or two coordinates that the node's hash selects."""
     out_node, out_row = [], []
     for j in range(2):
-        pick = mix64(node + np.uint64(j + 1) * GOLDEN)
+        pick = mix64(node + np.array([j + 1], np.uint64) * GOLDEN)
         on = np.ones(len(node), bool) if j == 0 else (mix64(pick) >> np.uint64(11)).astype(np.float64) / 2**53 < 1 / s - 1
         c = (pick[on] % np.uint64(T)).astype(np.int64)
         value = sk[row[on], c].astype(np.uint64)
@@ -307,12 +308,10 @@ def exact_forest(sets: list[np.ndarray], num: int, half: np.ndarray | None) -> l
     return edges
 
 
-def confirm(docs: DataFrame, clusters: DataFrame, p: Params) -> DataFrame:
-    """Exact edges inside candidate clusters (c, n, k1, k2, cluster)."""
-    sizes = clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / p.block), F.ceil(F.sum("n") / p.block_shingles)).cast("int").alias("blocks"))
-    cut = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.hash("c"), "blocks"))
-    placed = block_pairs(cut, "cluster", "block", "blocks").select("cluster", "part_a", "part_b", "half", "c", "k1", "k2")
-    mine = clusters.select("c").distinct()
+def _exact_edges(docs: DataFrame, placed: DataFrame, p: Params) -> DataFrame:
+    """Exact edges inside the groups (cluster, part_a, part_b) of placed (and half, c, k1, k2); half -1: all pairs, else
+    only pairs of different halves."""
+    mine = placed.select("c").distinct()
     texts = likely_members(docs.select(F.col("doc_id").cast("long").alias("c"), "text"), mine).join(mine, "c", "left_semi")
 
     def run(batches):
@@ -320,9 +319,9 @@ def confirm(docs: DataFrame, clusters: DataFrame, p: Params) -> DataFrame:
         for g in _groups(batches, 3):
             sets = shingle_sets(g.column("text"), p.words)
             want = list(zip(g.column("k1").to_pylist(), g.column("k2").to_pylist(), strict=True))
-            mine = [i for i, s in enumerate(sets) if keys(s) == want[i]]  # rows that share a doc_id may hold other texts
-            ids, half = g.column("c").to_numpy()[mine], g.column("half").to_numpy()[mine]
-            got = exact_forest([sets[i] for i in mine], p.num, half if g.column("part_a")[0] != g.column("part_b")[0] else None)
+            own = [i for i, s in enumerate(sets) if keys(s) == want[i]]  # rows that share a doc_id may hold other texts
+            ids, half = g.column("c").to_numpy()[own], g.column("half").to_numpy()[own]
+            got = exact_forest([sets[i] for i in own], p.num, half if (half >= 0).any() else None)
             if got:
                 base = sum(map(len, ids_out))
                 ids_out.append(ids)
@@ -337,6 +336,48 @@ def confirm(docs: DataFrame, clusters: DataFrame, p: Params) -> DataFrame:
     return rows.select("cluster", "part_a", "part_b", "half", "c", "k1", "k2", "text").mapInArrow(run, EDGES)
 
 
+def _blocks(p: Params) -> F.Column:
+    """Blocks of a group of members with n shingles each."""
+    return F.greatest(F.ceil(F.count("*") / p.block), F.ceil(F.sum("n") / p.block_shingles)).cast("int")
+
+
+def confirm(docs: DataFrame, clusters: DataFrame, p: Params) -> DataFrame:
+    """Exact edges that connect what is connected inside candidate clusters (c, n, k1, k2, cluster).
+
+    A cluster of several blocks is first compared block by block with its first block only, so each text is sent once, and
+    those of one block as often as there are blocks. Members that this doesn't connect to the cluster's largest component
+    are then compared with every member of their cluster; all other pairs are connected already.
+    """
+    sizes = clusters.groupBy("cluster").agg(_blocks(p).alias("blocks"))
+    cut = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.hash("c"), "blocks"))
+    cut = materialize(cut, "clusters")
+    cols = ["cluster", F.lit(0).cast("long").alias("part_a"), F.col("part_b").cast("long").alias("part_b"), F.lit(-1).cast("long").alias("half"), "c", "k1", "k2"]
+    first = cut.filter("blocks = 1 or block > 0").withColumn("part_b", F.col("block")).select(*cols)
+    leaders = cut.filter("blocks > 1 and block = 0").withColumn("part_b", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1))).select(*cols)
+    found = materialize(_exact_edges(docs, first.unionByName(leaders), p), "links")
+    large = cut.filter("blocks > 1")
+    if large.isEmpty():
+        return found
+    parts = components(found, "links").select(F.col("node").alias("c"), "component")
+    large = materialize(large.join(parts, "c", "left").select("c", "n", "k1", "k2", "cluster", F.coalesce("component", "c").alias("component")), "large-clusters")
+    most = large.groupBy("cluster", "component").agg(F.count("*").alias("members"))
+    most = most.groupBy("cluster").agg(F.max_by("component", F.struct("members", -F.col("component"))).alias("main"))
+    left = materialize(large.join(most, "cluster").filter("component <> main").drop("main"), "left-over")
+    if left.isEmpty():
+        return found
+    few = left.groupBy("cluster").agg(_blocks(p).alias("few"))
+    both = few.join(large.groupBy("cluster").agg(_blocks(p).alias("all")), "cluster")
+
+    def dealt(rows, own, other, half):
+        part = F.pmod(F.hash("c"), F.col(own))
+        a, b = ("x", "y") if half == 0 else ("y", "x")
+        out = rows.join(both, "cluster").select("cluster", "c", "k1", "k2", part.alias("x"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("y"))
+        return out.select("cluster", F.col(a).cast("long").alias("part_a"), F.col(b).cast("long").alias("part_b"), F.lit(half).cast("long").alias("half"), "c", "k1", "k2")
+
+    rest = dealt(left, "few", "all", 0).unionByName(dealt(large, "all", "few", 1))
+    return found.unionByName(_exact_edges(docs, materialize(rest, "left-over"), p))
+
+
 _SALTS = 16
 
 
