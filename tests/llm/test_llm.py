@@ -62,7 +62,7 @@ def brute_components(rows, size, num):
 
 
 def test_near_duplicates_against_brute_force(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet")
+    d = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
     want = brute_components([(r.doc_id, r.text) for r in d.collect()], 3, 85)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(d, 3, 85).collect()}
     assert got == want
@@ -86,6 +86,17 @@ def test_large_nodes_and_clusters_are_split(spark):
     assert got == brute_components(rows, 3, 85)
 
 
+def test_large_clusters_with_parts_and_strays(spark):
+    rows = []
+    for g in range(3):  # chains: each document is like the next few, not like far ones
+        words_ = [f"g{g}w{i}" for i in range(400)]
+        rows += [(100 * g + k, " ".join(words_[2 * k : 2 * k + 100])) for k in range(40)]
+    rows += [(1000 + k, " ".join([f"s{k}x{i}" for i in range(60)])) for k in range(5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(d, 3, 85, limit=8, depth=1, block=6, margin=12.0).collect()}
+    assert got == brute_components(rows, 3, 85)
+
+
 def brute_lines(rows, num=80):
     seen, out = [], {}
     for i, t in sorted(rows):
