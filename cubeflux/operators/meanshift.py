@@ -63,6 +63,34 @@ def pilot_windows(points: DataFrame, starts: DataFrame, k: int, n_bands: int) ->
     return c.withColumn("below", below).filter(F.col("below") > k).groupBy("vec_id").agg(((F.min("cell") + 1) * cell).alias("window_"))
 
 
+def pilot_averages(points: DataFrame, n_bands: int, k: float = 1.0) -> DataFrame:
+    """(window_, without): the mean pilot window, and the number of points that have none."""
+    n = points.count()
+    own = pilot_windows(points, points, neighbour_threshold(n, k), n_bands)
+    return own.agg(F.avg("window_").alias("window_"), (F.lit(n) - F.count("*")).cast("long").alias("without"))
+
+
+def bandwidths(points: DataFrame, k: int, n_bands: int, bandwidth: float = 0.0, local: DataFrame | None = None, superpixel_weight: int = 0, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
+    """(vec_id, s, window_, weight): the window of each point.
+
+    Without a bandwidth or local windows, or with superpixel weight 2, it is the pilot's. Else it is each point's own value
+    (vec_id, value) as it stands, or the one bandwidth times the number of bands; values are in the range lo..hi and are
+    quantised like the points.
+    """
+    top = 65535 / (hi - lo)
+    if bandwidth <= 0 and local is None or superpixel_weight == 2:
+        own = pilot_windows(points, points, k, n_bands)
+        window = F.coalesce("window_", F.lit((CELLS + 1) * 10 * n_bands)).alias("window_")  # too few points: the largest
+        full = points.select("vec_id", "s").join(own, "vec_id", "left").select("vec_id", "s", window)
+        return full.withColumn("weight", pilot_weight(F.col("window_"), n_bands))
+    if local is not None:
+        value = F.floor((F.col("value") - lo) * top)
+        full = points.select("vec_id", "s").join(local.select("vec_id", F.greatest(value, F.lit(1)).cast("long").alias("window_")), "vec_id")
+        return full.withColumn("weight", pilot_weight(F.col("window_"), n_bands))
+    window = max(1, int((bandwidth - lo) * top)) * n_bands
+    return points.select("vec_id", "s", F.lit(window).cast("long").alias("window_"), F.lit(1.0).alias("weight"))
+
+
 def pilot_weight(window: F.Column, n_bands: int) -> F.Column:
     return F.pow(F.lit(1e5) / window, F.lit(float(n_bands + 2)))
 
@@ -156,16 +184,14 @@ def merge_modes(found: np.ndarray, windows: np.ndarray, min_members: int = 1, mo
     return np.array([sums[i] / members[i] for i in kept])
 
 
-def segment(points: DataFrame, k: int = 20, min_members: int = 2, starts: DataFrame | None = None, sizes: DataFrame | None = None) -> tuple[DataFrame, np.ndarray]:
+def segment(points: DataFrame, k: int = 20, min_members: int = 2, starts: DataFrame | None = None, sizes: DataFrame | None = None, **window) -> tuple[DataFrame, np.ndarray]:
     """Pilot, trajectories, pruning, nearest mode: ((vec_id, label from 1), modes).
 
     sizes: (vec_id, size), the pixels that each point stands for. Over their mean they weigh the points, and they count
-    as members of a mode.
+    as members of a mode. window: see ``bandwidths``.
     """
     n_bands = len(points.select("s").first().s)
-    own = pilot_windows(points, points, k, n_bands)
-    window = F.coalesce("window_", F.lit((CELLS + 1) * 10 * n_bands)).alias("window_")  # too few points: the largest
-    full = points.select("vec_id", "s").join(own, "vec_id", "left").select("vec_id", "s", window).withColumn("weight", pilot_weight(F.col("window_"), n_bands))
+    full = bandwidths(points, k, n_bands, **window)
     if sizes is not None:
         counts = points.select("vec_id").join(sizes.select("vec_id", "size"), "vec_id", "left").select("vec_id", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
         mean = counts.agg(F.avg("size")).first()[0]
@@ -187,3 +213,50 @@ def segment(points: DataFrame, k: int = 20, min_members: int = 2, starts: DataFr
 
     ends = points.sparkSession.createDataFrame(rows[["vec_id", "s"]], "vec_id long, s array<double>") if starts is None else points.select("vec_id", "s")
     return ends.mapInPandas(label, "vec_id long, label int"), final
+
+
+def segment_from(points: DataFrame, starts: DataFrame, k: int, min_members: int = 2) -> tuple[DataFrame, np.ndarray]:
+    """((vec_id, label from 1) of the start points, modes): start points (vec_id, s) that needn't be points, as
+    superpixels' means are, follow the density of all points. A start point begins with its nearest point's window."""
+    n_bands = len(points.select("s").first().s)
+    full = bandwidths(points, k, n_bands).cache()
+    every, windows = _collected(full)[1], np.array([r.window_ for r in full.select("vec_id", "window_").orderBy("vec_id").collect()], float)
+    shared = points.sparkSession.sparkContext.broadcast((every, windows))  # at most MAX_STARTS points
+
+    def begin(batches):
+        data, own = shared.value
+        for pdf in batches:
+            at = np.argmin(_l1(_matrix(pdf), data), axis=1) if len(pdf) else np.empty(0, np.int64)
+            yield pdf.assign(window_=own[at])
+
+    first = starts.select("vec_id", "s").mapInPandas(begin, "vec_id long, s array<double>, window_ double")
+    rows = modes(full, first).orderBy("vec_id").toPandas()
+    found = _matrix(rows)
+    final = merge_modes(found, rows.window_.to_numpy(), min_members)
+    label = (np.argmin(_l1(found, final), axis=1) + 1).astype(np.int32)
+    full.unpersist()
+    return points.sparkSession.createDataFrame(pd.DataFrame({"vec_id": rows.vec_id, "label": label}), "vec_id long, label int"), final
+
+
+#: Clustering methods by name: what the start points are, and the superpixels' weight.
+PRESETS = {"FAMS": {"starts": "pixels", "superpixel_weight": 0}, "PSPMS": {"starts": "superpixels", "superpixel_weight": 0}, "FSPMS": {"starts": "means", "superpixel_weight": 2}}
+
+
+def cluster(points: DataFrame, method: str, superpixels: DataFrame | None = None) -> DataFrame:
+    """(vec_id, label) of every pixel by a preset. points: vec_id, s (quantised); superpixels: vec_id, segment.
+
+    FAMS: every pixel starts, and is clustered. PSPMS: superpixels' means start in the density of the pixels. FSPMS: the
+    means are the points, weighted by their sizes. In both, a pixel has its superpixel's label.
+    """
+    preset = PRESETS[method]
+    if preset["starts"] == "pixels":
+        return segment(points, k=neighbour_threshold(points.count()))[0]
+    n_bands = len(points.select("s").first().s)
+    both = points.join(superpixels.select("vec_id", "segment"), "vec_id")
+    mean = F.array(*(F.floor(F.avg(F.get("s", F.lit(i)))).cast("double") for i in range(n_bands)))
+    means = both.groupBy(F.col("segment").cast("long").alias("vec_id")).agg(mean.alias("s"), F.count("*").alias("size")).cache()
+    if preset["starts"] == "superpixels":
+        labels = segment_from(points, means, neighbour_threshold(points.count()))[0]
+    else:
+        labels = segment(means.select("vec_id", "s"), k=neighbour_threshold(means.count()), sizes=means.select("vec_id", "size"), superpixel_weight=preset["superpixel_weight"])[0]
+    return superpixels.join(labels.select(F.col("vec_id").alias("segment"), "label"), "segment").select("vec_id", "label")

@@ -89,3 +89,48 @@ def nearest(pixels: DataFrame, neurons: DataFrame, n: int, distance) -> DataFram
     scored = F.transform("all", lambda z: F.struct(F.round(distance(F.col("s"), z["w"]), 9).alias("dist"), z["idx"].alias("idx")))
     best = pixels.join(F.broadcast(table), F.lit(True)).select("vec_id", F.posexplode(F.slice(F.array_sort(scored), 1, n)).alias("rank", "z"))
     return best.select("vec_id", "rank", "z.idx", "z.dist")
+
+
+SOBEL_X = ((-1, -1, -1.0), (-1, 1, 1.0), (0, -1, -2.0), (0, 1, 2.0), (1, -1, -1.0), (1, 1, 1.0))
+SOBEL_Y = tuple((dx, dy, w) for dy, dx, w in SOBEL_X)
+
+
+def sobel(cube: Cube, bands: tuple[int, ...]) -> DataFrame:
+    """vec_id and gx, gy (arrays by band): first derivatives of the bands as images, mirrored at the border."""
+    taps = {(dy, dx): [0.0, 0.0] for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx}
+    for k, mask in enumerate((SOBEL_X, SOBEL_Y)):
+        for dy, dx, w in mask:
+            taps[dy, dx][k] = w
+    kernel = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(a).alias("a"), F.lit(b).alias("b")) for (dy, dx), (a, b) in taps.items()))
+    size = cube.pixels.agg(F.max("y").alias("my"), F.max("x").alias("mx"))
+    at = cube.pixels.select("vec_id", "y", "x", F.explode(kernel).alias("k")).join(F.broadcast(size), F.lit(True))
+    at = at.select("vec_id", "k.a", "k.b", reflect(F.col("y") + F.col("k.dy"), F.col("my")).alias("y"), reflect(F.col("x") + F.col("k.dx"), F.col("mx")).alias("x"))
+    values = cube.pixels.select("y", "x", *(F.get("s", F.lit(i)).alias(f"v{i}") for i in bands))
+    sums = [F.array(*(F.sum(F.col(w) * F.col(f"v{i}")) for i in bands)).alias(name) for w, name in (("a", "gx"), ("b", "gy"))]
+    return at.join(values, ["y", "x"]).groupBy("vec_id").agg(*sums)
+
+
+def gradient_difference(cube: Cube, a: int, b: int, bins: int = 150) -> DataFrame:
+    """(scale, distance) of two bands as images: the scale of the second one's gradients, in steps of 0.2 up to 2, that
+    leaves the differences with the least entropy; then each difference counts sd / (sd + difference squared).
+
+    Without any spread a zero difference counts 1 and any other 0.
+    """
+    steps, x = [], 0.0
+    while x < 2.0:  # the sums of 0.2, the last of which stays below 2
+        steps.append(x)
+        x += 0.2
+    dx, dy = (F.abs(F.get(g, F.lit(0)) - F.col("step") * F.get(g, F.lit(1))) for g in ("gx", "gy"))
+    d = sobel(cube, (a, b)).withColumn("step", F.explode(F.array(*map(F.lit, steps)))).select("step", dx.alias("dx"), dy.alias("dy"))
+    d = d.withColumn("d", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))
+    stats = d.groupBy("step").agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.stddev_pop("dx").alias("sx"), F.stddev_pop("dy").alias("sy"))
+    place = F.floor((F.col("d") - F.col("lo")) * bins / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)))
+    hist = d.join(F.broadcast(stats), "step").filter(F.col("d") < F.col("hi")).groupBy("step", place.alias("bin")).agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    p = F.col("k") / F.col("n")
+    entropies = stats.select("step", "sx", "sy").join(hist.groupBy("step").agg(F.round(F.sum(-p * F.log2(p)), 9).alias("e")), "step", "left")
+    best = entropies.agg(F.min_by(F.struct("step", "sx", "sy"), F.struct(F.coalesce("e", F.lit(0.0)), "step")).alias("z")).select("z.*")
+
+    def bell(v, sd):
+        return F.when(F.col(sd) > 0, F.col(sd) / (F.col(sd) + F.col(v) * F.col(v))).when(F.col(v) == 0, 1.0).otherwise(0.0)
+
+    return d.join(F.broadcast(best), "step").agg(F.first("step").alias("scale"), F.sum(bell("dx", "sx") + bell("dy", "sy")).alias("distance"))

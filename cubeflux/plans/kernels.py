@@ -113,6 +113,21 @@ def i11(spark, sf):
     return near.join(labels.select(F.col("vec_id").alias("idx"), "label"), "idx").select("vec_id", "label")
 
 
+def _presets(method):
+    def run(spark, sf):
+        c = cube(spark, sf)
+        n, e = _edges(spark, sf, N.EIGHT, D.information_divergence)
+        segment = _labels(spark, segmentation.superpixels(n, *segmentation.sorted_edges(N.equalised(e)), c=0.05, min_size=5)).withColumnRenamed("label", "segment")
+        points = c.pixels.select("vec_id", F.transform(spectral.quantise("s", -1.0, 1.0), lambda v: v.cast("double")).alias("s"))
+        return meanshift.cluster(points, method, segment)
+
+    return run
+
+
+for _m in meanshift.PRESETS:
+    query(f"i26_{_m.lower()}")(_presets(_m))
+
+
 @query("i22_lsh_tuning")
 def i22(spark, sf):
     from cubeflux.operators import lsh

@@ -596,6 +596,14 @@ def j9_all(spark, sf):
     return pilot_windows(px, px, k=neighbour_threshold(px.count()), n_bands=64)
 
 
+@query("a24_pilot_averages", f"{_L1.replace(' where vec_id % 50 = 0', '')}, c as (select start, least(floor(dist / 640), 699)::int as cell, count(*) as n from d group by all), k as (select start, cell, sum(n) over (partition by start order by cell) as below from c), w as (select start, min(cell) as cell from k where below > (select floor(sqrt(count(*))) from qz) group by start) select round(avg((cell + 1) * 640), 6) as window_, ((select count(*) from qz) - count(*))::bigint as without from w")
+def a24(spark, sf):
+    from cubeflux.operators.meanshift import pilot_averages
+
+    px, _ = _starts(spark, sf)
+    return pilot_averages(px, n_bands=64).withColumn("window_", F.round("window_", 6))
+
+
 @query("j10_mean_shift_step_all")
 def j10_all(spark, sf):
     from cubeflux.operators.meanshift import shift_step

@@ -297,6 +297,26 @@ def m14(spark, sf):
     return histogram.earth_mover(histogram.two_histograms(cube(spark, sf), 0, 1, 32))
 
 
+# Sobel gradients of bands 0 and 1 as images, the ten or eleven scales, the least entropy
+_OFFS = ", ".join(f"({dy}, {dx}, {a}, {b})" for dy, dx, a, b in ((-1, -1, -1, -1), (-1, 0, 0, -2), (-1, 1, 1, -1), (0, -1, -2, 0), (0, 1, 2, 0), (1, -1, -1, 1), (1, 0, 0, 2), (1, 1, 1, 1)))
+_STEPS = ", ".join(f"({x!r}::double)" for x in (0.0, 0.2, 0.4, 0.6000000000000001, 0.8, 1.0, 1.2, 1.4, 1.5999999999999999, 1.7999999999999998, 1.9999999999999998))
+_GRAD = f"""with {PX}, m as (select max(y) as my, max(x) as mx from px), o(dy, dx, a, b) as (values {_OFFS}),
+n as (select vec_id, a, b, case when y + dy < 0 then -(y + dy) when y + dy > my then 2 * my - y - dy else y + dy end as y, case when x + dx < 0 then -(x + dx) when x + dx > mx then 2 * mx - x - dx else x + dx end as x from px, m, o),
+g as (select n.vec_id, sum(a * s[1]) as gx1, sum(a * s[2]) as gx2, sum(b * s[1]) as gy1, sum(b * s[2]) as gy2 from n join px using (y, x) group by n.vec_id), st(step) as (values {_STEPS}),
+d as (select step, abs(gx1 - step * gx2) as dx, abs(gy1 - step * gy2) as dy, sqrt(abs(gx1 - step * gx2) * abs(gx1 - step * gx2) + abs(gy1 - step * gy2) * abs(gy1 - step * gy2)) as d from g, st),
+t as (select step, count(*) as n, min(d) as lo, max(d) as hi, stddev_pop(dx) as sx, stddev_pop(dy) as sy from d group by step),
+h as (select step, floor((d - lo) * 150 / (hi - lo)) as bin, count(*) as k, any_value(n) as n from d join t using (step) where d < hi group by all),
+e as (select step, round(sum(-k / n * log2(k / n)), 9) as e from h group by step), z as (select step from e order by e, step limit 1)
+select step as scale, round(sum(sx / (sx + dx * dx) + sy / (sy + dy * dy)), 5) as distance from d join z using (step) join t using (step) group by step"""
+
+
+@query("m17_gradient_difference", _GRAD)
+def m17(spark, sf):
+    from cubeflux.operators.neighbours import gradient_difference
+
+    return gradient_difference(cube(spark, sf), 0, 1).withColumn("distance", F.round("distance", 5))
+
+
 @query("m24_joint_histogram", f"{_BINS2} select b1, b2, round(p, 6) as p from p")
 def m24(spark, sf):
     return histogram.joint_histogram(cube(spark, sf), 0, 1, 32).select("b1", "b2", F.round("p", 6).alias("p"))

@@ -196,3 +196,61 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     q.awaitTermination(120)
     key = lambda df: sorted((r.label, r.bin, r.weight) for r in df.collect())
     assert key(spark.table("hist")) == key(stream.histogram(changes, 0.0, 500.0, 16))
+
+
+def test_bandwidths_by_setting(spark):
+    pts = spark.createDataFrame([(i, [float(i * 10), 0.0]) for i in range(30)], "vec_id long, s array<double>")
+    pilot = meanshift.bandwidths(pts, 3, 2)
+    assert pilot.count() == 30 and {r.window_ for r in pilot.collect()} <= {20 * k for k in range(1, 702)}
+    assert {(r.window_, r.weight) for r in meanshift.bandwidths(pts, 3, 2, bandwidth=0.5).collect()} == {(int(0.5 * 65535) * 2, 1.0)}
+    local = spark.createDataFrame([(i, 0.25) for i in range(30)], "vec_id long, value double")
+    got = meanshift.bandwidths(pts, 3, 2, bandwidth=0.5, local=local).collect()
+    assert {r.window_ for r in got} == {int(0.25 * 65535)} and got[0].weight == pytest.approx((1e5 / int(0.25 * 65535)) ** 4)
+    assert {r.window_ for r in meanshift.bandwidths(pts, 3, 2, bandwidth=0.5, superpixel_weight=2).collect()} == {r.window_ for r in pilot.collect()}
+
+
+def test_cluster_presets_find_two_groups(spark):
+    rng = np.random.default_rng(2)
+    s = np.concatenate([rng.normal(8000, 300, (40, 3)), rng.normal(50000, 300, (40, 3))]).round()
+    pts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(s)], "vec_id long, s array<double>")
+    sp = spark.createDataFrame([(i, i // 8) for i in range(80)], "vec_id long, segment int")
+    for method in meanshift.PRESETS:
+        got = dict(meanshift.cluster(pts, method, sp).collect())
+        assert len(got) == 80 and len({got[i] for i in range(40)} & {got[i] for i in range(40, 80)}) == 0, method
+        assert all(len({got[i] for i in range(8 * k, 8 * k + 8)}) == 1 for k in range(10)) or method == "FAMS"
+
+
+def test_measures_are_linear_in_the_bands(spark):
+    """The same work a band, whatever their number: no reduction is repeated for every band."""
+    import time
+
+    from cubeflux.functions import distances, spectral
+
+    spent = {}
+    for n in (64, 512):
+        df = spark.range(400).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda v: v.cast("double") + F.col("id")).alias("a"), F.transform(F.sequence(F.lit(1), F.lit(n)), lambda v: F.sqrt(v) + 1).alias("b")).cache()
+        df.count()
+        for f in (distances.information_divergence, distances.correlation, distances.normalised_l2, lambda a, b: F.element_at(spectral.normalise(a), 1), lambda a, b: F.element_at(spectral.gradient(spectral.log(a)), 1)):
+            df.agg(F.sum(f(F.col("a"), F.col("b")))).collect()
+            started = time.monotonic()
+            df.agg(F.sum(f(F.col("a"), F.col("b")))).collect()
+            spent[n] = spent.get(n, 0) + time.monotonic() - started
+    assert spent[512] < 24 * spent[64]
+
+
+def test_ranks_and_nearest_without_one_partition(spark):
+    from cubeflux.operators import lsh, neighbours
+
+    rng = np.random.default_rng(4)
+    rows = [(i, float(v)) for i, v in enumerate(rng.integers(0, 40, 500))]
+    df = spark.createDataFrame(rows, "u long, weight double").repartition(5)
+    got = {r.u: r.place for r in neighbours.ranked(df, F.col("weight"), F.col("weight"), F.col("u")).collect()}
+    assert got == {u: k for k, (_, u) in enumerate(sorted((w, u) for u, w in rows))}
+    down = neighbours.ranked(df, -F.col("weight"), -F.col("weight"), -F.col("u"))
+    assert {r.u: r.place for r in down.collect()} == {u: 499 - k for u, k in got.items()}
+    pts = rng.normal(size=(90, 5))
+    near = lsh.nearest_of_sample(spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pts)], "vec_id long, s array<double>"), spark.createDataFrame([(i, pts[i].tolist()) for i in (3, 50)], "vec_id long, s array<double>"), 4)
+    for q in (3, 50):
+        d = np.abs(pts - pts[q]).sum(axis=1)
+        d[q] = np.inf
+        assert {r.candidate for r in near.filter(F.col("query") == q).collect()} == set(np.argsort(d)[:4].tolist())
