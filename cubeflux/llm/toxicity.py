@@ -32,7 +32,7 @@ from .common import materialize, set_aside
 
 #: Labelled documents to fit on: at most SAMPLE toxic and ORDINARY times as many ordinary ones; and windows of each kind.
 SAMPLE, ORDINARY, WINDOWS = 4000, 3, 80_000
-WIDTH, STRIDE = 48, 28
+WIDTH, STRIDE = 48, 20
 #: Bytes of the common dictionary and of each side's own, and rounds of training of the latter.
 BASE, OWN, ROUNDS = 131072, 1024, 6
 #: Distances at which windows are counted.
