@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, html_text, line_dedup, mixing, mpeg_audio, near_dup, packing, token_files, toxicity, warc
+from . import bm25, divergence, html_text, line_dedup, mixing, mpeg_audio, near_dup, packing, token_files, toxicity, warc
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -59,6 +59,10 @@ def op10_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.top_k(docs, docs.filter("doc_id % 20 = 0"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_mpeg_audio": op2_mpeg_audio,
@@ -70,5 +74,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_near_dup": op9_near_dup,
     "op10_bm25": op10_bm25,
+    "op12_divergence": op12_divergence,
 }
-ORACLE: dict[str, str] = {"op1_mixing": mixing.oracle_sql()}
+ORACLE: dict[str, str] = {"op1_mixing": mixing.oracle_sql(), "op12_divergence": divergence.oracle_sql()}
