@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, divergence, html_text, line_dedup, mixing, mpeg_audio, near_dup, packing, token_files, toxicity, warc
+from . import bm25, decontamination, divergence, html_text, line_dedup, merkle, mixing, mpeg_audio, near_dup, packing, token_files, toxicity, warc
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -59,10 +59,18 @@ def op10_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.top_k(docs, docs.filter("doc_id % 20 = 0"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_mpeg_audio": op2_mpeg_audio,
@@ -74,6 +82,13 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_near_dup": op9_near_dup,
     "op10_bm25": op10_bm25,
+    "op11_merkle": op11_merkle,
     "op12_divergence": op12_divergence,
+    "op13_decontamination": op13_decontamination,
+}
+ORACLE: dict[str, str] = {
+    "op1_mixing": mixing.oracle_sql(),
+    "op11_merkle": merkle.oracle_sql(),
+    "op12_divergence": divergence.oracle_sql(),
+    "op13_decontamination": decontamination.oracle_sql(),
 }
-ORACLE: dict[str, str] = {"op1_mixing": mixing.oracle_sql(), "op12_divergence": divergence.oracle_sql()}
