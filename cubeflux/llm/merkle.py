@@ -4,7 +4,7 @@ H is the lowercase hex SHA-256 of its inputs put together, digests as hex text.
 if null, else its UTF-8 byte count, ``:`` and its value (integers as decimals). The leaves of a language, ascending by
 doc_id, form a tree of runs of eight; what remains is its subroot. The subroots, by language, form the tree of the root.
 
-Blocks of DuckDB: leaves are numbered within their language and dealt into aligned buckets of BUCKET leaves, a power of
+Blocks of DuckDB: leaves are numbered within their language and dealt into aligned buckets of 4096 leaves, a power of
 eight, so a bucket is a whole subtree. A task takes a bucket as an Arrow table and runs one DuckDB query over it: a
 string_agg in order and a sha256 for each level. The first pass gives the buckets' roots; Spark puts those together, eight
 by eight, and hands back to each bucket the siblings above it; in the second pass DuckDB joins a leaf with its siblings
@@ -29,9 +29,8 @@ from .common import materialize, part_count
 from .divergence import lower_ascii
 
 FAN = 8
-#: Levels inside a bucket, and leaves of a bucket.
+#: Levels inside a bucket, of FAN^LEVELS leaves.
 LEVELS = 4
-BUCKET = FAN**LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 PATH = "array<struct<l:string,r:string>>"
 
@@ -54,8 +53,8 @@ def leaves(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "lang", leaf(own).alias("leaf"), F.when(tampered, leaf(own | {"text": lower_ascii(F.col("text"))})).alias("changed"))
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """tree (the language's number), n (its leaves), i (the leaf's number in it), bucket, doc_id, leaf, changed."""
+def numbered(rows: DataFrame, size: int) -> DataFrame:
+    """tree (the language's number), n (its leaves), i (the leaf's number in it), bucket (of size leaves), doc_id, leaf, changed."""
     parts = part_count(rows.sparkSession)
     # tie tells rows apart that are equal, so that ranges can cut between them too
     keys = ["lang", "doc_id", "leaf", "tie"]
@@ -75,13 +74,13 @@ def numbered(rows: DataFrame) -> DataFrame:
     starts = materialize(starts, "merkle-starts")
     here = dealt.join(starts, same & (F.col("part") == F.col("of_part")))
     here = here.withColumn("i", F.col("place") - F.col("from") + F.col("before"))
-    return here.select("tree", "n", "i", F.expr(f"i div {BUCKET}").alias("bucket"), "doc_id", "leaf", "changed")
+    return here.select("tree", "n", "i", F.expr(f"i div {size}").alias("bucket"), "doc_id", "leaf", "changed")
 
 
-def levels_of(n: int) -> int:
-    """Levels of a bucket in a tree of n leaves: while several nodes remain in the tree."""
+def levels_of(n: int, most: int) -> int:
+    """Levels, at most so many, of a bucket in a tree of n leaves: while several nodes remain in the tree."""
     k = 0
-    while k < LEVELS and n > FAN**k:
+    while k < most and n > FAN**k:
         k += 1
     return k
 
@@ -136,26 +135,26 @@ def _duck(sql: str, **tables):
 _CONNECTION = None
 
 
-def bucket_roots(rows: DataFrame) -> DataFrame:
+def bucket_roots(rows: DataFrame, levels: int) -> DataFrame:
     """tree, i (the bucket's number), h."""
 
     def run(key, bucket):
         import pyarrow as pa
 
         n = bucket.column("n")[0].as_py()
-        h = _duck(root_sql(levels_of(n)), bucket=inside(bucket)).column("h")
+        h = _duck(root_sql(levels_of(n, levels)), bucket=inside(bucket, FAN**levels)).column("h")
         return pa.table({"tree": pa.array([key[0].as_py()], pa.int32()), "i": pa.array([key[1].as_py()], pa.int64()), "h": h.cast(pa.string())})
 
     return rows.select("tree", "n", "i", "bucket", "leaf").groupBy("tree", "bucket").applyInArrow(run, "tree int, i long, h string")
 
 
-def inside(bucket):
-    """The bucket with its leaves numbered from 0."""
+def inside(bucket, size: int):
+    """The bucket, of so many leaves, with its leaves numbered from 0."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     at = bucket.schema.get_field_index("i")
-    i = pc.subtract(bucket.column(at), pa.scalar(bucket.column("bucket")[0].as_py() * BUCKET, pa.int64()))
+    i = pc.subtract(bucket.column(at), pa.scalar(bucket.column("bucket")[0].as_py() * size, pa.int64()))
     return bucket.set_column(at, "i", i)
 
 
@@ -200,10 +199,10 @@ def outer_paths(levels: list[DataFrame], start: DataFrame) -> DataFrame:
     return paths.unionByName(tops.join(paths.select("tree").distinct(), "tree", "left_anti"))
 
 
-def manifest(docs: DataFrame) -> DataFrame:
-    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of each row."""
-    rows = materialize(numbered(leaves(docs)), "merkle-rows")
-    inner = combined(materialize(bucket_roots(rows), "merkle-roots"))
+def manifest(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of each row. levels: of the trees, inside a bucket."""
+    rows = materialize(numbered(leaves(docs), FAN**levels), "merkle-rows")
+    inner = combined(materialize(bucket_roots(rows, levels), "merkle-roots"))
     subroots = inner[-1]
     forest = combined(subroots.select(F.lit(0).alias("tree"), F.col("tree").cast("long").alias("i"), "h"))
     none = F.array().cast(PATH)
@@ -218,7 +217,7 @@ def manifest(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         n, path = bucket.column("n")[0].as_py(), above.column("path")
-        got = _duck(proof_sql(levels_of(n), len(path[0])), bucket=inside(bucket), outer_path=above.select(["path"]))
+        got = _duck(proof_sql(levels_of(n, levels), len(path[0])), bucket=inside(bucket, FAN**levels), outer_path=above.select(["path"]))
         root, subroot = above.column("root")[0].as_py(), above.column("subroot")[0].as_py()
         text = {c: got.column(c).cast(pa.string()) for c in ("leaf", "proof_sha256", "folded_root")}
         folded = text["folded_root"].to_pylist()
