@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cubeflux.functions import distances as D
 from cubeflux.functions import spectral
-from cubeflux.operators import meanshift, pca, segmentation, som
+from cubeflux.operators import forest, meanshift, pca, segmentation, som, walker
 from cubeflux.operators import neighbours as N
 from cubeflux.streaming import histogram as stream
 
@@ -68,7 +68,26 @@ def i12(spark, sf):
     return _labels(spark, segmentation.superpixels(n, *segmentation.sorted_edges(N.equalised(e)), c=0.05, min_size=5))
 
 
-_SEEDS = {"KRUSKAL": "i14_kruskal", "PRIM": "i13_prim", "WATERSHED2": "i15_power_watershed"}
+def _seeds(px):
+    return px.filter("vec_id % 50 in (0, 7)").select("vec_id", F.when(F.col("vec_id") % 50 == 0, 1).otherwise(2).alias("label"))
+
+
+def _forest(spark, sf):
+    px = cube(spark, sf).pixels
+    return forest.seeded_forest(N.standard_weights(N.weighted(N.edges(px, N.EAST_SOUTH), D.euclidean)), _seeds(px))
+
+
+# one forest, found from the seeds or from the strongest edges alike
+query("i13_prim")(_forest)
+query("i14_kruskal")(_forest)
+
+
+@query("i16_random_walker")
+def i16(spark, sf):
+    c = cube(spark, sf)
+    e = N.standard_weights(N.weighted(N.edges(c.pixels, N.EAST_SOUTH), D.euclidean))
+    found = walker.random_walker(e, _seeds(c.pixels), walker.tiles(c.width))
+    return found.select("vec_id", "label", F.transform("probabilities", lambda p: F.round(p, 6)).alias("probabilities"))
 
 
 def _seeded(algorithm, geodesic=False):
@@ -81,8 +100,7 @@ def _seeded(algorithm, geodesic=False):
     return run
 
 
-for _a, _n in _SEEDS.items():
-    query(_n)(_seeded(_a))
+query("i15_power_watershed")(_seeded("WATERSHED2"))
 query("i17_geodesic_watershed")(_seeded("WATERSHED2", True))
 
 
