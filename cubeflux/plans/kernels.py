@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cubeflux.functions import distances as D
 from cubeflux.functions import spectral
-from cubeflux.operators import forest, meanshift, pca, segmentation, som, walker
+from cubeflux.operators import forest, meanshift, pca, regions, segmentation, som, walker
 from cubeflux.operators import neighbours as N
 from cubeflux.streaming import histogram as stream
 
@@ -62,10 +62,13 @@ def _labels(spark, labels: np.ndarray):
     return spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(labels)), "label": labels.astype(np.int32)}), "vec_id long, label int")
 
 
+def _superpixels(px, measure):
+    return regions.superpixels(px, N.equalised(N.weighted(N.edges(px, N.EIGHT), measure)), c=0.05, min_size=5)
+
+
 @query("i12_superpixels")
 def i12(spark, sf):
-    n, e = _edges(spark, sf, N.EIGHT)
-    return _labels(spark, segmentation.superpixels(n, *segmentation.sorted_edges(N.equalised(e)), c=0.05, min_size=5))
+    return _superpixels(cube(spark, sf).pixels, D.euclidean)
 
 
 def _seeds(px):
@@ -134,8 +137,7 @@ def i11(spark, sf):
 def _presets(method):
     def run(spark, sf):
         c = cube(spark, sf)
-        n, e = _edges(spark, sf, N.EIGHT, D.information_divergence)
-        segment = _labels(spark, segmentation.superpixels(n, *segmentation.sorted_edges(N.equalised(e)), c=0.05, min_size=5)).withColumnRenamed("label", "segment")
+        segment = _superpixels(c.pixels, D.information_divergence).withColumnRenamed("label", "segment")
         points = c.pixels.select("vec_id", F.transform(spectral.quantise("s", -1.0, 1.0), lambda v: v.cast("double")).alias("s"))
         return meanshift.cluster(points, method, segment)
 

@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -30,3 +31,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str, *order: str | Column, parts: int | None = None) -> DataFrame:
+    """df with its place, from 0, in an order. Ranges of the whole order are sorted side by side and written with each
+    row's place in its range; a range begins after the rows of those before it. Rows equal in the order take any of
+    their places, and are cut between ranges too."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*order, "_tie"]
+    placed = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("_tie")
+    # the partition's number times 2^33, and the row's place in it
+    placed = materialize(placed.withColumn("_at", F.monotonically_increasing_id()), "numbered").withColumn("_part", F.shiftright("_at", 33))
+    held = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = held.select("_part", (before - F.col("_from")).alias("_shift"))  # a row for each range
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")

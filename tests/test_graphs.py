@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_queries_numpy import lattice, seeded_forest
 
-from cubeflux.operators import forest, walker
+from cubeflux.operators import forest, regions, segmentation, walker
 
 EDGES, SEEDS = "u long, v long, weight double", "vec_id long, label int"
 
@@ -81,3 +81,28 @@ def test_walker_of_odd_tables(spark):
     assert all(got[i] == (0, [0.0, 0.0]) for i in (3, 5, 6, 7, 8))
     assert run([], [(4, 1)]) == {4: (1, [1.0])}
     assert run(edges, [])[5] == (0, [])
+
+
+def ordered(spark, edges):
+    """Edges in the order of the operator: equal weights by their hash."""
+    rows = spark.createDataFrame(edges, EDGES).orderBy("weight", F.xxhash64("u", "v"), "u", "v").collect()
+    return [np.array(c) for c in zip(*((r.u, r.v, r.weight) for r in rows), strict=True)]
+
+
+@pytest.mark.parametrize(("rest", "h", "w", "c", "least"), [(0, 6, 7, 1.0, 4), (90, 12, 14, 0.6, 6), (100_000, 12, 14, 0.6, 6), (100_000, 12, 14, 2.0, 1)])
+def test_superpixels_equal_the_sequential_algorithm(spark, rest, h, w, c, least):
+    """In rounds of joins alone, ending in one task, and in one task alone; with weights that tie."""
+    x, n = image(h, w, 2, seed=3), h * w
+    x[: n // 2] *= 0.2
+    e = [(u, v, round(d, 1)) for u, v, d in lattice(x, ((0, 1), (1, 0), (1, 1), (-1, 1)), w)]
+    got = labels(regions.superpixels(spark.range(n).withColumnRenamed("id", "vec_id"), spark.createDataFrame(e, EDGES), c, least, rest))
+    want = segmentation.superpixels(n, *ordered(spark, e), c=c, min_size=least)
+    assert [got[i] for i in range(n)] == want.tolist()
+    assert 1 < len(set(got.values())) < n
+
+
+def test_superpixels_of_odd_tables(spark):
+    px = spark.range(5).withColumnRenamed("id", "vec_id")
+    assert labels(regions.superpixels(px, spark.createDataFrame([], EDGES))) == {i: i for i in range(5)}
+    assert labels(regions.superpixels(px, spark.createDataFrame([(3, 1, 0.0), (1, 3, 9.0), (2, 2, 0.0)], EDGES), rest=0)) == {0: 0, 1: 1, 2: 2, 3: 1, 4: 3}
+    assert labels(regions.superpixels(px.filter("vec_id < 0"), spark.createDataFrame([], EDGES))) == {}
