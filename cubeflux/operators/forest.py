@@ -7,7 +7,8 @@ start: two of them never merge, an edge between them is no longer looked at.
 
 A round aggregates the edges by tree, halves the number of unlabelled trees at least, and keeps of parallel edges only the
 strongest, so on a lattice all rounds together read a few times the edges. Which root a tree went to is kept for each
-round, and labels go back through those tables, so pixels take part in the first and the last step only.
+round, and labels go back through those tables, so pixels take part in the first and the last step only. Once at most REST
+edges are left one task takes them in their order: a bound, not a switch, as the forest is the same.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 
 from cubeflux.shared import materialize
 
+#: Edges that one task may finish.
+REST = 100_000
+
 
 def _between(edges: DataFrame) -> DataFrame:
     """Edges between trees a < b, of parallel ones the strongest. edges: a, b, with_a and with_b (labelled), weight, u, v."""
@@ -57,7 +61,38 @@ def _roots(picks: DataFrame) -> DataFrame:
         now = materialize(now.filter("done").unionByName(moved), "forest-roots")
 
 
-def seeded_forest(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def _finish(edges: DataFrame) -> DataFrame:
+    """(tree, root) of at most REST edges, taken from the strongest down by one task."""
+
+    def run(table):
+        import pyarrow as pa
+
+        t = table.sort_by([(c, "descending") for c in ("weight", "u", "v")]).to_pydict()
+        parent: dict[int, int] = {}
+        labelled = set()
+        for end in "ab":
+            for i, on in zip(t[end], t[f"with_{end}"], strict=True):
+                parent[i] = i
+                if on:
+                    labelled.add(i)
+
+        def find(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
+        for a, b in zip(t["a"], t["b"], strict=True):
+            a, b = find(a), find(b)
+            if a != b and not (a in labelled and b in labelled):
+                a, b = (b, a) if b in labelled else (a, b)
+                parent[b] = a
+        own = [i for i in parent if i not in labelled]
+        return pa.table({"tree": pa.array(own, pa.int64()), "root": pa.array([find(i) for i in own], pa.int64())})
+
+    return edges.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "tree long, root long")
+
+
+def seeded_forest(edges: DataFrame, seeds: DataFrame, rest: int = REST) -> DataFrame:
     """(vec_id, label) of every pixel that has an edge or is a seed; 0 where no seed reaches.
 
     edges: u, v, weight; seeds: vec_id, label (1 or more). A seed given twice takes its smallest label.
@@ -69,7 +104,7 @@ def seeded_forest(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     first = first.join(one, "a", "left").join(other, "b", "left").na.fill(False, ["with_a", "with_b"])
     nodes = edges.select(F.explode(F.array(F.col("u").cast("long"), F.col("v").cast("long"))).alias("tree")).distinct()
     now, rounds = materialize(_between(first), "forest-edges"), []
-    while not now.isEmpty():
+    while (left := now.count()) > rest:
         went = _roots(_picks(now))
         rounds.append(went)
         # a root of an unlabelled tree is done though it has no label: it goes on as itself
@@ -80,6 +115,8 @@ def seeded_forest(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         led = now.join(to_a, "a", "left").join(to_b, "b", "left")
         led = led.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"), F.coalesce("now_a", "with_a").alias("with_a"), F.coalesce("now_b", "with_b").alias("with_b"), "weight", "u", "v")
         now = materialize(_between(led), "forest-edges")
+    if left:
+        rounds.append(materialize(_finish(now), "forest-rest"))
     found = seeds
     for went in reversed(rounds):
         inner = went.select("tree", "root").join(found.select(F.col("tree").alias("root"), "label"), "root").select("tree", "label")

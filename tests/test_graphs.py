@@ -21,11 +21,13 @@ def image(h, w, bands=3, seed=0):
     return rng.random((h * w, bands))
 
 
-def test_forest_on_a_larger_image(spark):
+@pytest.mark.parametrize("rest", [0, 200, forest.REST])
+def test_forest_on_a_larger_image(spark, rest):
+    """In rounds of joins alone, ending in one task, and in one task alone."""
     x = image(20, 30)
     e = lattice(x, ((0, 1), (1, 0)), 30)
     seeds = {0: 1, 29: 2, 599: 3, 300: 1}
-    got = labels(forest.seeded_forest(spark.createDataFrame(e, EDGES), spark.createDataFrame(list(seeds.items()), SEEDS)))
+    got = labels(forest.seeded_forest(spark.createDataFrame(e, EDGES), spark.createDataFrame(list(seeds.items()), SEEDS), rest))
     assert [got[i] for i in range(600)] == seeded_forest(600, e, seeds)
 
 
@@ -33,7 +35,7 @@ def test_forest_with_ties_gaps_and_odd_tables(spark):
     flat = [(u, v, 1.0) for u, v, _ in lattice(image(6, 6), ((0, 1), (1, 0)), 6)]
     seeds = {0: 1, 35: 2}
     edges = [*flat, (100, 101, 5.0), (200, 200, 9.0), (0, 1, 0.5)]  # out of reach, a loop, a parallel edge
-    got = labels(forest.seeded_forest(spark.createDataFrame(edges, EDGES), spark.createDataFrame([*seeds.items(), (0, 4), (500, 3)], SEEDS)))
+    got = labels(forest.seeded_forest(spark.createDataFrame(edges, EDGES), spark.createDataFrame([*seeds.items(), (0, 4), (500, 3)], SEEDS), rest=0))
     turned = {35 - i: k for i, k in seeds.items()}  # equal weights rank by the larger (u, v): the image upside down by the smaller
     want = seeded_forest(36, [(35 - u, 35 - v, w) for u, v, w in flat], turned)[::-1]
     assert [got[i] for i in range(36)] == want
