@@ -116,19 +116,20 @@ def shift_step(points: DataFrame, starts: DataFrame, window: float) -> DataFrame
 
 
 def trajectory(start: np.ndarray, window: float, data: np.ndarray, windows: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float]:
-    """Follow weighted means until nothing changes; the window is that of the nearest point."""
+    """Follow weighted means until nothing changes. A point counts where the mean is inside that point's own window; the
+    mode's window is that of the nearest such point."""
     mode, h = start.astype(np.float64), window
     for _ in range(MAX_ITERATIONS):
         d = np.abs(data - mode).sum(axis=1)
-        inside = d < h
-        if not inside.any():
+        inside = np.flatnonzero(d < windows)
+        if not len(inside):
             break
-        w = weights[inside] * (1 - d[inside] / h) ** 2
+        w = weights[inside] * (1 - d[inside] / windows[inside]) ** 2
         total = w.sum()
         if total <= 0:
             break
         new = np.floor((w @ data[inside]) / total + 1e-9)
-        h = windows[int(np.argmin(np.abs(data - new).sum(axis=1)))]
+        h = windows[inside[np.argmin(d[inside])]]
         if (new == mode).all():
             break
         mode = new

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cubeflux.functions import distances as D
 from cubeflux.functions import spectral
-from cubeflux.operators import forest, meanshift, pca, regions, segmentation, som, walker
+from cubeflux.operators import forest, meanshift, pca, regions, segmentation, shifting, som, walker
 from cubeflux.operators import neighbours as N
 from cubeflux.streaming import histogram as stream
 
@@ -113,6 +113,12 @@ def i7(spark, sf):
     return meanshift.segment(px, k=meanshift.neighbour_threshold(px.count()))[0]
 
 
+@query("i21_mean_shift_index")
+def i21(spark, sf):
+    px = cube(spark, sf).pixels.select("vec_id", F.transform(spectral.quantise("s", -1.0, 1.0), lambda v: v.cast("double")).alias("s"))
+    return shifting.segment(px, meanshift.neighbour_threshold(px.count()), tables=4, bits=2, most=25)
+
+
 @query("i10_mean_shift_superpixels")
 def i10(spark, sf):
     segment = i12(spark, sf).withColumnRenamed("label", "segment")
