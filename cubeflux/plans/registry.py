@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import kernels, selections, transforms  # noqa: F401
+from . import kernels, selections, stored, transforms  # noqa: F401
 from .base import ORACLE, QUERIES  # noqa: F401

@@ -46,3 +46,32 @@ def numbered(df: DataFrame, name: str, *order: str | Column, parts: int | None =
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = held.select("_part", (before - F.col("_from")).alias("_shift"))  # a row for each range
     return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+
+
+def located(path: str):
+    """The Arrow file system of a path or URI, and the path in it: for driver and tasks alike."""
+    from pyarrow import fs
+
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+    return fs.LocalFileSystem(), path
+
+
+def write_file(path: str, pieces) -> int:
+    """Write the bytes of pieces and then give the file its name: another attempt of a task never shows a part. Returns its size."""
+    files, place = located(path)
+    files.create_dir(place.rsplit("/", 1)[0])
+    part, size = f"{place}.{uuid.uuid4().hex}.tmp", 0
+    with files.open_output_stream(part) as out:
+        for piece in pieces:
+            out.write(piece)
+            size += len(piece)
+    files.move(part, place)
+    return size
+
+
+def read_file(path: str, start: int = 0, length: int | None = None) -> bytes:
+    files, place = located(path)
+    with files.open_input_file(place) as f:
+        f.seek(start)
+        return f.read() if length is None else f.read(length)

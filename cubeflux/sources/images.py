@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import configparser
 import os
+import re
 import struct
 from dataclasses import dataclass
 
@@ -17,9 +18,10 @@ from pyspark.sql import functions as F
 
 from cubeflux.model import Cube, band_table
 from cubeflux.operators.select import Rect, crop, scope
+from cubeflux.shared import read_file
+from cubeflux.sources.imagery import LAN_MAGIC, SIGNATURE, decode_png, read_raw, write_bands
 
 PIXELS = "vec_id long, y int, x int, label int, s array<double>"
-LAN_MAGIC = (b"HEAD74", b"HEADER")
 
 
 @dataclass(frozen=True)
@@ -105,15 +107,28 @@ def encode_pgm(a: np.ndarray, bits: int = 8) -> bytes:
     return f"P5\n{a.shape[1]} {a.shape[0]}\n{top}\n".encode() + a.astype(np.uint8 if bits == 8 else ">u2").tobytes()
 
 
+def decode_grey(data: bytes) -> np.ndarray:
+    """The first channel of a grey image file, PGM or PNG."""
+    return decode_pgm(data) if data[:2] == b"P5" else decode_png(data)[:, :, 0]
+
+
+def plain_path(path: Column | str) -> Column | str:
+    """A path as Spark names it, or as a user does, without the scheme of local files."""
+    if isinstance(path, str):
+        return os.path.abspath(re.sub("^file:/+", "/", path)) if path.startswith("file:") or "://" not in path else path
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def read_bands(spark: SparkSession, bands: list[Band], lo: float = 0.0, hi: float = 255.0) -> tuple[Cube, DataFrame]:
-    """One image file per band. Files of another size than the first are skipped."""
-    order = spark.createDataFrame([(i, os.path.basename(b.file)) for i, b in enumerate(bands)], "band int, name string")
-    files = spark.read.format("binaryFile").load([b.file for b in bands]).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    """One image file per band, decoded where it is read. Files of another size than the first are skipped; a file may be
+    several bands."""
+    order = spark.createDataFrame([(i, plain_path(b.file)) for i, b in enumerate(bands)], "band int, name string")
+    files = spark.read.format("binaryFile").load(sorted({b.file for b in bands})).select(plain_path(F.col("path")).alias("name"), "content")
 
     def decode(batches):
         for pdf in batches:
             for band, content in zip(pdf["band"], pdf["content"], strict=True):
-                a = decode_pgm(content)
+                a = decode_grey(content)
                 v = a.astype(float) / (255.0 if a.dtype == np.uint8 else 65535.0) * (hi - lo) + lo
                 h, w = a.shape
                 yield pd.DataFrame({"band": np.int32(band), "h": np.int32(h), "w": np.int32(w), "vec_id": np.arange(h * w), "value": v.ravel()})
@@ -129,6 +144,29 @@ def read_bands(spark: SparkSession, bands: list[Band], lo: float = 0.0, hi: floa
     return Cube(px, w, len(good), lo, hi), meta
 
 
+#: Wavelengths of blue, green and red, fixed values, of a colour image that says nothing else.
+COLOUR_CENTRES = (460.0, 540.0, 620.0)
+
+
+def read_colour(spark: SparkSession, path: str, lo: float = 0.0, hi: float = 255.0) -> tuple[Cube, DataFrame]:
+    """A colour image as three bands, blue, green and red; alpha is dropped."""
+
+    def decode(batches):
+        for pdf in batches:
+            for content in pdf["content"]:
+                a = decode_png(content)
+                h, w, _ = a.shape
+                v = a[:, :, 2::-1].reshape(-1, 3).astype(float) / (255.0 if a.dtype == np.uint8 else 65535.0) * (hi - lo) + lo
+                for r in range(0, h * w, 65536):
+                    i = np.arange(r, min(h * w, r + 65536))
+                    yield pd.DataFrame({"vec_id": i, "y": (i // w).astype(np.int32), "x": (i % w).astype(np.int32), "label": np.int32(0), "s": list(v[i])})
+
+    px = spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, PIXELS)
+    width = px.agg(F.max("x")).first()[0] + 1
+    meta = spark.createDataFrame([(i, c, c, c, False) for i, c in enumerate(COLOUR_CENTRES)], "band int, center double, range_start double, range_end double, empty boolean")
+    return Cube(px, width, 3, lo, hi), meta
+
+
 def decode_lan(data: bytes) -> np.ndarray:
     """Line-interleaved raw file: magic, depth 0 (8 bits) or 2 (16 bits), bands, columns and rows at byte 16, samples at 128."""
     if data[:6] not in LAN_MAGIC:
@@ -147,61 +185,20 @@ def encode_lan(a: np.ndarray, bits: int = 8) -> bytes:
     return head.ljust(128, b"\0") + np.ascontiguousarray(a.transpose(0, 2, 1)).astype(np.uint8 if bits == 8 else "<u2").tobytes()
 
 
-def read_lan(spark: SparkSession, path: str) -> Cube:
-    def decode(batches):
-        for pdf in batches:
-            for content in pdf["content"]:
-                a = decode_lan(content)
-                h, w, n = a.shape
-                v = a.reshape(-1, n) / (255.0 if a.dtype == np.uint8 else 65535.0) * 255.0
-                for r in range(0, h * w, 65536):
-                    i = np.arange(r, min(h * w, r + 65536))
-                    yield pd.DataFrame({"vec_id": i, "y": (i // w).astype(np.int32), "x": (i % w).astype(np.int32), "label": np.int32(0), "s": list(v[i])})
-
-    px = spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, PIXELS)
-    shape = px.agg(F.max("x").alias("x"), F.first(F.size("s")).alias("n")).first()
-    return Cube(px, shape.x + 1, shape.n, 0.0, 255.0)
-
-
 def read_image(spark: SparkSession, path: str) -> Cube:
-    """By content: parquet folder, raw file, band list, single grey image."""
+    """By content: parquet folder, raw file, band list, single grey or colour image."""
     if os.path.isdir(path):
         px = spark.read.parquet(path)
         shape = px.agg(F.max("x").alias("x"), F.first(F.size("s")).alias("n")).first()
         return Cube(px, shape.x + 1, shape.n, 0.0, 255.0)
-    with open(path, "rb") as f:
-        head = f.read(6)
-    if head in LAN_MAGIC:
-        return read_lan(spark, path)
+    head = read_file(path, 0, 26)
+    if head[:6] in LAN_MAGIC:
+        return read_raw(spark, path)
+    if head[:8] == SIGNATURE:
+        return read_colour(spark, path)[0] if head[25] in (2, 6) else read_bands(spark, [Band(path)])[0]
     if head[:2] == b"P5":
         return read_bands(spark, [Band(path)])[0]
-    with open(path, encoding="utf-8") as f:
-        return read_bands(spark, parse_file_list(f.read(), os.path.dirname(path)))[0]
-
-
-def write_bands(cube: Cube, bands: list[Band], folder: str, bits: int = 8, normalise: bool = False) -> str:
-    """A grey image per band and a band list; returns the list's path. One band at a time is on the driver."""
-    os.makedirs(folder, exist_ok=True)
-    h = cube.pixels.agg(F.max("y").alias("y")).first().y + 1
-    lo, hi = cube.lo, cube.hi
-    if normalise:
-        r = cube.pixels.agg(F.min(F.array_min("s")).alias("lo"), F.max(F.array_max("s")).alias("hi")).first()
-        lo, hi = r.lo, r.hi
-    top = 255 if bits == 8 else 65535
-    lines = [str(cube.n_bands), "."]
-    for b in range(cube.n_bands):
-        p = cube.pixels.select("y", "x", F.get("s", F.lit(b)).alias("v")).toPandas()
-        a = np.zeros((h, cube.width))
-        a[p.y, p.x] = np.round((p.v - lo) / ((hi - lo) or 1.0) * top)
-        name = f"band{b:03d}.pgm"
-        with open(os.path.join(folder, name), "wb") as f:
-            f.write(encode_pgm(np.clip(a, 0, top), bits))
-        d = bands[b] if b < len(bands) else Band("")
-        lines.append(name + ("" if d.empty else f" {d.start:g} {d.end:g}"))
-    path = os.path.join(folder, "bands.txt")
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("\n".join(lines) + "\n")
-    return path
+    return read_bands(spark, parse_file_list(read_file(path).decode(), os.path.dirname(path)))[0]
 
 
 def write_cube(cube: Cube, path: str) -> None:
