@@ -26,6 +26,8 @@ from .common import materialize
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, k long"
 #: Share of a pattern's fitted repeats that is made; what is left over fills the slack of rounding lengths up to classes.
 PATTERNED = 0.97
+#: Classes from which on pieces are long enough for patterns where all lengths in patterns do worse.
+SHORTEST = 9
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -34,6 +36,8 @@ def nnls(a: np.ndarray, b: np.ndarray, w: np.ndarray, most: int = 2000) -> np.nd
     positive, so few patterns carry the fit and rounding loses little."""
     aw, bw = a * w[:, None], b * w
     x, free = np.zeros(a.shape[1]), np.zeros(0, np.int64)
+    if not len(x):
+        return x
     near = 1e-9 * max(1.0, float(np.abs(aw.T @ bw).max(initial=0.0)))
     for _ in range(most):
         gain = aw.T @ (bw - aw @ x)
@@ -98,8 +102,17 @@ class _Runs:
 
 
 def plan(hist: np.ndarray, capacity: int, classes: int = 128) -> tuple[np.ndarray, int]:
-    """Rows (length, first rank, count, first sequence, offset) that place all hist[length] pieces; sequences used."""
+    """Rows (length, first rank, count, first sequence, offset) that place all hist[length] pieces; sequences used.
+
+    Patterns over all lengths, over those of SHORTEST classes or more (shorter pieces then fill what is left of sequences,
+    as rounding them up to a class would waste most of it), and over none: the first plan of those with fewest sequences."""
     hist = hist.astype(np.int64)
+    plans = [_plan(hist, capacity, classes, least) for least in (1, SHORTEST, classes + 1)]
+    return min(plans, key=lambda p: p[1])
+
+
+def _plan(hist: np.ndarray, capacity: int, classes: int, least: int) -> tuple[np.ndarray, int]:
+    """The plan with patterns of pieces of the class ``least`` or a larger one."""
     rank = np.zeros(capacity + 1, np.int64)
     runs = _Runs(capacity)
     classes = max(1, min(classes, capacity))
@@ -115,7 +128,8 @@ def plan(hist: np.ndarray, capacity: int, classes: int = 128) -> tuple[np.ndarra
         # 2. classes by rounding up: any piece of a class fits where the class does
         cls = np.minimum((np.arange(capacity + 1) + width - 1) // width, classes)
         by = np.bincount(cls, weights=left, minlength=classes + 1)[1:]
-        pats = patterns(classes)
+        by[: least - 1] = 0
+        pats = [p for p in patterns(classes) if min(p) >= least]
         a = np.zeros((classes, len(pats)))
         for j, p in enumerate(pats):
             for c in p:
