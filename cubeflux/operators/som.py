@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubeflux.functions import distances as D
+from cubeflux.functions.hashes import text_hash
+from cubeflux.model import Cube
+from cubeflux.shared import read_file, write_file
 
 from . import neighbours
 
@@ -58,26 +61,61 @@ def neurons(spark, w: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(w)], "idx int, w array<double>")
 
 
-def save(path: str, w: np.ndarray, layout: str, side: int) -> None:
+def packed(w: np.ndarray, layout: str, side: int) -> bytes:
     """Header (magic, version, type of numbers, layout, side, bands), then 32-bit floats, little endian."""
-    with open(path, "wb") as f:
-        f.write(MAGIC + struct.pack("<5I", 3, 1, LAYOUTS[layout], side, w.shape[1]) + w.astype("<f4").tobytes())
+    return MAGIC + struct.pack("<5I", 3, 1, LAYOUTS[layout], side, w.shape[1]) + w.astype("<f4").tobytes()
 
 
-def load(path: str, bands: int | None = None) -> tuple[np.ndarray, str, int]:
-    with open(path, "rb") as f:
-        data = f.read()
-    if data[:16] != MAGIC:
+def unpacked(data: bytes, bands: int | None = None) -> tuple[np.ndarray, str, int]:
+    if data[:16] != MAGIC or len(data) < 36:
         raise ValueError("not a map file")
     version, kind, dims, side, n = struct.unpack("<5I", data[16:36])
     if version != 3 or kind != 1 or dims not in LAYOUTS.values():
         raise ValueError("unknown version, number type or layout")
     if bands is not None and n != bands:
         raise ValueError(f"the map has {n} bands, not {bands}")
-    w = np.frombuffer(data[36:], "<f4")
-    if len(w) != side**dims * n:
+    if len(data) - 36 != 4 * side**dims * n:
         raise ValueError("the map file is cut short")
-    return w.reshape(-1, n).astype(float), next(k for k, v in LAYOUTS.items() if v == dims), side
+    return np.frombuffer(data[36:], "<f4").reshape(-1, n).astype(float), next(k for k, v in LAYOUTS.items() if v == dims), side
+
+
+def save(path: str, w: np.ndarray, layout: str, side: int) -> None:
+    write_file(path, [packed(w, layout, side)])
+
+
+def load(path: str, bands: int | None = None) -> tuple[np.ndarray, str, int]:
+    return unpacked(read_file(path), bands)
+
+
+def fingerprint(pixels: DataFrame) -> str:
+    """What a map was trained on: the number of pixels, and a sum over hashes of their ids and spectra, in any order."""
+    r = pixels.agg(F.count("*").alias("n"), F.sum(F.xxhash64("vec_id", "s").cast("decimal(38,0)")).alias("h")).first()
+    return f"{r.n}/{r.h or 0}"
+
+
+def create_or_load(pixels: DataFrame, folder: str, layout: str = "square", side: int = 32, steps: int = 40_000, **options) -> tuple[np.ndarray, bool]:
+    """(neurons, trained): the map of these pixels and options from the folder, or trained and stored there. The file is
+    named by the hash of the options and the pixels' fingerprint, so another input or setting is another map. A file that
+    can't be read is trained anew. What is stored has 32-bit floats, and so has what is returned."""
+    settings = "\n".join(f"{k} = {v}" for k, v in sorted({"layout": layout, "side": side, "steps": steps, **options}.items()))
+    path = f"{folder}/{text_hash(settings):016x}-{text_hash(fingerprint(pixels), 'sdbm'):016x}.map"
+    try:
+        return unpacked(read_file(path))[0], False
+    except (FileNotFoundError, ValueError):
+        w = fit(pixels, steps, side=side, dims=LAYOUTS[layout], **options)
+        write_file(path, [packed(w, layout, side)])
+        return unpacked(read_file(path))[0], True
+
+
+def as_cube(spark, w: np.ndarray, side: int, dims: int, lo: float, hi: float) -> Cube:
+    """A map as an image: two coordinates are the pixel's, each further one stands below or beside, so that 4 dimensions are
+    a square of squares."""
+    at = grid(side, dims)
+    x = at[:, 0] + (at[:, 2] * side if dims > 2 else 0)
+    y = at[:, 1] + (at[:, 3] * side if dims > 3 else 0)
+    width = side * (side if dims > 2 else 1)
+    rows = [(int(b * width + a), int(b), int(a), 0, v.tolist()) for a, b, v in zip(x, y, w, strict=True)]
+    return Cube(spark.createDataFrame(rows, "vec_id long, y int, x int, label int, s array<double>"), width, w.shape[1], lo, hi)
 
 
 def edge_detection(cells: DataFrame, absolute: bool = False, sobel: bool = False) -> DataFrame:

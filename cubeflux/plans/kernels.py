@@ -10,6 +10,7 @@ from cubeflux.functions import distances as D
 from cubeflux.functions import spectral
 from cubeflux.operators import forest, meanshift, pca, regions, segmentation, shifting, som, walker
 from cubeflux.operators import neighbours as N
+from cubeflux.shared import shared_folder
 from cubeflux.streaming import histogram as stream
 
 from .base import cube, query
@@ -66,6 +67,15 @@ def _superpixels(px, measure):
     return regions.superpixels(px, N.equalised(N.weighted(N.edges(px, N.EIGHT), measure)), c=0.05, min_size=5)
 
 
+@query("i4_map_store")
+def i4(spark, sf):
+    """The map that a second call finds stored, as an image."""
+    px, folder = cube(spark, sf).pixels, shared_folder(spark, "maps")
+    som.create_or_load(px, folder, side=6, steps=1000)
+    w, trained = som.create_or_load(px, folder, side=6, steps=1000)
+    return som.as_cube(spark, w, 6, 2, -1.0, 1.0).pixels.select("vec_id", "y", "x", F.transform("s", lambda v: F.round(v, 6)).alias("s"), F.lit(trained).alias("trained"))
+
+
 @query("i12_superpixels")
 def i12(spark, sf):
     return _superpixels(cube(spark, sf).pixels, D.euclidean)

@@ -11,6 +11,8 @@ from cubeflux.model import band_table
 from cubeflux.operators import histogram as H
 from cubeflux.operators import neighbours as N
 from cubeflux.operators import select as S
+from cubeflux.shared import shared_folder
+from cubeflux.streaming.kept import KeptHistogram
 
 from .base import P255, PX, SAMPLES, cube, cube255, lineitem_cube, long_form, long_sql, query
 
@@ -319,27 +321,24 @@ def a5(spark, sf):
     return b.select("label", F.array_join(F.transform("key", lambda v: v.cast("string")), ",").alias("key"), F.round(F.get("sums", F.lit(0)) / F.col("weight"), 6).alias("mean0"), F.round(F.get("sums", F.lit(3)) / F.col("weight"), 6).alias("mean3"))
 
 
-@query("a6_incremental_histogram", f"with {PX} select label, {_K4} as key, count(*) as weight, round(sum(s[1]), 6) as sum0 from px where {IN_B} group by all")
-def a6(spark, sf):
-    c = _four(spark, sf)
-    sub, add, _ = S.roi_change(ROI_A, ROI_B)
+def _kept(spark, sf):
+    return KeptHistogram(_four(spark, sf), shared_folder(spark, "kept"), -1.0, 1.0, 4)
 
-    def part(where):
-        return H.nd_histogram(S.Cube(c.pixels.filter(where), c.width, 4, c.lo, c.hi), -1.0, 1.0, 4)
 
-    return _hist_out(H.apply_changes(part(ROI_A.contains()), part(S.in_any(add)), part(S.in_any(sub)), 4))
+@query("a6_incremental_histogram", f"with {PX} select label, {_K4} as key, count(*) as weight, round(sum(s[1]), 6) as sum0 from px where {IN_B} group by all")
+def a6(spark, sf):
+    kept = _kept(spark, sf)
+    kept.create(ROI_A)
+    kept.move(ROI_A, ROI_B)
+    return _hist_out(kept.read())
 
 
 @query("a7_label_update_histogram", f"with {PX} select case when vec_id % 7 = 0 then 4 else label end as label, {_K4} as key, count(*) as weight, round(sum(s[1]), 6) as sum0 from px group by all")
 def a7(spark, sf):
-    c = _four(spark, sf)
-    old = c.pixels.join(_mask(spark, sf), "vec_id", "left_semi")
-    new = old.withColumn("label", F.lit(4))
-
-    def part(px):
-        return H.nd_histogram(S.Cube(px, c.width, 4, c.lo, c.hi), -1.0, 1.0, 4)
-
-    return _hist_out(H.apply_changes(part(c.pixels), part(new), part(old), 4))
+    kept = _kept(spark, sf)
+    kept.create(S.Rect(0, 0, kept.cube.width, 1 << 30))
+    kept.relabel(_mask(spark, sf).withColumn("new_label", F.lit(4)))
+    return _hist_out(kept.read())
 
 
 @query("a8_vertices", f"with {PX}, k as (select distinct label, list_transform(s[1:4], lambda v: least(greatest(floor((v + 1.0) / (2.0 / 3)), 0), 3)::int) as key from px) select label, array_to_string(key, ',') as key, unnest(range(4))::int as band, unnest(key) + 0.5::double as position from k")
