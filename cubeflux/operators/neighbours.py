@@ -31,22 +31,6 @@ def with_top(e: DataFrame) -> DataFrame:
     return e.join(F.broadcast(e.agg(F.max("weight").alias("top"))), F.lit(True))
 
 
-def ranked(df: DataFrame, key: Column, *order: Column, name: str = "place", parts: int = 200) -> DataFrame:
-    """df with its place, from 0, in the order of ``order``, which begins with key (a number) or its negative.
-
-    Quantiles of the key cut the rows into parts that are numbered side by side; a part begins after the rows of those
-    before it. Only rows of one key value can't be cut.
-    """
-    found = df.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 10000)).first()[0]
-    bounds = F.array(*(F.lit(float(v)) for v in sorted(set(found or [])))).cast("array<double>")
-    cut = df.withColumn("_part", F.size(F.filter(bounds, lambda v: v < key)))
-    sizes = cut.groupBy("_part").agg(F.count("*").alias("_n"), F.min(F.struct(*order)).alias("_first"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = cut.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")  # at most ``parts`` rows
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return placed.withColumn(name, F.col("_before") + own - 1).drop("_part", "_before")
-
-
 def standard_weights(e: DataFrame, geodesic: bool = False) -> DataFrame:
     """Weights scaled to 0..255; similarity (255 - scaled) unless geodesic."""
     top = F.col("top")

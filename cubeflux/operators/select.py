@@ -83,9 +83,9 @@ def crop(cube: Cube, low: int, high: int) -> Cube:
 
 def segment(cube: Cube, mask: DataFrame) -> DataFrame:
     """Masked pixels in raster order, with their place."""
-    from .neighbours import ranked
+    from cubeflux.shared import numbered
 
-    return ranked(cube.pixels.join(mask, "vec_id", "left_semi"), F.col("y").cast("double"), *map(F.col, RASTER))
+    return numbered(cube.pixels.join(mask, "vec_id", "left_semi"), "place", *RASTER)
 
 
 def set_pixels(cube: Cube, new: DataFrame) -> Cube:

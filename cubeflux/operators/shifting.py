@@ -18,10 +18,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubeflux.operators import meanshift
+from cubeflux.operators.lsh import bits as keys
 from cubeflux.shared import materialize
 
 #: Points of a block, and means that meet it at a time.
@@ -29,17 +30,6 @@ BLOCK = 2048
 SUMS = "vec_id long, w double, ws array<double>, dist double, window_ double"
 
 
-def keys(s: str | Column, cuts) -> Column:
-    """The bucket of a spectrum in each table: a bit for each cut."""
-    def key(cut) -> Column:
-        total = F.lit(0).cast("long")
-        for bit, (band, at) in enumerate(cut):
-            total = total + F.when(F.get(s, F.lit(band)) > at, F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long"))
-        return total
-
-    return F.array(*map(key, cuts))
-
-
 def _dealt(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """rows once for each table as t, h, name (a part of the bucket of at most some BLOCK rows); and t, h, parts."""
     spread = rows.select("*", F.posexplode("keys").alias("t", "h"))

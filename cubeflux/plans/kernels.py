@@ -169,5 +169,5 @@ def i22(spark, sf):
     from cubeflux.operators import lsh
 
     px = cube(spark, sf).pixels
-    k, t, n = lsh.tune(px, (4, 8), (2, 4, 8), [-0.2] * 64, [0.2] * 64, px.filter("vec_id % 50 = 0"), 3, epsilon=0.3)
+    k, t, n = lsh.tune(px, (4, 8), (2, 4, 8), [-0.2] * 64, [0.2] * 64, lsh.bounded_sample(px, 40), 3, epsilon=0.5)
     return spark.createDataFrame([(k, t, n)], "k int, tables int, candidates double")

@@ -11,7 +11,7 @@ from cubeflux.model import band_table
 from cubeflux.operators import histogram as H
 from cubeflux.operators import neighbours as N
 from cubeflux.operators import select as S
-from cubeflux.shared import shared_folder
+from cubeflux.shared import numbered, shared_folder
 from cubeflux.streaming.kept import KeptHistogram
 
 from .base import P255, PX, SAMPLES, cube, cube255, lineitem_cube, long_form, long_sql, query
@@ -451,14 +451,14 @@ def t30(spark, sf):
 def o1(spark, sf):
     e = N.weighted(N.edges(cube(spark, sf).pixels, N.EIGHT), D.euclidean)
     w = F.round("weight", 9)
-    return N.ranked(e, w, w, F.col("u"), F.col("v")).select("u", "v", F.col("place").cast("int").alias("place"))
+    return numbered(e, "place", w, "u", "v").select("u", "v", F.col("place").cast("int").alias("place"))
 
 
 @query("o2_sorted_edges_descending", f"with {PX}, {_E4}{_W} select u, v, (row_number() over (order by round(weight, 9) desc, u desc, v desc) - 1)::int as place from w")
 def o2(spark, sf):
     e = N.weighted(N.edges(cube(spark, sf).pixels), D.euclidean)
     w = -F.round("weight", 9)
-    return N.ranked(e, w, w, -F.col("u"), -F.col("v")).select("u", "v", F.col("place").cast("int").alias("place"))
+    return numbered(e, "place", w, -F.col("u"), -F.col("v")).select("u", "v", F.col("place").cast("int").alias("place"))
 
 
 @query("o6_start_points", f"with {PX} select vec_id from px where vec_id % 5 = 0")
@@ -470,7 +470,7 @@ def o6(spark, sf):
 def o8(spark, sf):
     px = cube(spark, sf).pixels
     h = F.xxhash64("vec_id", F.lit(42))
-    return N.ranked(px, h.cast("double"), h.cast("double"), h, F.col("vec_id")).select("vec_id", (F.col("place") + 1).cast("int").alias("place"))
+    return numbered(px, "place", h, "vec_id").select("vec_id", (F.col("place") + 1).cast("int").alias("place"))
 
 
 _NEU = "neurons as (select (vec_id // 31)::int as idx, s as w from px where vec_id % 31 = 0 and vec_id < 496)"

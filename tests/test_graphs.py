@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_queries_numpy import lattice, seeded_forest
 
-from cubeflux.operators import forest, regions, segmentation, walker
+from cubeflux.operators import forest, lsh, regions, segmentation, walker
 
 EDGES, SEEDS = "u long, v long, weight double", "vec_id long, label int"
 
@@ -108,3 +108,31 @@ def test_superpixels_of_odd_tables(spark):
     assert labels(regions.superpixels(px, spark.createDataFrame([], EDGES))) == {i: i for i in range(5)}
     assert labels(regions.superpixels(px, spark.createDataFrame([(3, 1, 0.0), (1, 3, 9.0), (2, 2, 0.0)], EDGES), rest=0)) == {0: 0, 1: 1, 2: 2, 3: 1, 4: 3}
     assert labels(regions.superpixels(px.filter("vec_id < 0"), spark.createDataFrame([], EDGES))) == {}
+
+
+def test_tuning_by_the_worst_of_trials(spark):
+    rng = np.random.default_rng(7)
+    x = rng.random((80, 4))
+    px = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, s array<double>")
+    sample, ks, tables, lows, highs, trials = px.filter("vec_id % 8 = 0"), (1, 3), (1, 2, 4), [0.0] * 4, [1.0] * 4, 3
+    d = np.abs(x[:, None] - x[None]).sum(axis=2)
+    near = [(q, int(c)) for q in range(0, 80, 8) for c in sorted((j for j in range(80) if j != q), key=lambda j: (d[q, j], j))[:3]]
+    worst, looked = {}, {}
+    for k in ks:
+        for n in tables:
+            shares = []
+            for t in range(trials):
+                cuts = [c[:k] for c in lsh.random_cuts(3, 4, lows, highs, 42 + t)][:n]
+                key = [[tuple(v[b] > at for b, at in c) for c in cuts] for v in x]
+                shares.append(sum(any(a == b for a, b in zip(key[q], key[c], strict=True)) for q, c in near) / len(near))
+                if t == 0:
+                    looked[k, n] = sum(sum(key[q][j] == key[c][j] for q in range(0, 80, 8) for c in range(80)) for j in range(n)) / 10
+            worst[k, n] = min(shares)
+    got = lsh.trial_scores(px, lsh.nearest_of_sample(px, sample, 3), ks, tables, lows, highs, trials, 42)
+    assert {c: min(v) for c, v in got.items()} == pytest.approx(worst) and all(len(v) == trials for v in got.values())
+    assert lsh.bucket_sizes(px, sample, ks, tables, lows, highs, 42) == pytest.approx(looked)
+    for epsilon in (0.1, 0.4, 0.7):
+        good = [c for c in worst if worst[c] >= 1 - epsilon]
+        k, n, cost = lsh.tune(px, ks, tables, lows, highs, sample, 3, epsilon, trials=trials)
+        assert (k, n) == (min(good, key=lambda c: (looked[c], c)) if good else max(worst, key=lambda c: (worst[c], -looked[c]))) and cost == pytest.approx(looked[k, n])
+    assert lsh.bounded_sample(px, 7).count() == 7

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cubeflux.functions import distances as D
 from cubeflux.functions import spectral
 from cubeflux.model import from_embeddings
+from cubeflux import shared
 from cubeflux.operators import histogram, meanshift, neighbours, pca, segmentation, select, som
 from cubeflux.sources import images
 from cubeflux.streaming import histogram as stream
@@ -244,9 +245,9 @@ def test_ranks_and_nearest_without_one_partition(spark):
     rng = np.random.default_rng(4)
     rows = [(i, float(v)) for i, v in enumerate(rng.integers(0, 40, 500))]
     df = spark.createDataFrame(rows, "u long, weight double").repartition(5)
-    got = {r.u: r.place for r in neighbours.ranked(df, F.col("weight"), F.col("weight"), F.col("u")).collect()}
+    got = {r.u: r.place for r in shared.numbered(df, "place", "weight", "u").collect()}
     assert got == {u: k for k, (_, u) in enumerate(sorted((w, u) for u, w in rows))}
-    down = neighbours.ranked(df, -F.col("weight"), -F.col("weight"), -F.col("u"))
+    down = shared.numbered(df, "place", -F.col("weight"), -F.col("u"))
     assert {r.u: r.place for r in down.collect()} == {u: 499 - k for u, k in got.items()}
     pts = rng.normal(size=(90, 5))
     near = lsh.nearest_of_sample(spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pts)], "vec_id long, s array<double>"), spark.createDataFrame([(i, pts[i].tolist()) for i in (3, 50)], "vec_id long, s array<double>"), 4)
