@@ -49,9 +49,10 @@ def p5(spark, sf):
     return long_form(S.crop(cube(spark, sf), 10, 19).pixels, "s")
 
 
-@query("p6_segment", f"with {PX} select vec_id, (row_number() over (order by y, x) - 1)::int as place, round(s[1], 6) as v0 from px where vec_id % 7 = 0")
+@query("p6_segment", f"with {PX}, q as (select vec_id, (row_number() over (order by y, x) - 1)::int as place, s from px where vec_id % 7 = 0) select vec_id, place, unnest(range(len(s)))::int as band, round(unnest(s)::double, 6) as value from q")
 def p6(spark, sf):
-    return S.segment(cube(spark, sf), _mask(spark, sf)).select("vec_id", F.col("place").cast("int").alias("place"), F.round(S.band(0), 6).alias("v0"))
+    found = S.segment(cube(spark, sf), _mask(spark, sf)).select("vec_id", F.col("place").cast("int").alias("place"), F.posexplode("s").alias("band", "value"))
+    return found.withColumn("value", F.round("value", 6))
 
 
 @query("p7_set_pixel", long_sql("case when vec_id = 5 then list_transform(s, lambda v: 0.5) else s end"))
@@ -321,24 +322,28 @@ def a5(spark, sf):
     return b.select("label", F.array_join(F.transform("key", lambda v: v.cast("string")), ",").alias("key"), F.round(F.get("sums", F.lit(0)) / F.col("weight"), 6).alias("mean0"), F.round(F.get("sums", F.lit(3)) / F.col("weight"), 6).alias("mean3"))
 
 
+def _four_sums(df):
+    return df.select("label", F.array_join(F.transform("key", lambda v: v.cast("string")), ",").alias("key"), "weight", *(F.round(F.get("sums", F.lit(i)), 6).alias(f"sum{i}") for i in range(4)))
+
+
 def _kept(spark, sf):
     return KeptHistogram(_four(spark, sf), shared_folder(spark, "kept"), -1.0, 1.0, 4)
 
 
-@query("a6_incremental_histogram", f"with {PX} select label, {_K4} as key, count(*) as weight, round(sum(s[1]), 6) as sum0 from px where {IN_B} group by all")
+@query("a6_incremental_histogram", f"with {PX} select label, {_K4} as key, count(*) as weight, round(sum(s[1]), 6) as sum0, round(sum(s[2]), 6) as sum1, round(sum(s[3]), 6) as sum2, round(sum(s[4]), 6) as sum3 from px where {IN_B} group by all")
 def a6(spark, sf):
     kept = _kept(spark, sf)
     kept.create(ROI_A)
     kept.move(ROI_A, ROI_B)
-    return _hist_out(kept.read())
+    return _four_sums(kept.read())
 
 
-@query("a7_label_update_histogram", f"with {PX} select case when vec_id % 7 = 0 then 4 else label end as label, {_K4} as key, count(*) as weight, round(sum(s[1]), 6) as sum0 from px group by all")
+@query("a7_label_update_histogram", f"with {PX} select case when vec_id % 7 = 0 then 4 else label end as label, {_K4} as key, count(*) as weight, round(sum(s[1]), 6) as sum0, round(sum(s[2]), 6) as sum1, round(sum(s[3]), 6) as sum2, round(sum(s[4]), 6) as sum3 from px group by all")
 def a7(spark, sf):
     kept = _kept(spark, sf)
     kept.create(S.Rect(0, 0, kept.cube.width, 1 << 30))
     kept.relabel(_mask(spark, sf).withColumn("new_label", F.lit(4)))
-    return _hist_out(kept.read())
+    return _four_sums(kept.read())
 
 
 @query("a8_vertices", f"with {PX}, k as (select distinct label, list_transform(s[1:4], lambda v: least(greatest(floor((v + 1.0) / (2.0 / 3)), 0), 3)::int) as key from px) select label, array_to_string(key, ',') as key, unnest(range(4))::int as band, unnest(key) + 0.5::double as position from k")
@@ -356,17 +361,20 @@ def a12(spark, sf):
     return g.agg(F.count("*").alias("segments"), F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev_pop("n"), 6).alias("deviation"))
 
 
-@query("a13_superpixel_points", f"with {PX}, {_SEG} select segment, count(*) as size, floor(sum(floor((s[1] + 1) * 32767.5)) / count(*))::bigint as mean0, max(vec_id) as window_, round(avg(s[2]), 6) as weight from seg group by segment")
+@query("a13_superpixel_points", f"with {PX}, {SAMPLES}, w as (select vec_id % 10 as segment, round(avg(s[2]), 6) as weight from px group by 1), g as (select vec_id % 10 as segment, band, count(*) as size, floor(sum(floor((value + 1) * 32767.5)) / count(*))::bigint as mean, max(vec_id) as window_ from samples group by 1, 2) select g.segment::int as segment, band, size, mean, window_, weight from g join w using (segment)")
 def a13(spark, sf):
-    px = cube(spark, sf).pixels.withColumn("segment", (F.col("vec_id") % 10).cast("int"))
-    q = F.floor((S.band(0) + 1) * 32767.5)
-    return px.groupBy("segment").agg(F.count("*").alias("size"), F.floor(F.sum(q) / F.count("*")).alias("mean0"), F.max("vec_id").alias("window_"), F.round(F.avg(S.band(1)), 6).alias("weight"))
+    c = cube(spark, sf)
+    means = F.array(*(F.floor(F.sum(F.floor((S.band(b) + 1) * 32767.5)) / F.count("*")) for b in range(c.n_bands)))
+    g = c.pixels.groupBy((F.col("vec_id") % 10).cast("int").alias("segment")).agg(F.count("*").alias("size"), F.max("vec_id").alias("window_"), F.round(F.avg(S.band(1)), 6).alias("weight"), means.alias("means"))
+    return g.select("segment", "size", "window_", "weight", F.posexplode("means").alias("band", "mean"))
 
 
-@query("a14_superpixel_means", f"with {PX}, g as (select vec_id % 13 as segment, avg(s[1]) as m, count(*) as n from px group by all) select segment, round(m, 6) as mean0, round(n / avg(n) over (), 6) as weight from g")
+@query("a14_superpixel_means", f"with {PX}, {SAMPLES}, n as (select vec_id % 13 as segment, count(*) as n from px group by 1), w as (select segment, round(n / avg(n) over (), 6) as weight from n), g as (select vec_id % 13 as segment, band, round(avg(value), 6) as mean from samples group by 1, 2) select g.segment, band, mean, weight from g join w using (segment)")
 def a14(spark, sf):
-    g = cube(spark, sf).pixels.groupBy((F.col("vec_id") % 13).alias("segment")).agg(F.avg(S.band(0)).alias("m"), F.count("*").alias("n"))
-    return g.select("segment", F.round("m", 6).alias("mean0"), F.round(F.col("n") / F.avg("n").over(Window.partitionBy(F.lit(1))), 6).alias("weight"))
+    c = cube(spark, sf)
+    g = c.pixels.groupBy((F.col("vec_id") % 13).alias("segment")).agg(F.array(*(F.avg(S.band(b)) for b in range(c.n_bands))).alias("means"), F.count("*").alias("n"))
+    weighed = g.withColumn("weight", F.round(F.col("n") / F.avg("n").over(Window.partitionBy(F.lit(1))), 6))
+    return weighed.select("segment", "weight", F.posexplode("means").alias("band", "mean")).withColumn("mean", F.round("mean", 6))
 
 
 @query("a17_label_reindex", f"with {PX}, d as (select distinct label * 10 as v from px union select 0) select v, (dense_rank() over (order by v) - 1)::int as label from d")
