@@ -54,14 +54,17 @@ def reflect(i: Column, last: Column) -> Column:
 
 
 def gaussian_blur(cube: Cube, radius: int, sigma: float) -> DataFrame:
-    """Each band blurred: pixels send weighted spectra to where they count, and are summed there."""
+    """Each band blurred, down the columns and then along the rows: a pixel takes 2 radius + 1 weighted spectra in each pass."""
     g = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-radius, radius + 1)]
-    kernel = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(g[dy + radius] * g[dx + radius] / sum(g) ** 2).alias("w")) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)))
     size = cube.pixels.agg(F.max("y").alias("my"), F.max("x").alias("mx"))
-    at = cube.pixels.select("vec_id", "y", "x", F.explode(kernel).alias("k")).join(F.broadcast(size), F.lit(True))
-    at = at.select("vec_id", "k.w", reflect(F.col("y") + F.col("k.dy"), F.col("my")).alias("y"), reflect(F.col("x") + F.col("k.dx"), F.col("mx")).alias("x"))
+    steps = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(g[d + radius] / sum(g)).alias("w")) for d in range(-radius, radius + 1)))
     sums = F.array(*(F.sum(F.col("w") * F.get("s", F.lit(i))) for i in range(cube.n_bands)))
-    return at.join(cube.pixels.select("y", "x", "s"), ["y", "x"]).groupBy("vec_id").agg(sums.alias("s"))
+    now = cube.pixels.select("vec_id", "y", "x", "s")
+    for axis, last in (("y", "my"), ("x", "mx")):
+        at = now.select("vec_id", F.col("y").alias("ty"), F.col("x").alias("tx"), "y", "x", F.explode(steps).alias("k")).join(F.broadcast(size), F.lit(True))
+        at = at.withColumn(axis, reflect(F.col(axis) + F.col("k.d"), F.col(last))).select("vec_id", "ty", "tx", "y", "x", "k.w")
+        now = at.join(now.select("y", "x", "s"), ["y", "x"]).groupBy("vec_id", F.col("ty").alias("y"), F.col("tx").alias("x")).agg(sums.alias("s"))
+    return now.select("vec_id", "s")
 
 
 def nearest(pixels: DataFrame, neurons: DataFrame, n: int, distance) -> DataFrame:

@@ -14,7 +14,7 @@ from cubeflux.operators import select as S
 from cubeflux.shared import numbered, shared_folder
 from cubeflux.streaming.kept import KeptHistogram
 
-from .base import P255, PX, SAMPLES, cube, cube255, lineitem_cube, long_form, long_sql, query
+from .base import ORACLE, P255, PX, SAMPLES, cube, cube255, lineitem_cube, long_form, long_sql, query
 
 ROI_A, ROI_B = S.Rect(3, 2, 10, 8), S.Rect(6, 4, 10, 8)
 IN_A, IN_B = "(x >= 3 and x < 13 and y >= 2 and y < 10)", "(x >= 6 and x < 16 and y >= 4 and y < 12)"
@@ -573,37 +573,34 @@ def j5(spark, sf):
 _Q16 = "qz as (select vec_id, list_transform(s, lambda v: floor((v + 1) * 65535 / 2)) as s from px)"
 _L1 = f"with {PX}, {_Q16}, st as (select vec_id, s from qz where vec_id % 50 = 0), l as (select a.vec_id as start, b.vec_id as id, unnest(a.s) as a, unnest(b.s) as b from st a, qz b), d as (select start, id, sum(abs(a - b)) as dist from l group by all)"
 
+_L1_ALL = _L1.replace(" where vec_id % 50 = 0", "")
+
 
 def _starts(spark, sf):
     px = cube(spark, sf).pixels.withColumn("s", spectral.quantise("s", -1.0, 1.0))
     return px, px.filter(F.col("vec_id") % 50 == 0)
 
 
-@query("j9_pilot_density", f"{_L1}, c as (select start, least(floor(dist / 640), 699)::int as cell, count(*) as n from d group by all), k as (select start, cell, sum(n) over (partition by start order by cell) as below from c), w as (select start, min(cell) as cell from k where below > 22 group by start) select start as vec_id, ((cell + 1) * 640)::bigint as window_ from w")
+@query("j9_pilot_density", f"{_L1_ALL}, c as (select start, least(floor(dist / 640), 699)::int as cell, count(*) as n from d group by all), k as (select start, cell, sum(n) over (partition by start order by cell) as below from c), w as (select start, min(cell) as cell from k where below > (select floor(sqrt(count(*))) from qz) group by start) select start as vec_id, ((cell + 1) * 640)::bigint as window_ from w")
 def j9(spark, sf):
     from cubeflux.operators.meanshift import neighbour_threshold, pilot_windows
 
-    px, st = _starts(spark, sf)  # the SQL has the threshold of 500 points
-    return pilot_windows(px, st, k=neighbour_threshold(px.count()), n_bands=64)
+    px, _ = _starts(spark, sf)
+    return pilot_windows(px, px, k=neighbour_threshold(px.count()), n_bands=64)
 
 
-@query("j10_mean_shift_step", f"{_L1}, w as (select start, id, (1 - dist / 400000.0) * (1 - dist / 400000.0) as w from d where dist < 400000) select w.start as vec_id, count(*) as members, floor(sum(w.w * qz.s[1]) / sum(w.w) + 1e-6)::bigint as mean0 from w join qz on qz.vec_id = w.id group by w.start")
+@query("j10_mean_shift_step", f"{_L1_ALL}, w as (select start, id, (1 - dist / 400000.0) * (1 - dist / 400000.0) as w from d where dist < 400000) select w.start as vec_id, count(*) as members, floor(sum(w.w * qz.s[1]) / sum(w.w) + 1e-6)::bigint as mean0 from w join qz on qz.vec_id = w.id group by w.start")
 def j10(spark, sf):
     from cubeflux.operators.meanshift import shift_step
 
-    px, st = _starts(spark, sf)
-    return shift_step(px, st, 400000.0).select("vec_id", "members", F.floor(F.get("mean", F.lit(0)) + 1e-6).alias("mean0"))
-
+    px, _ = _starts(spark, sf)
+    return shift_step(px, px, 400000.0).select("vec_id", "members", F.floor(F.get("mean", F.lit(0)) + 1e-6).alias("mean0"))
 
-@query("j9_pilot_density_all")
-def j9_all(spark, sf):
-    from cubeflux.operators.meanshift import neighbour_threshold, pilot_windows
 
-    px, _ = _starts(spark, sf)
-    return pilot_windows(px, px, k=neighbour_threshold(px.count()), n_bands=64)
+query("j9_pilot_density_all", ORACLE["j9_pilot_density"])(j9)
 
 
-@query("a24_pilot_averages", f"{_L1.replace(' where vec_id % 50 = 0', '')}, c as (select start, least(floor(dist / 640), 699)::int as cell, count(*) as n from d group by all), k as (select start, cell, sum(n) over (partition by start order by cell) as below from c), w as (select start, min(cell) as cell from k where below > (select floor(sqrt(count(*))) from qz) group by start) select round(avg((cell + 1) * 640), 6) as window_, ((select count(*) from qz) - count(*))::bigint as without from w")
+@query("a24_pilot_averages", f"{_L1_ALL}, c as (select start, least(floor(dist / 640), 699)::int as cell, count(*) as n from d group by all), k as (select start, cell, sum(n) over (partition by start order by cell) as below from c), w as (select start, min(cell) as cell from k where below > (select floor(sqrt(count(*))) from qz) group by start) select round(avg((cell + 1) * 640), 6) as window_, ((select count(*) from qz) - count(*))::bigint as without from w")
 def a24(spark, sf):
     from cubeflux.operators.meanshift import pilot_averages
 
@@ -611,12 +608,7 @@ def a24(spark, sf):
     return pilot_averages(px, n_bands=64).withColumn("window_", F.round("window_", 6))
 
 
-@query("j10_mean_shift_step_all")
-def j10_all(spark, sf):
-    from cubeflux.operators.meanshift import shift_step
-
-    px, _ = _starts(spark, sf)
-    return shift_step(px, px, 400000.0).select("vec_id", "members", F.floor(F.get("mean", F.lit(0)) + 1e-6).alias("mean0"))
+query("j10_mean_shift_step_all", ORACLE["j10_mean_shift_step"])(j10)
 
 
 @query("j11_nearest_mode", f"{_L1}, r as (select id, start, row_number() over (partition by id order by dist, start) as k from d) select id as vec_id, start as mode from r where k = 1")
@@ -632,35 +624,28 @@ def j12(spark, sf):
     return e.groupBy(F.col("u").alias("vec_id")).agg(F.count("*").alias("neighbours"), F.round(F.sum(F.get("sv", F.lit(0))), 6).alias("total")).filter("neighbours = 8")
 
 
-@query("j13_band_lookup", f"with {PX}, {SAMPLES} select vec_id, band, 400.0::double + 5 * band as center from samples where band < 3")
+@query("j13_band_lookup", f"with {PX}, {SAMPLES} select vec_id, band, 400.0::double + 5 * band as center from samples")
 def j13(spark, sf):
-    return cube(spark, sf).samples().filter("band < 3").join(F.broadcast(band_table(spark).select("band", "center")), "band").select("vec_id", "band", "center")
+    return cube(spark, sf).samples().join(F.broadcast(band_table(spark).select("band", "center")), "band").select("vec_id", "band", "center")
 
 
-@query("j13_band_lookup_all")
-def j13_all(spark, sf):
-    return cube(spark, sf).samples().join(F.broadcast(band_table(spark).select("band", "center")), "band").select("vec_id", "band", "center")
+query("j13_band_lookup_all", ORACLE["j13_band_lookup"])(j13)
 
 
 _CUTS = ((3, 0.0), (11, 0.02), (27, -0.02), (40, 0.01)), ((1, 0.01), (20, 0.0), (33, 0.02), (50, -0.01))
 _LSH = ", ".join(f"(select vec_id, {t} as t, concat({', '.join(f'(s[{d + 1}] > {v})::int' for d, v in c)}) as h from px)" for t, c in enumerate(_CUTS)).replace("), (select", ") union all (select")
 
 
-@query("j14_lsh_candidates", f"with {PX}, h as ({_LSH}) select distinct a.vec_id as query, b.vec_id as candidate from h a join h b using (t, h) where a.vec_id % 50 = 0")
+@query("j14_lsh_candidates", f"with {PX}, h as ({_LSH}) select distinct a.vec_id as query, b.vec_id as candidate from h a join h b using (t, h)")
 def j14(spark, sf):
     from cubeflux.operators.lsh import candidates, hashed
 
     px = cube(spark, sf).pixels
     h = hashed(px, _CUTS)
-    return candidates(h.filter(F.col("vec_id") % 50 == 0), h)
+    return candidates(h, h)
 
 
-@query("j14_lsh_candidates_all")
-def j14_all(spark, sf):
-    from cubeflux.operators.lsh import candidates, hashed
-
-    h = hashed(cube(spark, sf).pixels, _CUTS)
-    return candidates(h, h)
+query("j14_lsh_candidates_all", ORACLE["j14_lsh_candidates"])(j14)
 
 
 @query("o7_largest_buckets", f"with {PX}, h as ({_LSH}) select t, h, count(*) as n from h group by all having count(*) > 0.1 * (select count(*) from px)")

@@ -12,7 +12,7 @@ from cubeflux.functions import distances as D
 from cubeflux.model import band_table
 from cubeflux.operators import color, histogram
 
-from .base import P255, PX, cube, cube255, long_form, long_sql, query
+from .base import ORACLE, P255, PX, cube, cube255, long_form, long_sql, query
 
 
 @query("t1_rescale", long_sql("list_transform(s, lambda v: (v + 1.0) * 255.0 / 2.0 + 0.0)"))
@@ -138,20 +138,14 @@ def t16(spark, sf):
 
 
 @query("t18_blur", f"""with {PX}, l as (select y, x, unnest(range(len(s)))::int as band, unnest(s) as v from px), k as (select dy, dx, g(dy) * g(dx) as w from (select range as dy from range(-1, 2)) a, (select range as dx from range(-1, 2)) b), h as (select max(y) as my, max(x) as mx from px)
-select (a.y * 25 + a.x)::bigint as vec_id, a.band, round(sum(k.w * b.v), 6) as value from (select * from l where band < 4) a, k, h, l b where b.band = a.band and b.y = (case when a.y + dy < 0 then -(a.y + dy) when a.y + dy > my then 2 * my - a.y - dy else a.y + dy end) and b.x = (case when a.x + dx < 0 then -(a.x + dx) when a.x + dx > mx then 2 * mx - a.x - dx else a.x + dx end) group by all""".replace("g(dy)", "(exp(-dy*dy/2.0::double)/(1+2*exp(-0.5::double)))").replace("g(dx)", "(exp(-dx*dx/2.0::double)/(1+2*exp(-0.5::double)))"))
+select (a.y * 25 + a.x)::bigint as vec_id, a.band, round(sum(k.w * b.v), 6) as value from l a, k, h, l b where b.band = a.band and b.y = (case when a.y + dy < 0 then -(a.y + dy) when a.y + dy > my then 2 * my - a.y - dy else a.y + dy end) and b.x = (case when a.x + dx < 0 then -(a.x + dx) when a.x + dx > mx then 2 * mx - a.x - dx else a.x + dx end) group by all""".replace("g(dy)", "(exp(-dy*dy/2.0::double)/(1+2*exp(-0.5::double)))").replace("g(dx)", "(exp(-dx*dx/2.0::double)/(1+2*exp(-0.5::double)))"))
 def t18(spark, sf):
     from cubeflux.operators import neighbours
 
-    c = cube(spark, sf)
-    c = c.with_spectrum(F.slice("s", 1, 4), n_bands=4)
-    return long_form(neighbours.gaussian_blur(c, 1, 1.0), "s")
+    return long_form(neighbours.gaussian_blur(cube(spark, sf), 1, 1.0), "s")
 
 
-@query("t18_blur_all")
-def t18_all(spark, sf):
-    from cubeflux.operators import neighbours
-
-    return long_form(neighbours.gaussian_blur(cube(spark, sf), 1, 1.0), "s")
+query("t18_blur_all", ORACLE["t18_blur"])(t18)
 
 
 @query("t19_quantise", long_sql("list_transform(s, lambda v: floor((v + 1.0) * 65535 / 2.0))"))
