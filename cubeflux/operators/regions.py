@@ -129,7 +129,8 @@ def _followed(rounds: list[DataFrame]) -> DataFrame | None:
         if found is not None:
             later = found.select(F.col("tree").alias("root"), F.col("root").alias("end"))
             moved = moved.join(later, "root", "left").select("tree", F.coalesce("end", "root").alias("root")).unionByName(found)
-        found = materialize(moved, "regions-moved")
+            moved = materialize(moved, "regions-moved")
+        found = moved  # a round's own table is written already
     return found
 
 
