@@ -11,7 +11,8 @@ a word of a class or id says so, the element counts all the same if it holds the
 the lines above the threshold. Such a word must name the element (``left-sidebar``, not ``with-sidebar``).
 
 A nav, aside, footer or the like drops its text if its own end tag closes it; one that never ends is judged like an
-element that only a class names. Work is in proportion to the page, however deep or broken its tags are.
+element that only a class names, and so is a form or fieldset, which may surround a whole page. Work is in proportion to the
+page, however deep or broken its tags are; the mark of a comment that nothing closes is text.
 
 Defined cases: null or empty html gives an empty text; a page without any block gives its plain text; broken or unclosed
 markup is read as the parser reports it; very long pages are streamed event by event; repeated rows give equal texts,
@@ -40,6 +41,8 @@ CONTAINERS = set("article body div main section td".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Elements of DROPPED, and header, that surround other blocks.
 AROUND = set("aside dialog fieldset footer form header menu nav".split())
+#: Those of them that some pages have around all they hold.
+WRAPPERS = set("fieldset form".split())
 #: A stray end tag of another kind doesn't close these.
 KEEPS = set("article body main table".split())
 #: A start tag of the left closes an open element of the right.
@@ -91,8 +94,8 @@ class _Lines(HTMLParser):
         self.keeps: list[int] = []  # open elements of KEEPS
         self.text: list[str] = []
         self.tags = self.links = self.containers = 0
-        self.heading = False
-        self.named: list[str] = []  # role of each named element: readers, other, header, or tag for an element of AROUND
+        self.heading = self.unclosed = False
+        self.named: list[str] = []  # role of each named element: readers, other, header, tag for an element of AROUND, wrapper for one of WRAPPERS
         self.parent: list[int] = []  # the named element around each
         self.readers: list[bool] = []  # whether it is, or lies in, reader comments
         self.holding: list[bool] = []  # whether it holds an article or main that isn't a reader's
@@ -143,7 +146,7 @@ class _Lines(HTMLParser):
             around = tag in AROUND and (tag != "header" or not page)
             dropped = (
                 (tag in DROPPED and not around)
-                or "hidden" in a
+                or a.get("hidden", "until-found").lower() != "until-found"
                 or a.get("aria-hidden") == "true"
                 or a.get("role", "") in _ARIA
                 or "display:none" in a.get("style", "").replace(" ", "")
@@ -153,7 +156,7 @@ class _Lines(HTMLParser):
             if tag in ("article", "main") and not dropped and kind != "readers" and named >= 0 and not self.readers[named]:
                 self.holding[named] = True
             if around and not dropped:
-                own = named = self.name("tag", named)
+                own = named = self.name("wrapper" if tag in WRAPPERS else "tag", named)
             if kind and (kind != "header" or not page):
                 named = self.name(kind, named)
         if tag in CONTAINERS:
@@ -187,6 +190,15 @@ class _Lines(HTMLParser):
         while len(self.stack) > k:
             self.pop()
 
+    def parse_comment(self, i, report=1):
+        if not self.unclosed:
+            k = super().parse_comment(i, report)
+            if k >= 0:
+                return k
+            self.unclosed = True  # pages are fed whole, so no later comment ends either
+        self.handle_data("<!--")
+        return i + 4
+
     def handle_data(self, data):
         if not (self.stack and self.stack[-1][0] in ("script", "style")):
             self.text.append(data)

@@ -1,12 +1,13 @@
-"""BM25 on equal rows and shared ids; packing on lengths of every kind with the production classes."""
+"""BM25 on equal rows and shared ids; packing on lengths of every kind with the production classes; pages in forms."""
 
 import collections
 import math
+import time
 
 import numpy as np
 import pytest
 
-from cubeflux.llm import bm25, packing
+from cubeflux.llm import bm25, html_text, packing
 
 DOCS = "doc_id long, text string"
 
@@ -58,3 +59,35 @@ def test_sequences_are_near_the_bound_for_any_lengths(low, high, n):
 def test_patterns_place_long_pieces():
     hist = np.bincount(np.random.default_rng(0).integers(300, 900, 100_000), minlength=4097)
     assert packing.plan(hist, 4096)[1] < packing._plan(hist.astype(np.int64), 4096, 128, 129)[1]
+
+
+LONG = "This is a long paragraph of the article, with many words in it and no tags at all between them. " * 3
+
+
+@pytest.mark.parametrize("page", ["<form>{}</form>", "<form><div>{}</div></form>", "<form><article>{}</article></form>", "<form><fieldset><main>{}</main></fieldset></form>"])
+def test_a_page_in_a_form_keeps_its_text(page):
+    text = html_text.extract("<body>" + page.format(f"<p>{LONG}</p><p>{LONG}</p>") + "</body>")
+    assert text == f"{LONG.strip()}\n\n{LONG.strip()}"
+
+
+def test_other_forms_go():
+    article = f"<article><p>{LONG}</p><p>{LONG}</p></article>"
+    form = "<form><label>Name</label><p>Tell us what you think about this.</p><input><button>Send</button></form>"
+    for page in (article + form, form + article, f"<article><p>{LONG}</p>{form}<p>{LONG}</p></article>", f"<div><p>{LONG}</p><p>{LONG}</p>{form}</div>"):
+        assert html_text.extract(page) == f"{LONG.strip()}\n\n{LONG.strip()}"
+
+
+def test_comments_that_never_end_are_linear():
+    def took(n):
+        began = time.process_time()
+        text = html_text.extract(f"<article><p>{LONG}</p>" + "<!-- <p>" * n)
+        assert text.startswith(LONG.strip())
+        return time.process_time() - began
+
+    took(100)
+    assert took(40_000) < 40 * max(took(4000), 0.01)
+    assert html_text.extract("<p>a<!-- b --></p><p>c<!-- d") == "a\n\nc<!-- d"
+
+
+def test_text_hidden_until_it_is_found_stays():
+    assert html_text.extract(f'<div hidden="until-found"><p>{LONG}</p></div>') == LONG.strip() and html_text.extract(f"<p>{LONG}</p><p hidden>no</p>") == LONG.strip()
