@@ -109,6 +109,29 @@ def similarity_value(a, b, lo: float = 0.0, hi: float = 1.0):
     return F.sqrt(F.when(both < 0, d * d).otherwise(both))
 
 
+def anywhere(measure):
+    """A measure of two spectra as one of spectra and places, which it doesn't look at."""
+    return lambda a, b, at_a, at_b: measure(a, b)
+
+
+def spatial(measure, scale: float):
+    """A measure of spectra and places (structs of y and x): the spectra's, and scale for each pixel that lies between."""
+    def placed(a, b, at_a, at_b):
+        dy, dx = at_a["y"] - at_b["y"], at_a["x"] - at_b["x"]
+        return measure(a, b) + scale * F.sqrt((dy * dy + dx * dx).cast("double"))
+
+    return placed
+
+
+def within(measure, reach: int):
+    """A measure of spectra and places that is infinite beyond so many rows or columns."""
+    def placed(a, b, at_a, at_b):
+        far = F.greatest(F.abs(at_a["y"] - at_b["y"]), F.abs(at_a["x"] - at_b["x"])) > reach
+        return F.when(far, F.lit(float("inf"))).otherwise(measure(a, b))
+
+    return placed
+
+
 #: Measures that a user chooses by name.
 MEASURES = {
     "MANHATTAN": manhattan,

@@ -216,21 +216,26 @@ def segment(points: DataFrame, k: int = 20, min_members: int = 2, starts: DataFr
     return ends.mapInPandas(label, "vec_id long, label int"), final
 
 
-def segment_from(points: DataFrame, starts: DataFrame, k: int, min_members: int = 2) -> tuple[DataFrame, np.ndarray]:
+def segment_from(points: DataFrame, starts: DataFrame, k: int, min_members: int = 2, members: DataFrame | None = None) -> tuple[DataFrame, np.ndarray]:
     """((vec_id, label from 1) of the start points, modes): start points (vec_id, s) that needn't be points, as
-    superpixels' means are, follow the density of all points. A start point begins with its nearest point's window."""
+    superpixels' means are, follow the density of all points. members: (vec_id, start), the points that a start stands for;
+    it begins with the largest of their windows. Without them, it begins with its nearest point's."""
     n_bands = len(points.select("s").first().s)
     full = bandwidths(points, k, n_bands).cache()
-    every, windows = _collected(full)[1], np.array([r.window_ for r in full.select("vec_id", "window_").orderBy("vec_id").collect()], float)
-    shared = points.sparkSession.sparkContext.broadcast((every, windows))  # at most MAX_STARTS points
+    if members is not None:
+        own = full.select("vec_id", "window_").join(members, "vec_id").groupBy(F.col("start").cast("long").alias("vec_id")).agg(F.max("window_").cast("double").alias("window_"))
+        first = starts.select("vec_id", "s").join(own, "vec_id")
+    else:
+        every, windows = _collected(full)[1], np.array([r.window_ for r in full.select("vec_id", "window_").orderBy("vec_id").collect()], float)
+        shared = points.sparkSession.sparkContext.broadcast((every, windows))  # at most MAX_STARTS points
 
-    def begin(batches):
-        data, own = shared.value
-        for pdf in batches:
-            at = np.argmin(_l1(_matrix(pdf), data), axis=1) if len(pdf) else np.empty(0, np.int64)
-            yield pdf.assign(window_=own[at])
+        def begin(batches):
+            data, near = shared.value
+            for pdf in batches:
+                at = np.argmin(_l1(_matrix(pdf), data), axis=1) if len(pdf) else np.empty(0, np.int64)
+                yield pdf.assign(window_=near[at])
 
-    first = starts.select("vec_id", "s").mapInPandas(begin, "vec_id long, s array<double>, window_ double")
+        first = starts.select("vec_id", "s").mapInPandas(begin, "vec_id long, s array<double>, window_ double")
     rows = modes(full, first).orderBy("vec_id").toPandas()
     found = _matrix(rows)
     final = merge_modes(found, rows.window_.to_numpy(), min_members)
@@ -257,7 +262,7 @@ def cluster(points: DataFrame, method: str, superpixels: DataFrame | None = None
     mean = F.array(*(F.floor(F.avg(F.get("s", F.lit(i)))).cast("double") for i in range(n_bands)))
     means = both.groupBy(F.col("segment").cast("long").alias("vec_id")).agg(mean.alias("s"), F.count("*").alias("size")).cache()
     if preset["starts"] == "superpixels":
-        labels = segment_from(points, means, neighbour_threshold(points.count()))[0]
+        labels = segment_from(points, means, neighbour_threshold(points.count()), members=superpixels.select("vec_id", F.col("segment").alias("start")))[0]
     else:
         labels = segment(means.select("vec_id", "s"), k=neighbour_threshold(means.count()), sizes=means.select("vec_id", "size"), superpixel_weight=preset["superpixel_weight"])[0]
     return superpixels.join(labels.select(F.col("vec_id").alias("segment"), "label"), "segment").select("vec_id", "label")

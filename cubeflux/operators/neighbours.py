@@ -26,6 +26,21 @@ def weighted(e: DataFrame, measure) -> DataFrame:
     return e.select("u", "v", measure(F.col("su"), F.col("sv")).alias("weight"))
 
 
+def placed_pairs(pixels: DataFrame, offsets=EIGHT, with_self: bool = False) -> DataFrame:
+    """(u, v, su, sv, at_u, at_v): pixels and their neighbours at the offsets, with the places (y, x) of both."""
+    offsets = (*offsets, (0, 0)) if with_self else offsets
+    b = pixels.select(F.col("vec_id").alias("v"), F.col("y").alias("vy"), F.col("x").alias("vx"), F.col("s").alias("sv"), F.struct("y", "x").alias("at_v"))
+    shift = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets))
+    a = pixels.select(F.col("vec_id").alias("u"), F.col("s").alias("su"), F.struct("y", "x").alias("at_u"), F.explode(shift).alias("d"))
+    a = a.select("u", "su", "at_u", (F.col("at_u.y") + F.col("d.dy")).alias("vy"), (F.col("at_u.x") + F.col("d.dx")).alias("vx"))
+    return a.join(b, ["vy", "vx"]).select("u", "v", "su", "sv", "at_u", "at_v")
+
+
+def weighted_at(pairs: DataFrame, measure) -> DataFrame:
+    """(u, v, weight) by a measure of spectra and places."""
+    return pairs.select("u", "v", measure(F.col("su"), F.col("sv"), F.col("at_u"), F.col("at_v")).alias("weight"))
+
+
 def with_top(e: DataFrame) -> DataFrame:
     """e with the largest weight of all edges: one row, found by partial maxima, that goes to every task."""
     return e.join(F.broadcast(e.agg(F.max("weight").alias("top"))), F.lit(True))

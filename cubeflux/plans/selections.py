@@ -438,6 +438,11 @@ def j3(spark, sf):
     return N.weighted(N.edges(cube(spark, sf).pixels, N.EIGHT), D.euclidean).withColumn("weight", F.round("weight", 6))
 
 
+@query("m25_positioned_measure", f"with {PX}, {_E8}{_W} select w.u, w.v, round(w.weight + 0.1::double * sqrt(((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))::double), 6) as weight from w join px a on a.vec_id = w.u join px b on b.vec_id = w.v")
+def m25(spark, sf):
+    return N.weighted_at(N.placed_pairs(cube(spark, sf).pixels), D.spatial(D.euclidean, 0.1)).withColumn("weight", F.round("weight", 6))
+
+
 @query("a11_equalised_weights", f"with {PX}, {_E8}{_W}, b as (select u, v, least(ceil(weight * 19999 / (select max(weight) from w) + 0.5), 19999)::int as bin from w), c as (select bin, count(*) as n from b group by bin), d as (select bin, sum(n) over (order by bin) * 19999 / (2.0 * (select count(*) from b)) as cdf from c) select u, v, round(cdf, 6) as weight from b join d using (bin)")
 def a11(spark, sf):
     return N.equalised(N.weighted(N.edges(cube(spark, sf).pixels, N.EIGHT), D.euclidean)).withColumn("weight", F.round("weight", 6))

@@ -255,3 +255,16 @@ def test_ranks_and_nearest_without_one_partition(spark):
         d = np.abs(pts - pts[q]).sum(axis=1)
         d[q] = np.inf
         assert {r.candidate for r in near.filter(F.col("query") == q).collect()} == set(np.argsort(d)[:4].tolist())
+
+
+def test_measures_of_spectra_and_places(spark):
+    from cubeflux.functions import distances
+    from cubeflux.operators import neighbours
+
+    px = spark.createDataFrame([(y * 4 + x, y, x, [float(y), float(x * x)]) for y in range(3) for x in range(4)], "vec_id long, y int, x int, s array<double>")
+    pairs = neighbours.placed_pairs(px, ((0, 1), (0, 3)), with_self=True)
+    read = lambda m: {(r.u, r.v): r.weight for r in neighbours.weighted_at(pairs, m).collect()}
+    plain, far, near = read(distances.anywhere(distances.euclidean)), read(distances.spatial(distances.euclidean, 10.0)), read(distances.within(distances.euclidean, 2))
+    assert len(plain) == 9 + 3 + 12 and plain[0, 1] == 1.0 and plain[0, 3] == 9.0 and plain[5, 5] == 0.0
+    assert far[0, 1] == 11.0 and far[0, 3] == 39.0 and far[5, 5] == 0.0
+    assert near[0, 1] == 1.0 and near[0, 3] == float("inf")
