@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cubeflux.model import Cube, band_table
 from cubeflux.operators.select import Rect, crop, scope
-from cubeflux.shared import read_file
+from cubeflux.shared import is_folder, read_file
 from cubeflux.sources.imagery import LAN_MAGIC, SIGNATURE, decode_png, read_raw, write_bands
 
 PIXELS = "vec_id long, y int, x int, label int, s array<double>"
@@ -187,7 +187,7 @@ def encode_lan(a: np.ndarray, bits: int = 8) -> bytes:
 
 def read_image(spark: SparkSession, path: str) -> Cube:
     """By content: parquet folder, raw file, band list, single grey or colour image."""
-    if os.path.isdir(path):
+    if is_folder(path):
         px = spark.read.parquet(path)
         shape = px.agg(F.max("x").alias("x"), F.first(F.size("s")).alias("n")).first()
         return Cube(px, shape.x + 1, shape.n, 0.0, 255.0)

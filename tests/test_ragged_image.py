@@ -17,7 +17,7 @@ def ragged(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["p27_flip"])
+@pytest.mark.parametrize("name", ["p27_flip", "s10_export"])
 def test_matches_sql(spark, ragged, name):
     con = duckdb.connect()
     con.sql(f"create view embeddings as select * from '{ragged}/embeddings.parquet/*.parquet'")
