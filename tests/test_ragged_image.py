@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from cubeflux.operators import lsh
 from cubeflux.plans.registry import ORACLE, QUERIES
 
 N = 610  # 24 rows of 25 pixels, and 10 pixels
@@ -17,10 +18,21 @@ def ragged(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["p27_flip", "s10_export", "s17_label_image", "s4_raw_bands", "s9_band_images"])
+@pytest.mark.parametrize("name", ["p27_flip", "s10_export", "s17_label_image", "s4_raw_bands", "s9_band_images", "j14_lsh_candidates"])
 def test_matches_sql(spark, ragged, name):
     con = duckdb.connect()
     con.sql(f"create view embeddings as select * from '{ragged}/embeddings.parquet/*.parquet'")
     df = QUERIES[name](spark, ragged)
     want = con.sql(ORACLE[name]).select(*[f'"{c}"' for c in df.columns]).fetchall()
     assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
+def test_pairs_need_no_shuffle_of_pairs(spark, ragged):
+    from cubeflux.plans.base import cube
+    from cubeflux.plans.selections import _CUTS
+
+    px = cube(spark, ragged).pixels
+    h = lsh.hashed(px, _CUTS)
+    found = lsh.pairs(px, px, _CUTS)
+    assert sorted(found.collect()) == sorted(lsh.candidates(h, h).collect())
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
