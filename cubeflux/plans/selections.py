@@ -618,9 +618,10 @@ query("j10_mean_shift_step_all", ORACLE["j10_mean_shift_step"])(j10)
 
 @query("j11_nearest_mode", f"{_L1}, r as (select id, start, row_number() over (partition by id order by dist, start) as k from d) select id as vec_id, start as mode from r where k = 1")
 def j11(spark, sf):
-    px, st = _starts(spark, sf)
-    modes = st.select(F.col("vec_id").alias("idx"), F.col("s").alias("w"))
-    return N.nearest(px, modes, 1, D.manhattan).select("vec_id", F.col("idx").alias("mode"))
+    from cubeflux.operators.meeting import nearest
+
+    px, st = (p.withColumn("s", F.col("s").cast("array<double>")) for p in _starts(spark, sf))
+    return nearest(px, st).select("vec_id", F.col("other").alias("mode"))
 
 
 @query("j12_neighbourhood", f"with {PX} select a.vec_id, count(*) as neighbours, round(sum(b.s[1]), 6) as total from px a join px b on abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 and a.vec_id <> b.vec_id group by a.vec_id having count(*) = 8")

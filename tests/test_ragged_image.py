@@ -18,7 +18,7 @@ def ragged(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["p27_flip", "s10_export", "s17_label_image", "s4_raw_bands", "s9_band_images", "j14_lsh_candidates"])
+@pytest.mark.parametrize("name", ["p27_flip", "s10_export", "s17_label_image", "s4_raw_bands", "s9_band_images", "j14_lsh_candidates", "j11_nearest_mode"])
 def test_matches_sql(spark, ragged, name):
     con = duckdb.connect()
     con.sql(f"create view embeddings as select * from '{ragged}/embeddings.parquet/*.parquet'")
