@@ -24,6 +24,14 @@ _PATTERNS = {
     _WORD: r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
 }
 
+#: Of each byte: white space, a letter, a digit, another sign, or one that keeps its chunk whole.
+_WHOLE = 4
+_KINDS = np.full(256, 3, np.uint8)
+_KINDS[:32] = _KINDS[128:] = _KINDS[ord("'")] = _WHOLE
+_KINDS[[32, *range(9, 14)]] = 0
+_KINDS[[*range(65, 91), *range(97, 123)]] = 1
+_KINDS[48:58] = 2
+
 
 def _byte_alphabet() -> str:
     """Byte-level BPE's printable stand-in for each byte: printable Latin-1 is itself, the rest counts up from 256."""
@@ -32,10 +40,20 @@ def _byte_alphabet() -> str:
     return "".join(chr(b if b in shown else next(spare)) for b in range(256))
 
 
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def encoder(path: str) -> ChunkEncoder:
+    """The encoder of this process: a worker's tasks share its vocabulary and the chunks it knows."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
+
+
 class ChunkEncoder:
     """memo: distinct chunks kept between batches; emptied when full, which costs time only."""
 
-    def __init__(self, path: str, memo: int = 1_000_000):
+    def __init__(self, path: str, memo: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -64,6 +82,8 @@ class ChunkEncoder:
 
     def _chunk(self, raw: bytes) -> bytes:
         text = raw.decode()
+        if self.kind == _BYTE and (raw[1:] if raw[0] == 32 else raw).isalnum():  # letters or digits alone: one piece
+            return array("I", [t.id for t in self.tok.model.tokenize(text.replace(" ", self.alphabet[32]))]).tobytes()
         if text.isascii() or max(text) < "Ā":  # no normalisation and no newer letters here
             ids = [i for p in self.split(text.lower() if self.kind == _WORD else text) for i in self._piece(p)]
         else:
@@ -156,5 +176,17 @@ class ChunkEncoder:
         glued_before[1:] = glued[:-1]
         first_space = space & (before | edge[:-1])
         starts = glued | (~space & ~before & ~(glued_before & ~edge[:-1])) | first_space | (space & solid_after)
-        at = np.flatnonzero(starts | edge[:-1])
+        starts |= edge[:-1]
+        at = np.flatnonzero(starts)
+        # letters, digits and other signs part, but in chunks with apostrophes, control characters or bytes beyond ASCII
+        kind = _KINDS[buf]
+        other = kind[1:] != kind[:-1]
+        other &= buf[:-1] != 32
+        starts[1:] |= other
+        whole = np.unique(np.searchsorted(at, np.flatnonzero(kind == _WHOLE), side="right") - 1)
+        if len(whole):
+            inside = ranges(at[whole], np.append(at[1:], n)[whole] - at[whole])
+            starts[inside] = False
+            starts[at[whole]] = True
+        at = np.flatnonzero(starts)
         return at, np.append(at[1:], n)

@@ -202,14 +202,14 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from .fasttok import ChunkEncoder
+        from .fasttok import encoder
 
         pid, enc, seen = TaskContext.get().partitionId(), None, np.zeros(capacity + 1, np.int64)
         end = np.uint32(end_id).tobytes()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            enc = enc or ChunkEncoder(tokenizer)
+            enc = enc or encoder(tokenizer)
             ids, offs = enc.encode(batch.column(1))
             raw = memoryview(ids.astype("<u4", copy=False).tobytes())
             total = np.diff(offs) + 1

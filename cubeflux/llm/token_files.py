@@ -31,7 +31,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from .fasttok import ChunkEncoder
+        from .fasttok import encoder
 
         part, store, enc = TaskContext.get().partitionId(), Store(folder), None
         docs_n, tokens = 0, 0
@@ -41,7 +41,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                enc = enc or ChunkEncoder(tokenizer)
+                enc = enc or encoder(tokenizer)
                 ids, offs = enc.encode(batch.column(1))
                 n = batch.num_rows
                 out = np.empty(len(ids) + n, np.uint32)
