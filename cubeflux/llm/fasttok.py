@@ -53,7 +53,7 @@ def encoder(path: str) -> ChunkEncoder:
 class ChunkEncoder:
     """memo: distinct chunks kept between batches; emptied when full, which costs time only."""
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer

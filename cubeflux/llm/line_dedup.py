@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import GOLDEN, by_bytes, column_bytes, is_member, lower_ascii, materialize, member_bits, mix64, ranges, release, set_aside, word_hashes, word_spans
+from .common import GOLDEN, by_bytes, column_bytes, is_member, lower_ascii, materialize, member_bits, mix64, ranges, release, set_aside, trim, word_hashes, word_spans
 
 #: Slots of the sketch of word counts.
 SLOTS = 1 << 21
@@ -303,6 +303,7 @@ def candidate_pairs(posts: DataFrame, num: int) -> DataFrame:
                 if leaders < n:
                     i, j, full = i[own[j]], j[own[j]], own  # a row with only the leaders tried may have more partners
                 yield _pairs(rows.k1[i], rows.k1[j], rows.k1[full])
+        trim()
 
     dealt = posts.repartition("key").sortWithinPartitions("key", "packed")
     return dealt.mapInArrow(run, PAIRS)
@@ -503,6 +504,7 @@ def dedup_lines(docs: DataFrame, num: int = 80) -> DataFrame:
 
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(is_member(flags.value, batch.column(0).to_numpy()))], [*batch.schema.names, "likely"])
+        trim()
 
     def cut(batches):
         import pyarrow as pa
@@ -514,6 +516,7 @@ def dedup_lines(docs: DataFrame, num: int = 80) -> DataFrame:
             new = pa.array([_cut(t, g) if g else t for t, g in zip(texts, gone, strict=True)], cols[at].type)
             out = [*cols[:at], new, *cols[at + 1 :], n, pa.array([g or [] for g in gone], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(out, [*names, "n_lines", "removed"])
+        trim()
 
     # only rows that have, or seem to have, lines to lose meet the list of lines; the others don't move
     keyed = own.select(key, "doc_id", "rk", "row")

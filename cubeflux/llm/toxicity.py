@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, set_aside
+from .common import materialize, set_aside, trim
 
 #: Labelled documents to fit on: at most SAMPLE toxic and ORDINARY times as many ordinary ones; and windows of each kind.
 SAMPLE, ORDINARY, WINDOWS = 4000, 3, 80_000
@@ -211,6 +211,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
                 part = batch.slice(lo, 256)
                 s = scorer.scores(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*part.schema.names, "score", "predicted"])
+            trim()
 
     schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return rows.mapInArrow(run, schema)

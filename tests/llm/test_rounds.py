@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from cubeflux.llm import bm25, fasttok
+from cubeflux.llm import bm25, common, fasttok
 from cubeflux.llm.queries import BYTE_BPE, tokenizer_path
 
 
@@ -33,3 +33,18 @@ def test_a_task_finds_a_blocks_words_once(spark, tmp_path):
         floor = np.zeros(len(set(qid.tolist())))
         for a, b in zip(shard.search(qid, word, idf, 10, floor, True), shard.search(qid, word, idf, 10, floor, True, known), strict=True):
             assert (a == b).all()
+
+
+def test_a_worker_gives_freed_memory_back():
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    some = [bytes(60_000) for _ in range(3000)]  # too small to be mapped on their own
+    del some[::2]
+    last = bytes(60_000)
+    full = held()
+    del some[:-1]
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b"])], ["text"])
+    assert len(list(common.by_bytes(batch, 0))) == 1
+    assert held() < full - (60 << 20) and len(last) == 60_000
