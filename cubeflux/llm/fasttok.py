@@ -43,10 +43,11 @@ def _byte_alphabet() -> str:
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, memo: int = 200_000) -> ChunkEncoder:
     """The encoder of this process: a worker's tasks share its vocabulary and the chunks it knows."""
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
+    _ENCODERS[path].limit = memo
     return _ENCODERS[path]
 
 

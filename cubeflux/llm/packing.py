@@ -21,9 +21,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import by_bytes, materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, k long"
+#: Bytes of text that a task encodes at a time, and distinct chunks that a worker keeps between them: encoding takes some
+#: hundred bytes for each byte of text, a kept chunk some two hundred.
+SLICE, CHUNKS = 6 << 20, 600_000
 #: Share of a pattern's fitted repeats that is made; what is left over fills the slack of rounding lengths up to classes.
 PATTERNED = 0.97
 #: Classes from which on pieces are long enough for patterns where all lengths in patterns do worse.
@@ -195,40 +198,44 @@ def _plan(hist: np.ndarray, capacity: int, classes: int, least: int) -> tuple[np
     return rows[np.lexsort((rows[:, 1], rows[:, 0]))], runs.next
 
 
+def cut_batches(batches, pid: int, tokenizer: str, end_id: int, capacity: int):
+    """The pieces of a partition's batches (doc_id, text)."""
+    import pyarrow as pa
+
+    from .fasttok import encoder
+
+    enc, seen = None, np.zeros(capacity + 1, np.int64)
+    end = np.uint32(end_id).tobytes()
+    for batch in (part for whole in batches for part in by_bytes(whole, 1, SLICE)):
+        enc = enc or encoder(tokenizer, CHUNKS)
+        ids, offs = enc.encode(batch.column(1))
+        raw = memoryview(ids.astype("<u4", copy=False).tobytes())
+        total = np.diff(offs) + 1
+        count = -(-total // capacity)
+        row = np.repeat(np.arange(len(total)), count)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        start = piece * capacity
+        length = np.minimum(capacity, total[row] - start)
+        crc = np.empty(len(row), np.int64)
+        at, last = offs[row] + start, piece == count[row] - 1
+        for i, (a, n, z) in enumerate(zip(at.tolist(), length.tolist(), last.tolist(), strict=True)):
+            crc[i] = zlib.crc32(end, zlib.crc32(raw[4 * a : 4 * (a + n - 1)])) if z else zlib.crc32(raw[4 * a : 4 * (a + n)])
+        order = np.argsort(length, kind="stable")
+        lo = np.searchsorted(length[order], length, side="left")
+        k = np.empty(len(row), np.int64)
+        k[order] = np.arange(len(row))
+        k += seen[length] - lo
+        seen += np.bincount(length, minlength=capacity + 1)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array(np.full(len(row), pid, np.int32)), pa.array(k)], ["doc_id", "piece", "start", "length", "ids_crc32", "pid", "k"])
+
+
 def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
     """A row per piece. k is its rank among the pieces of its length in its partition pid."""
 
     def cut(batches):
-        import pyarrow as pa
         from pyspark import TaskContext
 
-        from .fasttok import encoder
-
-        pid, enc, seen = TaskContext.get().partitionId(), None, np.zeros(capacity + 1, np.int64)
-        end = np.uint32(end_id).tobytes()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            enc = enc or encoder(tokenizer)
-            ids, offs = enc.encode(batch.column(1))
-            raw = memoryview(ids.astype("<u4", copy=False).tobytes())
-            total = np.diff(offs) + 1
-            count = -(-total // capacity)
-            row = np.repeat(np.arange(len(total)), count)
-            piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            start = piece * capacity
-            length = np.minimum(capacity, total[row] - start)
-            crc = np.empty(len(row), np.int64)
-            at, last = offs[row] + start, piece == count[row] - 1
-            for i, (a, n, z) in enumerate(zip(at.tolist(), length.tolist(), last.tolist(), strict=True)):
-                crc[i] = zlib.crc32(end, zlib.crc32(raw[4 * a : 4 * (a + n - 1)])) if z else zlib.crc32(raw[4 * a : 4 * (a + n)])
-            order = np.argsort(length, kind="stable")
-            lo = np.searchsorted(length[order], length, side="left")
-            k = np.empty(len(row), np.int64)
-            k[order] = np.arange(len(row))
-            k += seen[length] - lo
-            seen += np.bincount(length, minlength=capacity + 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array(np.full(len(row), pid, np.int32)), pa.array(k)], ["doc_id", "piece", "start", "length", "ids_crc32", "pid", "k"])
+        yield from cut_batches(batches, TaskContext.get().partitionId(), tokenizer, end_id, capacity)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(cut, PIECES)

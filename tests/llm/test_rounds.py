@@ -4,8 +4,8 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from cubeflux.llm import bm25, common, fasttok
-from cubeflux.llm.queries import BYTE_BPE, tokenizer_path
+from cubeflux.llm import bm25, common, fasttok, packing
+from cubeflux.llm.queries import BYTE_BPE, WORD_BPE, tokenizer_path
 
 
 def test_a_process_keeps_its_encoder_and_knows_words_once():
@@ -48,3 +48,18 @@ def test_a_worker_gives_freed_memory_back():
     batch = pa.RecordBatch.from_arrays([pa.array(["a", "b"])], ["text"])
     assert len(list(common.by_bytes(batch, 0))) == 1
     assert held() < full - (60 << 20) and len(last) == 60_000
+
+
+def test_packing_encodes_a_bounded_slice_at_a_time(monkeypatch):
+    """Encoding takes many times its text's memory, and a batch has as many texts as Spark gives it."""
+    path, seen, plain = tokenizer_path(WORD_BPE), [], fasttok.ChunkEncoder.encode
+    monkeypatch.setattr(fasttok.ChunkEncoder, "encode", lambda self, col: (seen.append(col.nbytes), plain(self, col))[1])
+    texts = [f"some words of row {i} " * (1 + i % 900) for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts)], ["doc_id", "text"])
+    out = pa.Table.from_batches(packing.cut_batches(iter([batch]), 0, path, 1, 4096))
+    assert sum(seen) > 2 * packing.SLICE and max(seen) < 1.1 * packing.SLICE
+    total = np.bincount(out.column("doc_id").to_numpy(), weights=out.column("length").to_numpy())
+    tok = Tokenizer.from_file(path)
+    assert [len(tok.encode(texts[i], add_special_tokens=False).ids) + 1 for i in range(0, 2000, 97)] == total[::97].tolist()
+    length, k = (out.column(c).to_numpy() for c in ("length", "k"))
+    assert all(sorted(k[length == n]) == list(range((length == n).sum())) for n in np.unique(length))
