@@ -71,12 +71,28 @@ def _block_of(table, labels: int) -> tuple[dict, list[tuple[int, np.ndarray]]]:
 
 
 def _solve(s: dict, r: np.ndarray) -> np.ndarray:
-    """The block's own matrix solved. The diagonal is raised by a little where nothing holds a part of it."""
+    """The block's own matrix solved. The diagonal is raised by a little where nothing holds a part of it. Pixels in the
+    order of their ids have their neighbours within some rows of the matrix, a tile's width: cut into chunks of so many, it
+    has none but next to the diagonal, and elimination goes from chunk to chunk. It is diagonally dominant: no pivots."""
     n = len(s["ids"])
-    a = np.zeros((n, n))
-    np.add.at(a, (s["row"], s["col"]), -s["w"])
-    a[np.arange(n), np.arange(n)] += s["diagonal"] * (1 + 1e-13)
-    return np.linalg.solve(a, r)
+    m = max(1, int(np.abs(s["row"] - s["col"]).max(initial=0)))
+    chunks = -(-n // m)
+    own, left = np.zeros((chunks, m, m)), np.zeros((chunks, m, m))  # of a chunk: with itself, and with the one before it
+    at = np.arange(chunks * m)
+    own[at // m, at % m, at % m] = 1.0  # rows beyond the last pixel
+    own[at[:n] // m, at[:n] % m, at[:n] % m] = s["diagonal"] * (1 + 1e-13)
+    i, j = s["row"] // m, s["col"] // m
+    for part, here in ((own, i == j), (left, i == j + 1)):
+        np.add.at(part, (i[here], s["row"][here] % m, s["col"][here] % m), -s["w"][here])
+    y = np.zeros((chunks, m, r.shape[1]))
+    y.reshape(chunks * m, -1)[:n] = r
+    for k in range(1, chunks):
+        both = np.linalg.solve(own[k - 1], np.concatenate([left[k].T, y[k - 1]], axis=1))
+        own[k] -= left[k] @ both[:, :m]
+        y[k] -= left[k] @ both[:, m:]
+    for k in range(chunks - 1, -1, -1):
+        y[k] = np.linalg.solve(own[k], y[k] - left[k + 1].T @ y[k + 1] if k + 1 < chunks else y[k])
+    return y.reshape(chunks * m, -1)[:n]
 
 
 def _times(s: dict, x: np.ndarray, halo: dict[str, np.ndarray]) -> np.ndarray:
@@ -200,7 +216,7 @@ def random_walker(edges: DataFrame, seeds: DataFrame, block, tolerance: float =
         below = delta - (beta * gamma / np.where(alpha != 0, alpha, 1.0) if alpha is not None else 0.0)
         alpha = np.where(on, gamma / np.where(below != 0, below, 1.0), 0.0)
         before = gamma
-        state = materialize(_stepped(state, alpha, beta), "walker-state")
+        state = _stepped(state, alpha, beta)  # cheap, so it is done again for what goes to the neighbours
     else:
         raise RuntimeError(f"the residual is above the tolerance after {MAX_STEPS} steps")
 

@@ -1,5 +1,7 @@
 """Seeded forest, random walker and superpixels on graphs of several tiles against brute force."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +76,26 @@ def test_walker_equals_a_dense_solve(spark, side):
     assert [r.label for r in found.orderBy("vec_id").collect()] == (want.argmax(axis=1) + 1).tolist()
 
 
+@pytest.mark.parametrize("width, height", [(32, 100), (1, 40), (7, 9)])
+def test_walker_solves_a_block_without_its_whole_matrix(width, height):
+    n, rng = width * height, np.random.default_rng(4)
+    at = np.arange(n).reshape(height, width)
+    u, v = (np.concatenate([p.ravel(), q.ravel()]) for p, q in ((at[:, :-1], at[:-1]), (at[:, 1:], at[1:])))
+    order = rng.permutation(len(u))
+    u, v, w = u[order], v[order], rng.uniform(0.5, 2, len(u))
+    row, col, both = np.append(u, v), np.append(v, u), np.append(w, w)
+    diagonal = np.bincount(row, both, n) + rng.uniform(0, 1, n)
+    r = rng.normal(size=(n, 2))
+    tracemalloc.start()
+    x = walker._solve({"ids": np.arange(n), "diagonal": diagonal, "row": row, "col": col, "w": both}, r)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = diagonal[:, None] * x
+    np.subtract.at(got, row, both[:, None] * x[col])
+    assert np.abs(got - r).max() < 1e-9
+    assert n < 1000 or most < n * n  # an eighth of the whole matrix
+
+
 def test_walker_of_odd_tables(spark):
     edges = [(0, 1, 1.0), (1, 2, 1.0), (1, 2, 1.0), (5, 6, 2.0), (7, 8, 0.0), (3, 3, 1.0)]
     run = lambda e, s: {r.vec_id: (r.label, r.probabilities) for r in walker.random_walker(spark.createDataFrame(e, EDGES), spark.createDataFrame(s, SEEDS), lambda i: F.col(i) % 2).collect()}
