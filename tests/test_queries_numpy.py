@@ -109,3 +109,11 @@ def test_every_cluster_query_labels_every_pixel(spark, sf, spectra):
     for name in ("i7_mean_shift", "i10_mean_shift_superpixels", "i11_mean_shift_map", "i26_pspms", "i26_fspms"):
         got = by_id(QUERIES[name](spark, sf), "label")
         assert len(got) == len(spectra) and min(got) >= 1, name
+
+
+def test_pixels_that_start_themselves_need_no_superpixels(spark, sf, monkeypatch):
+    """i26_fams made superpixels that it didn't use."""
+    from cubeflux.plans import kernels
+
+    monkeypatch.setattr(kernels, "_superpixels", lambda *_: pytest.fail("superpixels are made"))
+    assert by_id(QUERIES["i26_fams"](spark, sf), "label") == by_id(QUERIES["i7_mean_shift"](spark, sf), "label")
