@@ -21,12 +21,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, materialize
+from .common import by_bytes, materialize, trim
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, k long"
 #: Bytes of text that a task encodes at a time, and distinct chunks that a worker keeps between them: encoding takes some
 #: hundred bytes for each byte of text, a kept chunk some two hundred.
 SLICE, CHUNKS = 6 << 20, 600_000
+#: The same where workers and the JVM still hold memory from earlier stages: half of the memory for twice the time.
+SLIM = (1 << 20, 100_000)
 #: Share of a pattern's fitted repeats that is made; what is left over fills the slack of rounding lengths up to classes.
 PATTERNED = 0.97
 #: Classes from which on pieces are long enough for patterns where all lengths in patterns do worse.
@@ -198,7 +200,7 @@ def _plan(hist: np.ndarray, capacity: int, classes: int, least: int) -> tuple[np
     return rows[np.lexsort((rows[:, 1], rows[:, 0]))], runs.next
 
 
-def cut_batches(batches, pid: int, tokenizer: str, end_id: int, capacity: int):
+def cut_batches(batches, pid: int, tokenizer: str, end_id: int, capacity: int, slim: bool = False):
     """The pieces of a partition's batches (doc_id, text)."""
     import pyarrow as pa
 
@@ -206,8 +208,10 @@ def cut_batches(batches, pid: int, tokenizer: str, end_id: int, capacity: int):
 
     enc, seen = None, np.zeros(capacity + 1, np.int64)
     end = np.uint32(end_id).tobytes()
-    for batch in (part for whole in batches for part in by_bytes(whole, 1, SLICE)):
-        enc = enc or encoder(tokenizer, CHUNKS)
+    most, chunks = SLIM if slim else (SLICE, CHUNKS)
+    trim()  # what earlier stages have freed in this worker
+    for batch in (part for whole in batches for part in by_bytes(whole, 1, most)):
+        enc = enc or encoder(tokenizer, chunks)
         ids, offs = enc.encode(batch.column(1))
         raw = memoryview(ids.astype("<u4", copy=False).tobytes())
         total = np.diff(offs) + 1
@@ -229,22 +233,22 @@ def cut_batches(batches, pid: int, tokenizer: str, end_id: int, capacity: int):
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array(np.full(len(row), pid, np.int32)), pa.array(k)], ["doc_id", "piece", "start", "length", "ids_crc32", "pid", "k"])
 
 
-def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
+def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, slim: bool = False) -> DataFrame:
     """A row per piece. k is its rank among the pieces of its length in its partition pid."""
 
     def cut(batches):
         from pyspark import TaskContext
 
-        yield from cut_batches(batches, TaskContext.get().partitionId(), tokenizer, end_id, capacity)
+        yield from cut_batches(batches, TaskContext.get().partitionId(), tokenizer, end_id, capacity, slim)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
-    """Pack all documents; a row per piece with its sequence and place."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, slim: bool = False) -> DataFrame:
+    """Pack all documents; a row per piece with its sequence and place. slim: with less memory, and more time."""
     spark = docs.sparkSession
-    pieces = materialize(tokenised_pieces(docs, tokenizer, end_id, capacity), "pieces")
+    pieces = materialize(tokenised_pieces(docs, tokenizer, end_id, capacity, slim), "pieces")
     counts = pieces.groupBy("length", "pid").agg((F.max("k") + 1).alias("n"))
     before = Window.partitionBy("length").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     bases = materialize(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "bases")

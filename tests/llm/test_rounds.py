@@ -63,3 +63,25 @@ def test_packing_encodes_a_bounded_slice_at_a_time(monkeypatch):
     assert [len(tok.encode(texts[i], add_special_tokens=False).ids) + 1 for i in range(0, 2000, 97)] == total[::97].tolist()
     length, k = (out.column(c).to_numpy() for c in ("length", "k"))
     assert all(sorted(k[length == n]) == list(range((length == n).sum())) for n in np.unique(length))
+
+
+def test_the_pipelines_packing_is_slim_and_gives_the_same_pieces(monkeypatch):
+    """Packing is the pipeline's last stage: its workers encoded as much at a time as where they hold nothing else."""
+    import corpus_pipeline
+
+    asked = {}
+    monkeypatch.setattr(packing, "pack", lambda docs, tokenizer, **more: asked.update(more))
+    corpus_pipeline.pack_sequences(None, None, "")
+    assert asked == {"slim": True}
+    path, seen, plain = tokenizer_path(WORD_BPE), [], fasttok.ChunkEncoder.encode
+    texts = [f"some words of row {i} " * (1 + i % 300) for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], ["doc_id", "text"])
+    want = pa.Table.from_batches(packing.cut_batches(iter([batch]), 0, path, 1, 4096)).to_pydict()
+    monkeypatch.setattr(fasttok.ChunkEncoder, "encode", lambda self, col: (seen.append(col.nbytes), plain(self, col))[1])
+    got = pa.Table.from_batches(packing.cut_batches(iter([batch]), 0, path, 1, 4096, True)).to_pydict()
+    assert max(seen) < 1.1 * packing.SLIM[0] and fasttok._ENCODERS[path].limit == packing.SLIM[1]
+    fields = ("doc_id", "piece", "start", "length", "ids_crc32")
+    assert all(got[c] == want[c] for c in fields)
+    for out in (got, want):  # ranks of equal lengths go by order of arrival, which slices don't change
+        out["ranks"] = sorted(zip(out["length"], out["k"], strict=True))
+    assert got["ranks"] == want["ranks"]
