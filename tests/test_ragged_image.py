@@ -42,3 +42,14 @@ def test_every_band_is_exported(spark, ragged):
     """Two bands of 64 were, before."""
     rows = QUERIES["s10_export"](spark, ragged).collect()
     assert {(r.vec_id, r.band) for r in rows} == {(i, b) for i in range(N) for b in range(64)} and len(rows) == 64 * N
+
+
+def test_written_pairs_repeat_the_same_bytes(spark, tmp_path):
+    """0.6 bytes and more a pair were written before, as lists had any length."""
+    v = np.random.default_rng(8).uniform(-0.3, 0.3, (5000, 2))
+    px = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, s array<double>").coalesce(1)
+    lsh.pairs(px, px, (((0, 0.0),), ((1, 0.0),))).write.parquet(f"{tmp_path}/pairs")
+    below = v > 0
+    n = sum(int((below == b).any(axis=1).sum()) for b in below)
+    assert spark.read.parquet(f"{tmp_path}/pairs").distinct().count() == n
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").iterdir()) < 0.3 * n
